@@ -76,8 +76,9 @@ def launch(spark: SparkSession, sf_dir: str, contract_folder: str) -> DataFrame:
     """One launch document for all nations; tenants are the nation table's rows."""
     root, _, file = contract_folder.rpartition("/")
     tenants = F.map_from_entries(
-        F.sort_array(
-            F.collect_list(F.struct(_named("t", F.col("n_nationkey")), F.create_map(F.lit("name"), "n_name")))
+        F.transform(
+            F.collect_list(F.struct(_named("t", F.col("n_nationkey")).alias("id"), "n_name")),
+            lambda n: F.struct(n["id"], F.create_map(F.lit("name"), n["n_name"])),
         )
     )
     # n_nationkey is a fixed list of 25 in these tables at every scale.

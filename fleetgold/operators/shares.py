@@ -133,7 +133,7 @@ def run_checks(
         _kept(by_run, [*RUN_KEYS, "want_pos"], found)
         .groupBy(*RUN_KEYS, *carry, "want_pos", "want")
         .agg(
-            F.count_if(F.col("share_id").isNotNull() & ~found).alias("shares_missing"),
+            F.count_if((F.col("want_pos") == 0) & F.col("share_id").isNotNull() & ~found).alias("shares_missing"),
             F.min_by(
                 F.coalesce(F.col("first_ok") == F.col("first_ord"), F.lit(False)),
                 F.when(F.col("kept"), F.col("port_ord")),
