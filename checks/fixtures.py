@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all tasks before each grows to a document many times its size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _named(prefix: str, number) -> F.Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
@@ -100,7 +105,7 @@ def launch_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("lifecycle"),
         F.array(F.struct(F.col("p_name").alias("unused"))).alias("datasets"),
     )
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         _named("L", key).alias("launch_id"), F.to_json(document).alias("document")
     )
 
@@ -215,7 +220,7 @@ def contract_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(size % 4 == 2, F.col("p_type"))
         .otherwise(F.lit("Nope"))
     )
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         key.alias("doc_key"),
         name.alias("name"),
         F.to_json(F.struct(definitions.alias("definitions"), meta.alias("meta"))).alias("contract"),

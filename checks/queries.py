@@ -9,6 +9,7 @@ from checks import fixtures as fx
 from checks import fleet
 from fleetgold.functions import address
 from fleetgold.functions.params import as_map, change_feed_flag, last_value
+from fleetgold.functions.rows import each
 from fleetgold.operators import changes, conform, lookup, shares
 from fleetgold.plans import runplan, status
 from fleetgold.plans.publish import project_contract
@@ -40,7 +41,7 @@ LINE_CONTRACT = """{"definitions": {
 
 def _schema(spark: SparkSession, name: str):
     docs = spark.range(1).select(F.lit(LINE_CONTRACT).alias("contract"))
-    return contracts.entity_schema(docs, name)[1]
+    return contracts.find_entity(docs, name).schema
 
 
 def _products(spark, d) -> DataFrame:
@@ -141,7 +142,7 @@ def conform_rejects(spark, d) -> DataFrame:
 
 def product_params(spark, d) -> DataFrame:
     good = _products(spark, d).where(F.size("bad_params") == 0)
-    return good.select("product_id", F.explode(as_map(F.col("params"))).alias("k", "v"))
+    return each(good, ["product_id"], as_map(F.col("params")), ["k", "v"])
 
 
 def product_flags(spark, d) -> DataFrame:
@@ -151,16 +152,13 @@ def product_flags(spark, d) -> DataFrame:
 
 
 def bad_params(spark, d) -> DataFrame:
-    return _products(spark, d).select("product_id", F.explode("bad_params").alias("entry"))
+    return each(_products(spark, d), ["product_id"], "bad_params", ["entry"])
 
 
 def expected_tables(spark, d) -> DataFrame:
     wants = runplan.expected_tables(last_value(F.col("params"), "input_tables"))
-    return (
-        _products(spark, d)
-        .select("product_id", F.posexplode(wants).alias("_pos", "want"))
-        .select("product_id", (F.col("_pos") + 1).alias("pos"), "want")
-    )
+    rows = each(_products(spark, d), ["product_id"], wants, ["want"], pos="at")
+    return rows.select("product_id", (F.col("at") + 1).alias("pos"), "want")
 
 
 # shares and plan

@@ -11,7 +11,7 @@ from fleetgold.plans.store import Coordinates, Snapshot, Store
 from fleetgold.sources.contracts import (
     contract_annotations,
     contract_columns,
-    entity_schema,
+    find_entity,
     match_entity,
     read_contracts,
 )
@@ -32,7 +32,7 @@ __all__ = [
     "counted",
     "current_registrations",
     "dependency_gaps",
-    "entity_schema",
+    "find_entity",
     "first_locations",
     "latest",
     "launch_products",

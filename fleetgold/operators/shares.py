@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetgold.functions.rows import each
 from fleetgold.operators.skew import lookup_join
 
 RUN_KEYS = ["launch_id", "tenant_id", "product_id"]
@@ -30,18 +31,20 @@ def _kept(df: DataFrame, keys: Sequence[str], found) -> DataFrame:
     which came out of one document row.
     """
     ports = Window.partitionBy(*keys)
-    last_single = F.max(F.when(found & ~F.col("is_list"), F.col("port_ord"))).over(ports)
-    last_port = F.max(F.when(found, F.col("port_ord"))).over(ports)
+    single, last = F.col("_single"), F.col("_last")
     return (
-        df.withColumn("_single", last_single)
-        .withColumn("_last", last_port)
+        df.select(
+            "*",
+            F.max(F.when(found & ~F.col("is_list"), F.col("port_ord"))).over(ports).alias("_single"),
+            F.max(F.when(found, F.col("port_ord"))).over(ports).alias("_last"),
+        )
         .withColumn(
             "kept",
             found
             & (
-                F.col("_single").isNull()
-                | (F.col("port_ord") > F.col("_single"))
-                | ((F.col("port_ord") == F.col("_single")) & (F.col("_single") == F.col("_last")))
+                single.isNull()
+                | (F.col("port_ord") > single)
+                | ((F.col("port_ord") == single) & (single == last))
             ),
         )
         .drop("_single", "_last")
@@ -50,8 +53,8 @@ def _kept(df: DataFrame, keys: Sequence[str], found) -> DataFrame:
 
 def _surviving_ports(runs: DataFrame, listings: DataFrame) -> DataFrame:
     """Ports of every run with the tables they bring, after the merge rule."""
-    ports = runs.select(*RUN_KEYS, F.posexplode("share_ids").alias("_pos", "share_id")).select(
-        *RUN_KEYS, (F.col("_pos") + 1).alias("port_ord"), "share_id"
+    ports = each(runs, RUN_KEYS, "share_ids", ["share_id"], pos="_at").select(
+        *RUN_KEYS, (F.col("_at") + 1).alias("port_ord"), "share_id"
     )
     tables = listings.groupBy("tenant_id", "share_id", "table_key").agg(
         F.count(F.lit(1)).alias("n"),

@@ -18,7 +18,7 @@ from fleetgold.operators.skew import broadcast_checked
 from fleetgold.plans.runplan import BAD_COORDINATES, BAD_PARAMS, RUNNABLE, run_plan
 from fleetgold.plans.status import ACTIVE, ERROR, FAILED, INFO, SUCCESS, status_rows
 from fleetgold.plans.store import Coordinates, Snapshot, Store
-from fleetgold.sources.contracts import entity_schema, read_contracts
+from fleetgold.sources.contracts import find_entity, read_contracts
 from fleetgold.sources.launch import launch_products
 
 Inputs = Mapping[str, DataFrame]
@@ -64,12 +64,10 @@ def publish_standard(
     ``keep_rejects`` rows that do not fit go to the snapshot's reject side in
     the same write; otherwise the first such row fails the job.
     """
-    docs = read_contracts(store.spark, product.contract_file)
-    _, schema = entity_schema(docs, product.coordinates.name)
-    fitted = (conform_marked if keep_rejects else conform)(result, schema, carry=["tenant_id"])
-    snapshot = store.write_snapshot(fitted, product.coordinates)
-    contract = docs.head()["contract"]
-    store.register(ready, product.coordinates, snapshot, contract, product.change_feed)
+    entity = find_entity(read_contracts(store.spark, product.contract_file), product.coordinates.name)
+    fit = conform_marked if keep_rejects else conform
+    snapshot = store.write_snapshot(fit(result, entity.schema, carry=["tenant_id"]), product.coordinates)
+    store.register(ready, product.coordinates, snapshot, entity.contract, product.change_feed)
     return snapshot
 
 

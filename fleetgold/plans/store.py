@@ -22,7 +22,7 @@ from fleetgold.operators.conform import REJECT_COLUMN
 from fleetgold.operators.lookup import COORDINATES, current_registrations
 from fleetgold.operators.skew import broadcast_checked
 from fleetgold.plans.status import STATUS_SCHEMA
-from fleetgold.sources.contracts import entity_schema
+from fleetgold.sources.contracts import find_entity
 from fleetgold.sources.tables import counted
 
 REGISTRY_SCHEMA = (
@@ -154,11 +154,10 @@ class Store:
 
     def schema_of(self, coords: Coordinates) -> StructType:
         """Schema by the registered contract."""
-        docs = self._of(coords).where(F.col("contract") != "")
-        newest = docs.agg(F.max_by("contract", F.struct(*REGISTRY_ORDER)).alias("contract"))
-        if newest.head()["contract"] is None:
-            raise KeyError(f"no contract registered for {coords}")
-        return entity_schema(newest, coords.name)[1]
+        newest = self._of(coords).agg(
+            F.max_by("contract", F.when(F.col("contract") != "", F.struct(*REGISTRY_ORDER))).alias("contract")
+        )
+        return find_entity(newest, coords.name).schema
 
     def read(
         self, coords: Coordinates, schema: StructType | None = None, rejected: bool = False

@@ -7,11 +7,13 @@ narrow; a document's entities and elements stay inside its row until exploded.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from fleetgold.functions.rows import each
 from fleetgold.functions.types import spark_type
 
 # A map-typed schema: entity and element names are data, not columns.
@@ -38,13 +40,9 @@ def _parsed(contract: Column) -> Column:
 def contract_columns(docs: DataFrame, contract: str = "contract") -> DataFrame:
     """One row per document, entity and element, in document order."""
     keep = [c for c in docs.columns if c != contract]
-    entities = docs.select(
-        *keep, F.explode(_parsed(F.col(contract))["definitions"]).alias("entity", "definition")
-    )
-    elements = entities.select(
-        *keep,
-        "entity",
-        F.posexplode("definition.elements").alias("pos", "column_name", "element"),
+    entities = each(docs, keep, _parsed(F.col(contract))["definitions"], ["entity", "definition"])
+    elements = each(
+        entities, [*keep, "entity"], "definition.elements", ["column_name", "element"], pos="pos"
     )
     return elements.select(
         *keep,
@@ -58,30 +56,29 @@ def contract_columns(docs: DataFrame, contract: str = "contract") -> DataFrame:
     )
 
 
-def contract_annotations(docs: DataFrame, contract: str = "contract") -> DataFrame:
-    """Entity annotations, and document meta under a null entity, as name and value."""
-    keep = [c for c in docs.columns if c != contract]
-    parsed = F.from_json(F.col(contract), ANNOTATION_SCHEMA, {"mode": "FAILFAST"})
-    no_entries = F.create_map().cast("map<string,string>")
-    groups = F.concat(
-        F.transform(
-            F.map_entries(F.coalesce(parsed["definitions"], F.create_map().cast("map<string,map<string,string>>"))),
-            lambda e: F.struct(
-                e["key"].alias("entity"),
-                F.map_filter(e["value"], lambda k, v: ~k.isin(STRUCTURAL_KEYS)).alias("entries"),
-            ),
-        ),
-        F.array(
-            F.struct(
-                F.lit(None).cast("string").alias("entity"),
-                F.coalesce(parsed["meta"], no_entries).alias("entries"),
-            )
+def _annotation_groups(contract: Column) -> Column:
+    """Per entity the entries that are not structure; document meta under a null entity."""
+    parsed = F.from_json(contract, ANNOTATION_SCHEMA, {"mode": "FAILFAST"})
+    no_entities = F.create_map().cast("map<string, map<string, string>>")
+    no_entries = F.create_map().cast("map<string, string>")
+    of_entities = F.transform(
+        F.map_entries(F.coalesce(parsed["definitions"], no_entities)),
+        lambda e: F.struct(
+            e["key"].alias("entity"),
+            F.map_filter(e["value"], lambda k, v: ~k.isin(STRUCTURAL_KEYS)).alias("entries"),
         ),
     )
-    return (
-        docs.select(*keep, F.explode(groups).alias("g"))
-        .select(*keep, "g.entity", F.explode("g.entries").alias("name", "value"))
+    of_document = F.struct(
+        F.lit(None).cast("string").alias("entity"), F.coalesce(parsed["meta"], no_entries).alias("entries")
     )
+    return F.concat(of_entities, F.array(of_document))
+
+
+def contract_annotations(docs: DataFrame, contract: str = "contract") -> DataFrame:
+    """Entity annotations, and document meta under a null entity, as name and value."""
+    keep = [c for c in docs.columns if c != contract]
+    by_entity = each(docs, keep, _annotation_groups(F.col(contract)), ["g"])
+    return each(by_entity, [*keep, "g.entity"], "g.entries", ["name", "value"])
 
 
 def match_entity(docs: DataFrame, name: str = "name", contract: str = "contract") -> DataFrame:
@@ -112,36 +109,57 @@ def match_entity(docs: DataFrame, name: str = "name", contract: str = "contract"
     )
 
 
-def entity_schema(docs: DataFrame, name: str, contract: str = "contract") -> tuple[str, StructType]:
-    """Matched entity and its schema from the single document in ``docs``.
+@dataclass(frozen=True)
+class Entity:
+    """A contract's matched entity; plan metadata, no table data."""
+
+    name: str
+    schema: StructType
+    contract: str
+
 
-    The schema is plan metadata: what comes to the driver is the column list of
-    one entity. Entity annotations and document meta go to the field metadata.
+def find_entity(docs: DataFrame, name: str, contract: str = "contract") -> Entity:
+    """The entity ``name`` selects in the one document in ``docs``, with its schema.
+
+    One small job: what comes to the driver is the document and the column list
+    of one entity. Entity annotations and document meta go to the field metadata.
     """
-    one = docs.select(F.col(contract).alias("contract"), F.lit(name).alias("name")).limit(2)
-    found = match_entity(one).select("contract", "entity", "entity_match").collect()
-    if len(found) != 1:
-        raise KeyError(f"one contract document is needed for {name!r}, not {len(found)}")
-    if found[0]["entity_match"] != "ONE":
-        raise KeyError(f"{found[0]['entity_match']} entity for {name!r} in the contract")
-    entity = found[0]["entity"]
-    row = docs.sparkSession.range(1).select(F.lit(found[0]["contract"]).alias("contract"))
-    notes = {
-        (r["entity"] or "", r["name"]): r["value"]
-        for r in contract_annotations(row).where(
-            (F.col("entity") == entity) | F.col("entity").isNull()
-        ).collect()
-    }
-    metadata = {
-        "entity": entity,
-        "annotations": json.dumps({k: v for (e, k), v in notes.items() if e}, sort_keys=True),
-        "meta": json.dumps({k: v for (e, k), v in notes.items() if not e}, sort_keys=True),
-    }
-    columns = contract_columns(row).where(F.col("entity") == entity).orderBy("pos").collect()
-    types = StructType.fromDDL(", ".join(f"c{r['pos']} {r['type']}" for r in columns))
-    return entity, StructType(
+    one = docs.select(F.col(contract).alias("contract"), F.lit(name).alias("name"))
+    matched = match_entity(one.where(F.col("contract") != ""))
+    element = _parsed(F.col("contract"))["definitions"][F.col("entity")]["elements"]
+    columns = F.transform(
+        F.map_entries(element),
+        lambda e: F.struct(
+            e["key"].alias("name"),
+            spark_type(e["value"]["type"], e["value"]["precision"], e["value"]["scale"]).alias("type"),
+            F.coalesce(e["value"]["notNull"], F.lit(False)).alias("required"),
+        ),
+    )
+    notes = F.filter(
+        _annotation_groups(F.col("contract")),
+        lambda g: g["entity"].isNull() | (g["entity"] == F.col("entity")),
+    )
+    rows = matched.select(
+        "contract",
+        "entity",
+        "entity_match",
+        F.when(F.col("entity").isNotNull(), columns).alias("columns"),
+        notes.alias("notes"),
+    ).head(2)
+    if len(rows) != 1:
+        raise KeyError(f"one contract document is needed for {name!r}, found {len(rows)}")
+    row = rows[0]
+    if row["entity_match"] != "ONE":
+        raise KeyError(f"{row['entity_match']} entity for {name!r} in the contract")
+    metadata = {"entity": row["entity"]}
+    for group in row["notes"]:
+        part = "meta" if group["entity"] is None else "annotations"
+        metadata[part] = json.dumps(group["entries"], sort_keys=True)
+    types = StructType.fromDDL(", ".join(f"c{i} {c['type']}" for i, c in enumerate(row["columns"])))
+    schema = StructType(
         [
-            StructField(r["column_name"], f.dataType, r["nullable"], metadata)
-            for r, f in zip(columns, types.fields)
+            StructField(c["name"], f.dataType, not c["required"], metadata)
+            for c, f in zip(row["columns"], types.fields)
         ]
     )
+    return Entity(row["entity"], schema, row["contract"])

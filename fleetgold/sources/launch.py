@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgold.functions.params import bad_entries, matching_params
+from fleetgold.functions.rows import each
 
 LAUNCH_SCHEMA = (
     "transformer struct<transformerId: string>, "
@@ -34,14 +35,16 @@ def launch_products(docs: DataFrame, document: str = "document") -> DataFrame:
     parsed = docs.select(
         *keep, F.from_json(document, LAUNCH_SCHEMA, {"mode": "FAILFAST"}).alias("d")
     )
-    products = parsed.select(
+    sections = parsed.select(
         *keep,
         F.col("d.transformer.transformerId").alias("transformer_id"),
         F.col("d.storage.contractRoot").alias("contract_root"),
         F.map_keys("d.tenants").alias("tenants"),
         F.col("d.lifecycle").alias("lifecycle"),
-        F.explode("d.dataProducts").alias("product_id", "p"),
+        F.col("d.dataProducts").alias("data_products"),
     )
+    others = [c for c in sections.columns if c != "data_products"]
+    products = each(sections, others, "data_products", ["product_id", "p"])
     ports = F.coalesce(
         F.col("p.inputPorts"), F.array().cast("array<struct<name:string,shareIds:array<string>>>")
     )
@@ -63,8 +66,8 @@ def launch_products(docs: DataFrame, document: str = "document") -> DataFrame:
 def product_shares(products: DataFrame) -> DataFrame:
     """One row per share id of all input ports; ``port_ord`` counts from 1."""
     keep = [c for c in ("launch_id", "product_id") if c in products.columns]
-    return products.select(*keep, F.posexplode("share_ids").alias("_pos", "share_id")).select(
-        *keep, (F.col("_pos") + 1).alias("port_ord"), "share_id"
+    return each(products, keep, "share_ids", ["share_id"], pos="_at").select(
+        *keep, (F.col("_at") + 1).alias("port_ord"), "share_id"
     )
 
 
@@ -75,4 +78,4 @@ def launch_runs(products: DataFrame) -> DataFrame:
     the row and not a join.
     """
     rest = [c for c in products.columns if c != "tenants"]
-    return products.select(F.explode("tenants").alias("tenant_id"), *rest)
+    return each(products, rest, "tenants", ["tenant_id"])
