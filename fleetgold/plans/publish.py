@@ -113,7 +113,7 @@ def product_headers(products: DataFrame, plan: DataFrame) -> list[Product]:
                 r["change_feed"],
                 r["params"],
             )
-            for r in rows.toLocalIterator()
+            for r in rows.collect()
         ),
         key=lambda p: (p.launch_id, p.product_id),
     )
@@ -136,16 +136,17 @@ def run_fleet(
     """
     products = launch_products(docs)
     path = f"{store.root}/plans/{time.time_ns():020d}"
-    run_plan(products, listings).write.parquet(path)
-    plan = store.spark.read.parquet(path)
+    planned = run_plan(products, listings)
+    planned.write.parquet(path)
+    plan = store.spark.read.schema(planned.schema).parquet(path)
 
-    store.statuses()
-    store.append_statuses(status_rows(plan, ACTIVE, INFO, time.time_ns()))
     faulty = F.col("state").isin(BAD_COORDINATES, BAD_PARAMS)
-    later = time.time_ns()
+    waiting = ~F.col("state").isin(*RUNNABLE) & ~faulty
+    started = time.time_ns()
     store.append_statuses(
-        status_rows(plan.where(~F.col("state").isin(*RUNNABLE) & ~faulty), F.col("state"), INFO, later)
-        .unionByName(status_rows(plan.where(faulty), F.col("state"), ERROR, later))
+        status_rows(plan, ACTIVE, INFO, started)
+        .unionByName(status_rows(plan.where(waiting), F.col("state"), INFO, started + 1))
+        .unionByName(status_rows(plan.where(faulty), F.col("state"), ERROR, started + 1))
     )
     if strict and not plan.where(faulty).isEmpty():
         raise ValueError(f"faulty products in the plan at {path}")
