@@ -135,11 +135,11 @@ class Store:
         seq = time.time_ns()
         name = f"{seq:020d}-{uuid.uuid4().hex[:8]}"
         location = f"{self.table_folder(coords)}/snapshot={name}"
-        counting, observation = counted(df, name)
-        counting.hint("rebalance", "rejected", "tenant_id").write.partitionBy(
-            "rejected", "tenant_id"
-        ).mode("errorifexists").parquet(location)
-        return Snapshot(name, location, observation.get.get("n", 0), seq)
+        # Counted above the rebalance: below it, adaptive execution would drop the
+        # counter together with an empty stage.
+        counting, observed = counted(df.hint("rebalance", "rejected", "tenant_id"), name)
+        counting.write.partitionBy("rejected", "tenant_id").mode("errorifexists").parquet(location)
+        return Snapshot(name, location, observed.get["n"], seq)
 
     def _files(self, coords: Coordinates, schema: StructType) -> DataFrame:
         whole = StructType(
