@@ -25,89 +25,59 @@ def _named(prefix: str, number) -> F.Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
+_LAUNCH = """
+  with sized as (
+    select *, 'silver:sales:T' || (p_partkey % 5 + 1) || ':1.0.0' first,
+      'silver:sales:T' || (p_size % 5 + 1) || ':1.0.0' second
+    from {part}
+  ),
+  settings as (
+    select *, array_compact(array(
+        'tier=' || p_type,
+        case when p_size % 13 = 0 then 'tier' when p_size % 17 = 0 then 'tier=a=b' end,
+        case p_size % 3 when 0 then 'enable_cdf=FALSE' when 1 then 'enable_cdf=True' end,
+        case when p_size % 10 = 0 then null
+             when p_size % 10 = 5 then 'input_tables='
+             when p_size % 4 = 0 then 'input_tables=' || first || ',' || second
+             when p_size % 7 = 0 then 'input_tables=' || first || ', ' || second
+             when p_size % 11 = 0 then 'input_tables=' || first || ','
+             else 'input_tables=' || first end)) parameters
+    from sized
+  )
+  select 'L' || p_partkey launch_id, to_json(struct(
+    struct('gold-builder' as transformerId) as transformer,
+    map_from_entries(transform(sequence(0, 4),
+      i -> struct('t' || (p_partkey % 2 + i * 2), map('zone', p_type)))) as tenants,
+    struct('contracts' as contractRoot) as storage,
+    map(
+      'p' || p_partkey, struct(
+        struct(case when p_size % 3 <> 0 then 'gold' end as layer, p_brand as namespace, 'v1.0.0' as version,
+          case when p_size % 19 = 0 then '' else p_name end as name) as coordinates,
+        struct(p_brand || '.json' as contractFile) as metadata,
+        array(
+          struct('gold-builder' as transformerName, parameters),
+          struct('other' as transformerName, array('x=y=z', 'tier=ignored') as parameters),
+          struct('gold-builder' as transformerName,
+            case when p_size % 2 = 0 then array('tier=' || p_brand) end as parameters)) as transformers,
+        array(
+          struct('in1' as name, array('s' || p_partkey) as shareIds),
+          struct('in2' as name, array_compact(array('s' || (p_partkey - p_size),
+            case when p_size % 6 = 0 then 's' || p_partkey end)) as shareIds),
+          struct('in3' as name, cast(null as array<string>) as shareIds)) as inputPorts),
+      'q' || p_partkey, struct(
+        struct('gold' as layer, p_brand as namespace, '1.0.0' as version, p_name || ' plain' as name) as coordinates,
+        struct('plain.json' as contractFile) as metadata,
+        array(struct('gold-builder' as transformerName, cast(null as array<string>) as parameters)) as transformers,
+        cast(null as array<struct<name: string, shareIds: array<string>>>) as inputPorts)) as dataProducts,
+    case when p_partkey % 3 <> 0
+      then map('p' || p_partkey, struct('corr-' || p_partkey as correlationId)) end as lifecycle,
+    array(struct(p_name as unused)) as datasets)) document
+  from settings"""
+
+
 def launch_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One launch per part: product p<key> with settings, product q<key> with none."""
-    key, size = F.col("p_partkey"), F.col("p_size")
-    first = F.concat(F.lit("silver:sales:T"), (key % 5 + 1).cast("string"), F.lit(":1.0.0"))
-    second = F.concat(F.lit("silver:sales:T"), (size % 5 + 1).cast("string"), F.lit(":1.0.0"))
-    input_tables = (
-        F.when(size % 10 == 0, F.lit(None))
-        .when(size % 10 == 5, F.lit("input_tables="))
-        .when(size % 4 == 0, F.concat(F.lit("input_tables="), first, F.lit(","), second))
-        .when(size % 7 == 0, F.concat(F.lit("input_tables="), first, F.lit(", "), second))
-        .when(size % 11 == 0, F.concat(F.lit("input_tables="), first, F.lit(",")))
-        .otherwise(F.concat(F.lit("input_tables="), first))
-    )
-    params = F.array_compact(
-        F.array(
-            F.concat(F.lit("tier="), "p_type"),
-            F.when(size % 13 == 0, F.lit("tier")).when(size % 17 == 0, F.lit("tier=a=b")),
-            F.when(size % 3 == 0, F.lit("enable_cdf=FALSE")).when(size % 3 == 1, F.lit("enable_cdf=True")),
-            input_tables,
-        )
-    )
-
-    def transformer(name: str, parameters) -> F.Column:
-        return F.struct(F.lit(name).alias("transformerName"), parameters.alias("parameters"))
-
-    def port(name: str, shares) -> F.Column:
-        return F.struct(F.lit(name).alias("name"), shares.alias("shareIds"))
-
-    no_text = F.lit(None).cast("array<string>")
-    product = F.struct(
-        F.struct(
-            F.when(size % 3 != 0, F.lit("gold")).alias("layer"),
-            F.col("p_brand").alias("namespace"),
-            F.lit("v1.0.0").alias("version"),
-            F.when(size % 19 == 0, F.lit("")).otherwise(F.col("p_name")).alias("name"),
-        ).alias("coordinates"),
-        F.struct(F.concat("p_brand", F.lit(".json")).alias("contractFile")).alias("metadata"),
-        F.array(
-            transformer("gold-builder", params),
-            transformer("other", F.array(F.lit("x=y=z"), F.lit("tier=ignored"))),
-            transformer(
-                "gold-builder", F.when(size % 2 == 0, F.array(F.concat(F.lit("tier="), "p_brand")))
-            ),
-        ).alias("transformers"),
-        F.array(
-            port("in1", F.array(_named("s", key))),
-            port("in2", F.array_compact(F.array(_named("s", key - size), F.when(size % 6 == 0, _named("s", key))))),
-            port("in3", no_text),
-        ).alias("inputPorts"),
-    )
-    plain = F.struct(
-        F.struct(
-            F.lit("gold").alias("layer"),
-            F.col("p_brand").alias("namespace"),
-            F.lit("1.0.0").alias("version"),
-            F.concat("p_name", F.lit(" plain")).alias("name"),
-        ).alias("coordinates"),
-        F.struct(F.lit("plain.json").alias("contractFile")).alias("metadata"),
-        F.array(transformer("gold-builder", no_text)).alias("transformers"),
-        F.lit(None).cast("array<struct<name:string,shareIds:array<string>>>").alias("inputPorts"),
-    )
-    tenants = F.map_from_entries(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(4)),
-            lambda i: F.struct(
-                _named("t", key % 2 + i * 2), F.create_map(F.lit("zone"), F.col("p_type"))
-            ),
-        )
-    )
-    document = F.struct(
-        F.struct(F.lit("gold-builder").alias("transformerId")).alias("transformer"),
-        tenants.alias("tenants"),
-        F.struct(F.lit("contracts").alias("contractRoot")).alias("storage"),
-        F.create_map(_named("p", key), product, _named("q", key), plain).alias("dataProducts"),
-        F.when(
-            key % 3 != 0,
-            F.create_map(_named("p", key), F.struct(_named("corr-", key).alias("correlationId"))),
-        ).alias("lifecycle"),
-        F.array(F.struct(F.col("p_name").alias("unused"))).alias("datasets"),
-    )
-    return spread(table(spark, sf_dir, "part")).select(
-        _named("L", key).alias("launch_id"), F.to_json(document).alias("document")
-    )
+    return spark.sql(_LAUNCH, part=spread(table(spark, sf_dir, "part")))
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,64 +137,33 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contract_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One contract document per part, with the product name to look for."""
-    key, size = F.col("p_partkey"), F.col("p_size")
+_CONTRACTS = """
+  select p_partkey doc_key,
+    case p_size % 4 when 0 then 'svc.Part' || p_partkey when 1 then 'Part' || p_partkey when 2 then p_type
+      else 'Nope' end name,
+    to_json(struct(
+      map_filter(map(
+        'svc.Part' || p_partkey, struct('entity' as kind, p_name as `@title`, cast(null as string) as `@tier`, map(
+          'id', struct('cds.Integer64' as type, cast(null as int) as length, cast(null as int) as precision,
+            cast(null as int) as scale, true as notNull),
+          'name', struct('cds.String' as type, p_size as length, null as precision, null as scale, null as notNull),
+          'price', struct('cds.Decimal' as type, null as length, 12 as precision, p_size % 5 as scale, null as notNull),
+          'made', struct(case when p_size % 2 = 0 then 'cds.Date' else 'cds.Timestamp' end as type, null as length,
+            null as precision, null as scale, null as notNull)) as elements),
+        'aux.' || p_type, struct('entity' as kind, null as `@title`, p_brand as `@tier`, map(
+          'k', struct('cds.Int32' as type, cast(null as int) as length, cast(null as int) as precision,
+            cast(null as int) as scale, cast(null as boolean) as notNull)) as elements),
+        'old.' || p_type, struct('entity' as kind, null as `@title`, null as `@tier`, map(
+          'k', struct('cds.Boolean' as type, cast(null as int) as length, cast(null as int) as precision,
+            cast(null as int) as scale, false as notNull)) as elements)),
+        (k, v) -> p_size % 5 = 0 or k not like 'old.%') as definitions,
+      struct(p_brand as creator, cast(p_size as string) as size) as meta)) contract
+  from {part}"""
 
-    def element(type_name, length=None, precision=None, scale=None, required=None) -> F.Column:
-        def whole(value):
-            return (value if isinstance(value, F.Column) else F.lit(value)).cast("int")
-
-        return F.struct(
-            (type_name if isinstance(type_name, F.Column) else F.lit(type_name)).alias("type"),
-            whole(length).alias("length"),
-            whole(precision).alias("precision"),
-            whole(scale).alias("scale"),
-            F.lit(required).cast("boolean").alias("notNull"),
-        )
 
-    def entity(title, tier, elements) -> F.Column:
-        return F.struct(
-            F.lit("entity").alias("kind"),
-            title.cast("string").alias("@title"),
-            tier.cast("string").alias("@tier"),
-            elements.alias("elements"),
-        )
-
-    none = F.lit(None)
-    main = entity(
-        F.col("p_name"),
-        none,
-        F.create_map(
-            F.lit("id"), element("cds.Integer64", required=True),
-            F.lit("name"), element("cds.String", length=size),
-            F.lit("price"), element("cds.Decimal", precision=12, scale=size % 5),
-            F.lit("made"), element(F.when(size % 2 == 0, F.lit("cds.Date")).otherwise(F.lit("cds.Timestamp"))),
-        ),
-    )
-    aux = entity(none, F.col("p_brand"), F.create_map(F.lit("k"), element("cds.Int32")))
-    old = entity(none, none, F.create_map(F.lit("k"), element("cds.Boolean", required=False)))
-    definitions = F.map_from_entries(
-        F.array_compact(
-            F.array(
-                F.struct(_named("svc.Part", key).alias("key"), main.alias("value")),
-                F.struct(F.concat(F.lit("aux."), "p_type").alias("key"), aux.alias("value")),
-                F.when(size % 5 == 0, F.struct(F.concat(F.lit("old."), "p_type").alias("key"), old.alias("value"))),
-            )
-        )
-    )
-    meta = F.struct(F.col("p_brand").alias("creator"), size.cast("string").alias("size"))
-    name = (
-        F.when(size % 4 == 0, _named("svc.Part", key))
-        .when(size % 4 == 1, _named("Part", key))
-        .when(size % 4 == 2, F.col("p_type"))
-        .otherwise(F.lit("Nope"))
-    )
-    return spread(table(spark, sf_dir, "part")).select(
-        key.alias("doc_key"),
-        name.alias("name"),
-        F.to_json(F.struct(definitions.alias("definitions"), meta.alias("meta"))).alias("contract"),
-    )
+def contract_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One contract document per part, with the product name to look for."""
+    return spark.sql(_CONTRACTS, part=spread(table(spark, sf_dir, "part")))
 
 
 def edited_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

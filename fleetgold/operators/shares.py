@@ -51,6 +51,15 @@ def _kept(df: DataFrame, keys: Sequence[str], found) -> DataFrame:
     )
 
 
+def _no_broadcast(ports: DataFrame) -> DataFrame:
+    """Rows exploded from documents: far more than their files' size suggests.
+
+    Spark judges a broadcast by file size, so the join is asked to shuffle;
+    adaptive execution still splits its hot partitions.
+    """
+    return ports.hint("merge")
+
+
 def _surviving_ports(runs: DataFrame, listings: DataFrame) -> DataFrame:
     """Ports of every run with the tables they bring, after the merge rule."""
     ports = each(runs, RUN_KEYS, "share_ids", ["share_id"], pos="_at").select(
@@ -61,7 +70,7 @@ def _surviving_ports(runs: DataFrame, listings: DataFrame) -> DataFrame:
         F.min("is_list").alias("is_list"),
         F.min_by("location", "ord").alias("location"),
     )
-    joined = lookup_join(ports, tables, ["tenant_id", "share_id"], "inner")
+    joined = lookup_join(_no_broadcast(ports), tables, ["tenant_id", "share_id"], "inner")
     return _kept(joined, [*RUN_KEYS, "table_key"], F.lit(True)).where("kept")
 
 
@@ -78,7 +87,7 @@ def share_locations(runs: DataFrame, listings: DataFrame) -> DataFrame:
     """The merged location lists as rows; list order is ``(port_ord, ord)``."""
     ports = _surviving_ports(runs, listings).select(*RUN_KEYS, "table_key", "port_ord", "share_id")
     entries = listings.select("tenant_id", "share_id", "table_key", "ord", "location")
-    return ports.join(entries, ["tenant_id", "share_id", "table_key"]).select(
+    return _no_broadcast(ports).join(entries, ["tenant_id", "share_id", "table_key"]).select(
         *RUN_KEYS, "table_key", "port_ord", "ord", "location"
     )
 

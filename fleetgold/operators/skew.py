@@ -25,8 +25,9 @@ def lookup_join(rows: DataFrame, index: DataFrame, keys: Sequence[str], how: str
     Rows with a null key match nothing; they are spread by a hash of the whole
     row, so that they do not meet in one partition.
     """
+    hashable = [c for c, t in rows.dtypes if "map<" not in t]
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spread = F.when(no_key, F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*keys))
+    spread = F.when(no_key, F.xxhash64(*hashable)).otherwise(F.xxhash64(*keys))
     joined = rows.withColumn("_mark", spread).join(
         index.withColumn("_mark", F.xxhash64(*keys)), ["_mark", *keys], how
     )

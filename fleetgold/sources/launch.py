@@ -75,7 +75,8 @@ def launch_runs(products: DataFrame) -> DataFrame:
     """One row per tenant and product of each launch.
 
     Tenants are listed in the launch document, so this is an explode inside
-    the row and not a join.
+    the row and not a join. One document can name many products and tenants, so
+    its products are spread over tasks before tenants multiply them.
     """
     rest = [c for c in products.columns if c != "tenants"]
-    return each(products, rest, "tenants", ["tenant_id"])
+    return each(products.repartition("launch_id", "product_id"), rest, "tenants", ["tenant_id"])
