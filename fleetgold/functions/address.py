@@ -75,3 +75,10 @@ def address_problem(layout: Column, version: Column, namespace: Column, name: Co
             F.lit("INCOMPLETE_COORDINATES"),
         )
     )
+
+
+def required_path(path: Column, problem: Column) -> Column:
+    """The path, or a failing job that names the problem."""
+    return F.coalesce(
+        path, F.raise_error(F.concat(F.lit("no result path: "), F.coalesce(problem, F.lit("null part")))).cast("string")
+    )

@@ -13,11 +13,13 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
 
     An aggregate, not a window: each map task sends at most one row per key, so
     a key that holds a large part of the log does not become one large task.
+    Rows equal in ``order`` are decided by their other columns, so the result
+    does not depend on how the rows were spread.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    packed = F.struct(*[F.col(c) for c in [*order, *rest]])
+    row = F.struct(*[F.col(c) for c in [*order, *rest]])
     return (
         df.groupBy(*keys)
-        .agg(F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_row"))
+        .agg(F.max(row).alias("_row"))
         .select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
     )

@@ -51,6 +51,25 @@ def _kept(df: DataFrame, keys: Sequence[str], found) -> DataFrame:
     )
 
 
+# Column types the inputs must have. Fixed values.
+LISTING_TYPES = {
+    "tenant_id": "string",
+    "share_id": "string",
+    "table_key": "string",
+    "is_list": "boolean",
+    "ord": "bigint",
+    "location": "string",
+}
+RUN_TYPES = {"tenant_id": "string", "product_id": "string", "share_ids": "array<string>"}
+
+
+def _need_types(df: DataFrame, types: dict[str, str]) -> None:
+    found = dict(df.dtypes)
+    wrong = {c: found.get(c, "absent") for c, t in types.items() if found.get(c) != t}
+    if wrong:
+        raise TypeError(f"expected {({c: types[c] for c in wrong})}, found {wrong}")
+
+
 def _no_broadcast(ports: DataFrame) -> DataFrame:
     """Rows exploded from documents: far more than their files' size suggests.
 
@@ -62,6 +81,8 @@ def _no_broadcast(ports: DataFrame) -> DataFrame:
 
 def _surviving_ports(runs: DataFrame, listings: DataFrame) -> DataFrame:
     """Ports of every run with the tables they bring, after the merge rule."""
+    _need_types(runs, RUN_TYPES)
+    _need_types(listings, LISTING_TYPES)
     ports = each(runs, RUN_KEYS, "share_ids", ["share_id"], pos="_at").select(
         *RUN_KEYS, (F.col("_at") + 1).alias("port_ord"), "share_id"
     )
@@ -128,6 +149,8 @@ def run_checks(
     wanted table (``gap``: absent, or first location not readable). It comes out
     partitioned by run, so an aggregate per run needs no further shuffle.
     """
+    _need_types(runs, {**RUN_TYPES, "wants": "array<string>"})
+    _need_types(listings, {**LISTING_TYPES, "format": "string"})
     no_want = F.array(F.lit(None).cast("string"))
     checks = (
         runs.select(

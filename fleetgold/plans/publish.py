@@ -137,7 +137,9 @@ def run_fleet(
     products = launch_products(docs)
     path = f"{store.root}/plans/{time.time_ns():020d}"
     planned = run_plan(products, listings)
-    planned.write.parquet(path)
+    # Sorted by product, so that each product's job opens only the files with its runs.
+    by_product = ["launch_id", "product_id", "tenant_id"]
+    planned.repartitionByRange(*by_product).sortWithinPartitions(*by_product).write.parquet(path)
     plan = store.spark.read.schema(planned.schema).parquet(path)
 
     faulty = F.col("state").isin(BAD_COORDINATES, BAD_PARAMS)

@@ -178,15 +178,21 @@ class Store:
     def changes(
         self, coords: Coordinates, keys: Sequence[str], schema: StructType | None = None
     ) -> DataFrame:
-        """Row changes each tenant's latest publish made; a first publish is all inserts."""
+        """Row changes each tenant's latest publish made; a first publish is all inserts.
+
+        Fails if a tenant's current registration has its change feed switched off.
+        """
+        if not self.current(coords).where(~F.col("change_feed")).isEmpty():
+            raise ValueError(f"the change feed of {coords} is switched off")
         publishes = Window.partitionBy("tenant_id").orderBy(*[F.desc(c) for c in REGISTRY_ORDER])
+        # The rank limit is applied before the shuffle, so a tenant's long history stays behind.
         sides = (
             self._of(coords)
             .select("tenant_id", *REGISTRY_ORDER)
-            .distinct()
-            .withColumn("_back", F.row_number().over(publishes))
+            .withColumn("_back", F.dense_rank().over(publishes))
             .where(F.col("_back") <= 2)
             .select("snapshot", "tenant_id", (F.col("_back") == 1).alias("_new"))
+            .distinct()
         )
         rows = (
             self._files(coords, schema or self.schema_of(coords))

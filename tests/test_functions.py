@@ -104,6 +104,14 @@ def test_paths_and_their_problems(spark):
     ]
 
 
+def test_required_path(spark):
+    one = spark.range(1)
+    path, no_path = F.lit("lake/t1"), F.lit(None).cast("string")
+    assert one.select(address.required_path(path, no_path)).head()[0] == "lake/t1"
+    with pytest.raises(Exception, match="no result path: NO_NAME"):
+        one.select(address.required_path(no_path, F.lit("NO_NAME"))).collect()
+
+
 def test_contract_types(spark):
     df = spark.createDataFrame([(t,) for t in CONTRACT_TYPES] + [("cds.Decimal",)], "t string")
     got = {r[0]: r[1] for r in df.select("t", spark_type(F.col("t"), F.lit(12), F.lit(2))).collect()}

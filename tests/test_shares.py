@@ -115,3 +115,14 @@ def test_unreadable_first_location_is_a_gap(spark):
     assert rows(shares.dependency_gaps(runs, listings), "n_missing", "first_missing") == [(1, "A")]
     assert shares.dependency_gaps(runs, listings, readable=["csv"]).isEmpty()
     assert shares.dependency_gaps(runs.withColumn("wants", F.array().cast("array<string>")), listings).isEmpty()
+
+
+def test_input_types(spark):
+    listings = spark.createDataFrame([], LISTING)
+    runs = spark.createDataFrame([], RUN)
+    with pytest.raises(TypeError, match="wants"):
+        shares.dependency_gaps(runs.withColumn("wants", F.array(F.lit(1))), listings)
+    with pytest.raises(TypeError, match="format"):
+        shares.share_readiness(runs, listings.drop("format"))
+    with pytest.raises(TypeError, match="share_ids"):
+        shares.share_merge(runs.withColumn("share_ids", F.lit("s1")), listings)

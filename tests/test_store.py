@@ -94,6 +94,20 @@ def test_changes_per_tenant(spark, store):
     ]
 
 
+def test_same_registration_twice_is_one_publish(spark, store):
+    put(store, things(spark, ("a", 1, 1)), "a")
+    put(store, things(spark, ("a", 2, 2)), "a", "a")
+    assert rows(store.changes(COORDS, ["id"], SCHEMA), "id", "change_type") == [(1, "delete"), (2, "insert")]
+
+
+def test_changes_need_the_change_feed(spark, store):
+    snapshot = put(store, things(spark, ("a", 1, 1)), "a")
+    assert store.changes(COORDS, ["id"], SCHEMA).count() == 1
+    store.register(tenants(spark, "b"), COORDS, snapshot, CONTRACT, change_feed=False)
+    with pytest.raises(ValueError, match="switched off"):
+        store.changes(COORDS, ["id"], SCHEMA)
+
+
 def test_old_snapshots_are_pruned(spark, store):
     for v in range(3):
         put(store, things(spark, ("a", 1, v)), "a")
