@@ -8,6 +8,7 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -15,7 +16,7 @@ from pyspark.sql import SparkSession
 
 
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
+    con = duckdb.connect(config={"temp_directory": tempfile.mkdtemp(prefix="duck-"), "max_temp_directory_size": "4GB"})
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         con.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
     return con

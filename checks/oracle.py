@@ -1,7 +1,7 @@
 """The same results in DuckDB SQL, over the same tables.
 
 Written as another formulation, not as a transcript of the Spark plans: no JSON,
-no index tables, list merging by NOT EXISTS.
+no index tables, list merging by a self join.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ ports as (
 )"""
 
 _LISTINGS = """
-listings as (
+listings as materialized (
   select 't' || (o_orderkey % 10) tenant_id, 's' || o_custkey share_id,
     'silver:sales:T' || substring(o_orderpriority, 1, 1) || ':1.0.0' table_key,
     o_custkey % 11 <> 0 is_list, o_orderkey ord, '/lake/' || o_orderkey as location,
@@ -47,21 +47,26 @@ listings as (
   from orders
 )"""
 
+_RUN_PORTS = """
+run_ports as materialized (
+  select r.tenant_id, r.product_id, p.port_ord, p.share_id from runs r join ports p using (p_partkey)
+)"""
+
 # A port's entry survives if every later port of that table is a list, and it is
 # a list itself or the last one.
 _MERGED = """
-entries as (
-  select r.tenant_id, r.product_id, r.p_partkey, p.port_ord, l.table_key, l.is_list, l.ord, l.location, l.readable
-  from runs r join ports p on p.p_partkey = r.p_partkey
-  join listings l on l.tenant_id = r.tenant_id and l.share_id = p.share_id
+entries as materialized (
+  select r.tenant_id, r.product_id, r.port_ord, l.table_key, l.is_list, l.ord, l.location, l.readable
+  from run_ports r join listings l using (tenant_id, share_id)
 ),
 cells as (
   select distinct tenant_id, product_id, table_key, port_ord, is_list from entries
 ),
 surviving as (
-  select c.* from cells c where not exists (
-    select 1 from cells x where x.tenant_id = c.tenant_id and x.product_id = c.product_id
-      and x.table_key = c.table_key and x.port_ord > c.port_ord and not (x.is_list and c.is_list))
+  select c.tenant_id, c.product_id, c.table_key, c.port_ord
+  from cells c join cells x using (tenant_id, product_id, table_key)
+  group by 1, 2, 3, 4
+  having not bool_or(x.port_ord > c.port_ord and not (x.is_list and c.is_list))
 ),
 merged as (
   select e.* from entries e join surviving s on s.tenant_id = e.tenant_id and s.product_id = e.product_id
@@ -74,16 +79,19 @@ firsts as (
 
 _READY = """
 readiness as (
-  select r.tenant_id, r.product_id, bool_and(exists (
-      select 1 from listings l where l.tenant_id = r.tenant_id and l.share_id = p.share_id)) ready
-  from runs r join ports p on p.p_partkey = r.p_partkey group by 1, 2
+  select r.tenant_id, r.product_id, count(*) = count(k.share_id) ready
+  from run_ports r left join (select distinct tenant_id, share_id from listings) k using (tenant_id, share_id)
+  group by 1, 2
 )"""
 
 _GAPS = """
-gaps as (
-  select r.tenant_id, r.product_id, w.pos, w.want
-  from runs r join wants w on w.p_partkey = r.p_partkey
-  left join firsts f on f.tenant_id = r.tenant_id and f.product_id = r.product_id and f.table_key = w.want
+run_wants as materialized (
+  select r.tenant_id, r.product_id, w.pos, w.want from runs r join wants w using (p_partkey)
+),
+gaps as materialized (
+  select r.tenant_id, r.product_id, r.pos, r.want
+  from run_wants r
+  left join firsts f on f.tenant_id = r.tenant_id and f.product_id = r.product_id and f.table_key = r.want
   where f.readable is not true
 )"""
 
@@ -234,20 +242,20 @@ from part where p_size % 13 = 0 or p_size % 17 = 0""",
 select 'p' || p_partkey product_id, cast(pos as int) pos, want from (
   select p_partkey, unnest(range(1, len(l) + 1)) pos, unnest(l) want
   from (select p_partkey, string_split(input_tables, ',') l from parts where input_tables <> ''))""",
-    "share_merge": _with(_PARTS, _PORTS, _LISTINGS, _MERGED)
+    "share_merge": _with(_PARTS, _PORTS, _RUN_PORTS, _LISTINGS, _MERGED)
     + """
 select tenant_id, product_id, table_key, count(*) n,
   max(case when rn = 1 then location end) first_location
 from (select *, row_number() over (partition by tenant_id, product_id, table_key order by port_ord, ord) rn from merged)
 group by 1, 2, 3""",
-    "share_locations": _with(_PARTS, _PORTS, _LISTINGS, _MERGED)
+    "share_locations": _with(_PARTS, _PORTS, _RUN_PORTS, _LISTINGS, _MERGED)
     + " select tenant_id, product_id, table_key, port_ord, ord, location from merged",
-    "share_readiness": _with(_PARTS, _PORTS, _LISTINGS, _READY)
+    "share_readiness": _with(_PARTS, _PORTS, _RUN_PORTS, _LISTINGS, _READY)
     + """
 select * from readiness union all select tenant_id, 'q' || p_partkey, true from runs""",
-    "dependency_gaps": _with(_PARTS, _WANTS, _PORTS, _LISTINGS, _MERGED, _GAPS)
+    "dependency_gaps": _with(_PARTS, _WANTS, _PORTS, _RUN_PORTS, _LISTINGS, _MERGED, _GAPS)
     + " select tenant_id, product_id, count(*) n_missing, arg_min(want, pos) first_missing from gaps group by 1, 2",
-    "run_plan": _with(_PARTS, _WANTS, _PORTS, _LISTINGS, _MERGED, _READY, _GAPS)
+    "run_plan": _with(_PARTS, _WANTS, _PORTS, _RUN_PORTS, _LISTINGS, _MERGED, _READY, _GAPS)
     + """
 select 'L' || r.p_partkey launch_id, r.tenant_id, r.product_id,
   case when p_partkey % 3 <> 0 then 'corr-' || p_partkey end correlation_id,
