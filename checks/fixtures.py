@@ -21,7 +21,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _named(prefix: str, number) -> F.Column:
+def named(prefix: str, number) -> F.Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
@@ -83,12 +83,12 @@ def launch_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share registry: one listing per order, shares by customer, tables by priority."""
     return table(spark, sf_dir, "orders").select(
-        _named("t", F.col("o_orderkey") % 10).alias("tenant_id"),
-        _named("s", F.col("o_custkey")).alias("share_id"),
+        named("t", F.col("o_orderkey") % 10).alias("tenant_id"),
+        named("s", F.col("o_custkey")).alias("share_id"),
         F.concat(F.lit("silver:sales:T"), F.substring("o_orderpriority", 1, 1), F.lit(":1.0.0")).alias("table_key"),
         (F.col("o_custkey") % 11 != 0).alias("is_list"),
         F.col("o_orderkey").alias("ord"),
-        _named("/lake/", F.col("o_orderkey")).alias("location"),
+        named("/lake/", F.col("o_orderkey")).alias("location"),
         F.when(F.col("o_orderstatus") == "P", F.lit("csv")).otherwise(F.lit("delta")).alias("format"),
     )
 
@@ -97,10 +97,10 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table registry log: one registration per line item, many per table."""
     line = F.col("l_linenumber")
     return table(spark, sf_dir, "lineitem").select(
-        _named("t", F.col("l_suppkey") % 5).alias("tenant_id"),
+        named("t", F.col("l_suppkey") % 5).alias("tenant_id"),
         F.when(F.col("l_linestatus") == "O", F.lit("silver")).otherwise(F.lit("gold")).alias("layer"),
         F.lit("sales").alias("namespace"),
-        _named("T", F.col("l_partkey")).alias("name"),
+        named("T", F.col("l_partkey")).alias("name"),
         F.when(line % 3 == 0, F.lit("1.0.0")).when(line % 3 == 1, F.lit("2.0.0")).otherwise(F.lit("1.0.0-rc")).alias("version"),
         F.when(F.col("l_returnflag") == "R", F.lit(""))
         .otherwise(F.concat(F.lit('{"definitions":{"svc.T'), F.col("l_partkey").cast("string"), F.lit('":{}}}')))
@@ -125,12 +125,12 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "part")
         .select(
-            _named("p", key).alias("product_id"),
-            _named("t", key % 5).alias("tenant_id"),
+            named("p", key).alias("product_id"),
+            named("t", key % 5).alias("tenant_id"),
             F.when(size % 2 == 0, F.lit("silver")).otherwise(F.lit("gold")).alias("layer"),
             F.lit("sales").alias("namespace"),
             F.explode(
-                F.array(request(1, _named("T", key), first), request(2, _named("T", key - size % 3), second))
+                F.array(request(1, named("T", key), first), request(2, named("T", key - size % 3), second))
             ).alias("r"),
         )
         .select("product_id", "tenant_id", "layer", "namespace", "r.req_ord", "r.name", "r.version")
@@ -179,14 +179,14 @@ def edited_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_tenant(orders: DataFrame) -> DataFrame:
-    return orders.withColumn("tenant_id", _named("t", F.col("o_custkey") % 7))
+    return orders.withColumn("tenant_id", named("t", F.col("o_custkey") % 7))
 
 
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run statuses: one per event; few tenants and products, so keys are hot."""
     value = F.col("value")
     return table(spark, sf_dir, "events").select(
-        _named("t", F.col("user_id") % 5).alias("tenant_id"),
+        named("t", F.col("user_id") % 5).alias("tenant_id"),
         F.col("event_type").alias("product_id"),
         F.when(F.col("event_type") == "error", F.lit("ERROR")).otherwise(F.lit("INFO")).alias("severity"),
         F.when(value < 10, F.lit("active")).when(value < 50, F.lit("success")).otherwise(F.lit("error")).alias("text"),

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.fixtures import _named, table, write_text
+from checks.fixtures import named, table, write_text
 from fleetgold.operators.skew import broadcast_checked
 from fleetgold.plans.publish import run_fleet
 from fleetgold.plans.store import Coordinates, Store
@@ -15,7 +15,7 @@ from fleetgold.sources.shared import new_folder
 
 SILVER_KEY = "silver:sales:Orders:1.0.0"
 SILVER = Coordinates.of_key(SILVER_KEY)
-CHECKED = Coordinates("gold", "sales", "SalesContracts", "1.0.0")
+CHECKED = Coordinates("gold", "sales", "OrderBook", "1.0.0")
 UNCHECKED = Coordinates("gold", "sales", "OrderValues", "1.0.0")
 
 _ORDER = {
@@ -35,9 +35,9 @@ CONTRACT = json.dumps(
                     "o_orderdate": {"type": "cds.Timestamp"},
                 },
             },
-            "svc.SalesContracts": {
+            "svc.OrderBook": {
                 "kind": "entity",
-                "@title": "Sales contracts",
+                "@title": "Order book",
                 "elements": {**_ORDER, "o_totalprice": {"type": "cds.Decimal", "precision": 12, "scale": 2}},
             },
             "svc.OrderValues": {
@@ -77,7 +77,7 @@ def launch(spark: SparkSession, sf_dir: str, contract_folder: str) -> DataFrame:
     root, _, file = contract_folder.rpartition("/")
     tenants = F.map_from_entries(
         F.transform(
-            F.collect_list(F.struct(_named("t", F.col("n_nationkey")).alias("id"), "n_name")),
+            F.collect_list(F.struct(named("t", F.col("n_nationkey")).alias("id"), "n_name")),
             lambda n: F.struct(n["id"], F.create_map(F.lit("name"), n["n_name"])),
         )
     )
@@ -99,16 +99,16 @@ def run(spark: SparkSession, sf_dir: str) -> Store:
     """Publish the silver table, then plan and run both products for every nation."""
     store = Store(spark, new_folder(spark, "fleet"))
     contract_folder = write_text(spark, CONTRACT, "contract")
-    nations = table(spark, sf_dir, "nation").select(_named("t", F.col("n_nationkey")).alias("tenant_id"))
+    nations = table(spark, sf_dir, "nation").select(named("t", F.col("n_nationkey")).alias("tenant_id"))
     customers = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), _named("t", F.col("c_nationkey")).alias("tenant_id")
+        F.col("c_custkey").alias("o_custkey"), named("t", F.col("c_nationkey")).alias("tenant_id")
     )
     silver = table(spark, sf_dir, "orders").join(customers, "o_custkey")
     snapshot = store.write_snapshot(silver, SILVER)
     store.register(nations, SILVER, snapshot, CONTRACT)
 
     listings = table(spark, sf_dir, "supplier").select(
-        _named("t", F.col("s_nationkey")).alias("tenant_id"),
+        named("t", F.col("s_nationkey")).alias("tenant_id"),
         F.lit("crm").alias("share_id"),
         F.lit(SILVER_KEY).alias("table_key"),
         F.lit(True).alias("is_list"),

@@ -321,6 +321,6 @@ union all select tenant_id, 'unchecked', null, 'INFO', 'success' from nations"""
     "fleet_registry": _with(_FLEET)
     + """
 select tenant_id, 'silver' layer, 'Orders' as name, '1.0.0' as version, true change_feed from nations
-union all select tenant_id, 'gold', 'SalesContracts', '1.0.0', true from states where state = 'READY'
+union all select tenant_id, 'gold', 'OrderBook', '1.0.0', true from states where state = 'READY'
 union all select tenant_id, 'gold', 'OrderValues', '1.0.0', false from nations""",
 }

@@ -27,7 +27,7 @@ DECIMAL_TYPE = "cds.Decimal"
 
 def spark_type(type_name: Column, precision: Column, scale: Column) -> Column:
     """Spark type text of a contract element. Unknown names raise."""
-    names = F.create_map(*[F.lit(x) for pair in CONTRACT_TYPES.items() for x in pair])
+    names = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in CONTRACT_TYPES.items()) + ")")
     decimal = F.concat(
         F.lit("decimal("),
         precision.cast("string"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fleetgold.functions.address import layer_or_default
 from fleetgold.functions.params import as_map, change_feed_flag, good_entries, last_value
 from fleetgold.operators.conform import conform, conform_marked
 from fleetgold.operators.shares import RUN_KEYS
@@ -98,7 +99,7 @@ def product_headers(products: DataFrame, plan: DataFrame) -> list[Product]:
     rows = products.join(ready, ["launch_id", "product_id"], "left_semi").select(
         "launch_id",
         "product_id",
-        "coordinates",
+        F.col("coordinates").withField("layer", layer_or_default(F.col("coordinates.layer"))).alias("coordinates"),
         "contract_file",
         change_feed_flag(last_value(F.col("params"), "enable_cdf")).alias("change_feed"),
         as_map(good_entries(F.col("params"))).alias("params"),

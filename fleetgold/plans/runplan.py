@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgold.functions.address import LAYOUT_COORDINATES, address_problem
 from fleetgold.functions.params import expected_tables, last_value
 from fleetgold.operators.shares import READABLE_FORMATS, RUN_KEYS, run_checks
 from fleetgold.sources.launch import launch_runs
@@ -22,7 +23,8 @@ RUNNABLE = (READY, READY_UNCHECKED)
 
 def planned_runs(products: DataFrame) -> DataFrame:
     """Runs with what their checks need: shares, wanted tables, product faults."""
-    named = F.coalesce(F.col("coordinates.name"), F.lit("")) != ""
+    c = F.col("coordinates")
+    problem = address_problem(F.lit(LAYOUT_COORDINATES), c["version"], c["namespace"], c["name"])
     bad_params = F.size("bad_params") > 0
     wants = expected_tables(last_value(F.col("params"), "input_tables"))
     return launch_runs(
@@ -30,7 +32,7 @@ def planned_runs(products: DataFrame) -> DataFrame:
             *[k for k in RUN_KEYS if k != "tenant_id"],
             "tenants",
             "correlation_id",
-            (~named).alias("bad_coordinates"),
+            problem.isNotNull().alias("bad_coordinates"),
             bad_params.alias("has_bad_params"),
             "share_ids",
             F.when(bad_params, F.array().cast("array<string>")).otherwise(wants).alias("wants"),
@@ -44,8 +46,8 @@ def run_plan(
     """One row per tenant and product with its state; the first that applies wins.
 
     Faults of the product come before readiness, so a bad parameter also marks
-    an unready product. Three shuffles in all: listings to their index, checks
-    to the join, checks back to their run.
+    an unready product. Shuffles: listings to their index, index and
+    checks to the join, checks back to their run.
     """
     carry = ["correlation_id", "bad_coordinates", "has_bad_params"]
     checks = run_checks(planned_runs(products), listings, carry, readable)

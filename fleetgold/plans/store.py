@@ -141,16 +141,25 @@ class Store:
         counting.write.partitionBy("rejected", "tenant_id").mode("errorifexists").parquet(location)
         return Snapshot(name, location, observed.get["n"], seq)
 
-    def _files(self, coords: Coordinates, schema: StructType) -> DataFrame:
-        whole = StructType(
-            [f for f in schema.fields if f.name not in ("tenant_id", "snapshot", "rejected")]
-            + [
-                StructField("snapshot", StringType()),
-                StructField("rejected", BooleanType()),
-                StructField("tenant_id", StringType()),
-            ]
-        )
-        return self.spark.read.schema(whole).parquet(self.table_folder(coords))
+    def _files(self, coords: Coordinates, schema: StructType, pointers: DataFrame) -> DataFrame:
+        """Files of the snapshots that ``pointers`` name, with partition columns.
+
+        Spark lists input folders on the driver, so the snapshot paths come here:
+        those still current, not one per publish ever made.
+        """
+        partitions = [
+            StructField("snapshot", StringType()),
+            StructField("rejected", BooleanType()),
+            StructField("tenant_id", StringType()),
+        ]
+        names = [f.name for f in partitions]
+        whole = StructType([f for f in schema.fields if f.name not in names] + partitions)
+        snapshots = [r["snapshot"] for r in pointers.select("snapshot").distinct().collect()]
+        if not snapshots:
+            return self.spark.createDataFrame([], whole)
+        folder = self.table_folder(coords)
+        reader = self.spark.read.schema(whole).option("basePath", folder)
+        return reader.parquet(*[f"{folder}/snapshot={s}" for s in sorted(snapshots)])
 
     def schema_of(self, coords: Coordinates) -> StructType:
         """Schema by the registered contract."""
@@ -164,14 +173,15 @@ class Store:
     ) -> DataFrame:
         """Current rows of a table for all its tenants.
 
-        Each tenant's snapshot pointer is joined on the partition columns, so
-        folders of older snapshots are pruned before any file is opened.
+        Only folders of current snapshots are listed. Each tenant's pointer is
+        joined on the partition columns, so a tenant that has moved on to a newer
+        snapshot is pruned from the older one before any file is opened.
         """
-        files = self._files(coords, schema or self.schema_of(coords))
-        pointers = broadcast_checked(self.current(coords).select("snapshot", "tenant_id"))
+        pointers = self.current(coords).select("snapshot", "tenant_id")
+        files = self._files(coords, schema or self.schema_of(coords), pointers)
         return (
             files.where(F.col("rejected") == rejected)
-            .join(pointers, ["snapshot", "tenant_id"], "left_semi")
+            .join(broadcast_checked(pointers), ["snapshot", "tenant_id"], "left_semi")
             .drop("snapshot", "rejected")
         )
 
@@ -195,7 +205,7 @@ class Store:
             .distinct()
         )
         rows = (
-            self._files(coords, schema or self.schema_of(coords))
+            self._files(coords, schema or self.schema_of(coords), sides)
             .where(~F.col("rejected"))
             .join(broadcast_checked(sides), ["snapshot", "tenant_id"])
             .drop("snapshot", "rejected")

@@ -40,4 +40,4 @@ def first_locations(merged: DataFrame, table_key: str) -> list[str]:
     come here: at most one per tenant and product, never rows of a table.
     """
     rows = merged.where(F.col("table_key") == table_key).select("first_location").distinct()
-    return sorted(r[0] for r in rows.toLocalIterator())
+    return sorted(r[0] for r in rows.collect())

@@ -81,6 +81,8 @@ def test_states_rank_product_faults_first(spark):
     products = spark.createDataFrame(
         [
             ("L", "no name", None, ("gold", "ns", "1", ""), ["x"], ["s9"], ["t1"], ["x"]),
+            ("L", "no version", None, ("gold", "ns", None, "N"), [], [], ["t1"], []),
+            ("L", "no coordinates", None, None, [], [], ["t1"], []),
             ("L", "bad", "c", ("gold", "ns", "1", "N"), ["x", "input_tables=A"], ["s9"], ["t1"], ["x"]),
             ("L", "no share", "c", ("gold", "ns", "1", "N"), ["input_tables=B"], ["s9"], ["t1"], []),
             ("L", "unchecked", "c", ("gold", "ns", "1", "N"), ["input_tables="], ["s1"], ["t1"], []),
@@ -96,6 +98,8 @@ def test_states_rank_product_faults_first(spark):
     got = {(r.product_id, r.tenant_id): r.state for r in run_plan(products, listings).collect()}
     assert got == {
         ("no name", "t1"): "BAD_COORDINATES",
+        ("no version", "t1"): "BAD_COORDINATES",
+        ("no coordinates", "t1"): "BAD_COORDINATES",
         ("bad", "t1"): "BAD_PARAMS",
         ("no share", "t1"): "SKIP_SHARES",
         ("unchecked", "t1"): "READY_UNCHECKED",

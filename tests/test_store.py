@@ -115,6 +115,14 @@ def test_old_snapshots_are_pruned(spark, store):
     assert "dynamicpruning" in plan.lower()
 
 
+def test_only_current_snapshots_are_listed(spark, store):
+    for v in range(3):
+        last = put(store, things(spark, ("a", 1, v)), "a")
+    files = [f for f in store.read(COORDS, SCHEMA).inputFiles() if "/tables/" in f]
+    assert files and all(last.snapshot in f for f in files)
+    assert store.read(Coordinates("gold", "ns", "Other", "1.0.0"), SCHEMA).isEmpty()
+
+
 def test_no_contract(spark, store):
     store.register(tenants(spark, "a"), COORDS, store.write_snapshot(things(spark, ("a", 1, 1)), COORDS))
     with pytest.raises(KeyError):
