@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import gc
+import os
+import shutil
+import tempfile
 import zlib
 
 import numpy as np
@@ -16,6 +19,17 @@ BLANKS = r"\x20\x09-\x0D"
 WORD = f"[^{BLANKS}]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this library's code to the executors, once per Spark application (as ``--py-files`` does)."""
+    context = spark.sparkContext
+    if getattr(context, "_fleetgold_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "fleetgold"), "zip", root, "fleetgold")
+    context.addPyFile(archive)
+    context._fleetgold_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,8 +67,9 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of one Arrow batch, so that very long texts fit a worker's memory."""
+def python_tasks(spark: SparkSession, rows: int = 512) -> None:
+    """Bound the rows of one Arrow batch, so that very long texts fit a worker's memory; ship the code."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

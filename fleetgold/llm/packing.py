@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgold.llm.common import saved, small_batches, text_of, written
+from fleetgold.llm.common import saved, python_tasks, text_of, written
 from fleetgold.llm.tokens import default_vocabulary, encoder
 
 WINDOW = 2048
@@ -179,7 +179,7 @@ def pack(
     fan_in: int = FAN_IN,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (unsigned 32-bit, little-endian)."""
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     pieces = written(
         texts.mapInArrow(

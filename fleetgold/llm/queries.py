@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgold.llm import mixing, packing
-from fleetgold.llm.common import table
+from fleetgold.llm import huffman, mixing, packing, qda
+from fleetgold.llm.common import id_crc, table
+from fleetgold.sources.shared import new_folder
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,20 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token-files")
+    huffman.write_ids(table(spark, sf_dir, "documents"), folder)
+    return huffman.digest(spark, folder)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc() % 3 == 1
+    scores = qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out)
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op5_mixing)
+    f.__name__: f for f in (op2_packing, op5_mixing, op6_token_files, op10_quality)
 }
