@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgold.llm import huffman, mixing, packing, qda
+from fleetgold.llm import huffman, line_dedup, mixing, ngram_join, packing, qda
 from fleetgold.llm.common import id_crc, table
 from fleetgold.sources.shared import new_folder
 
@@ -19,6 +19,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.per_document(docs, line_dedup.marked_lines(docs))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -30,6 +35,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.digest(spark, folder)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_crc() % 3 == 1
     scores = qda.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out)
@@ -39,5 +48,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op5_mixing, op6_token_files, op10_quality)
+    f.__name__: f for f in (
+        op2_packing, op3_line_dedup, op5_mixing, op6_token_files, op9_ngram_join, op10_quality,
+    )
 }
