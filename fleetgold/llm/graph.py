@@ -58,3 +58,32 @@ def components(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     )
+
+
+def class_results(rows: DataFrame, name: str, classes: DataFrame, compared: DataFrame) -> DataFrame:
+    """(``name``, class_id, n_links) for every row of ``rows`` (``name``, key), also where the key is null.
+
+    ``classes`` has key, node, first_id (the smallest ``name``) and copies, one row per
+    set of equal things. ``compared`` has node, links and reached, any number of rows per
+    node. class_id is the smallest ``name`` of all connected classes; a class's copies
+    are links too. A row with a null key is alone.
+    """
+    links = compared.groupBy("node").agg(F.sum("links").alias("links"))
+    roots = components(compared.where("links > 0"), "node", "reached")
+    smallest = classes.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("class_id"))
+    joined = lookup_join(roots, smallest, ["root"], "inner").select("node", "class_id")
+    index = (
+        classes.select("key", "node", "first_id", "copies")
+        .join(joined, "node", "left")
+        .join(links, "node", "left")
+        .select(
+            "key",
+            F.coalesce("class_id", "first_id").alias("class_id"),
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        )
+    )
+    return lookup_join(rows, index, ["key"], "left").select(
+        name,
+        F.when(F.col("key").isNull(), F.col(name)).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )

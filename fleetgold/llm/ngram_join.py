@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fleetgold.llm import tiles
 from fleetgold.llm.common import python_tasks, release, saved, text_of
-from fleetgold.llm.graph import components
+from fleetgold.llm.graph import class_results, components
 from fleetgold.llm.shingles import signatures, word_shingles
 from fleetgold.operators.skew import broadcast_checked, lookup_join
 
@@ -119,22 +119,4 @@ def similar_documents(
             break
         at -= 1
     release(spark)
-    links = compared.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(compared.where("links > 0"), "node", "reached")
-    smallest = classes.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("class_id"))
-    joined = lookup_join(roots, smallest, ["root"], "inner").select("node", "class_id")
-    index = (
-        classes.select("key", "node", "first_id", "copies")
-        .join(joined, "node", "left")
-        .join(links, "node", "left")
-        .select(
-            "key",
-            F.coalesce("class_id", "first_id").alias("class_id"),
-            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        )
-    )
-    return lookup_join(rows.select("doc_id", "key"), index, ["key"], "left").select(
-        "doc_id",
-        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    return class_results(rows.select("doc_id", "key"), "doc_id", classes, compared)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgold.llm import huffman, line_dedup, mixing, ngram_join, packing, qda
+from fleetgold.llm import embed_dedup, huffman, line_dedup, mih, mixing, ngram_join, packing, qda
 from fleetgold.llm.common import id_crc, table
 from fleetgold.sources.shared import new_folder
 
@@ -35,6 +35,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.digest(spark, folder)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_packing, op3_line_dedup, op5_mixing, op6_token_files, op9_ngram_join, op10_quality,
+        op2_packing, op3_line_dedup, op5_mixing, op6_token_files, op7_embedding_dedup, op8_nearest,
+        op9_ngram_join, op10_quality,
     )
 }

@@ -50,12 +50,19 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def smallest_reached(linked: np.ndarray) -> np.ndarray:
-    """For every row of a symmetric link matrix: the smallest row it is connected to."""
-    label = np.arange(len(linked), dtype=np.int32)
-    top = np.int32(len(linked))
+def smallest_reached(linked: np.ndarray, left: np.ndarray, right: np.ndarray, piece: int = 512) -> np.ndarray:
+    """For every item: the smallest item it is connected to, from a matrix of links.
+
+    ``left`` and ``right`` are the items behind the matrix's rows and columns.
+    """
+    label = np.arange(int(max(left.max(initial=-1), right.max(initial=-1))) + 1, dtype=np.int32)
+    top = np.int32(len(label))
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], top).min(1, initial=top))
+        new = label.copy()
+        for a in range(0, len(left), piece):
+            part, rows = linked[a : a + piece], left[a : a + piece]
+            new[rows] = np.minimum(new[rows], np.where(part, new[right][None, :], top).min(1, initial=top))
+            new[right] = np.minimum(new[right], np.where(part, new[rows][:, None], top).min(0, initial=top))
         new = np.minimum(new, new[new])
         if np.array_equal(new, label):
             return label
@@ -77,20 +84,19 @@ def _tile(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable |
     linked = share >= threshold
     if same:
         np.fill_diagonal(linked, False)
-    whole = linked
-    if not same:
-        whole = np.zeros((len(frame), len(frame)), bool)
-        whole[np.ix_(*places)] = linked
-        whole |= whole.T
     weight = frame["copies"].to_numpy(np.float64)
+    links = np.zeros(len(frame))
+    links[places[0]] += linked @ weight[places[1]]
+    if not same:
+        links[places[1]] += weight[places[0]] @ linked
     node = frame["node"].to_numpy()
     pairs = np.triu(linked) if same else linked
     expected = found_by(share[pairs]) if found_by else np.ones(int(pairs.sum()))
     return pd.DataFrame(
         {
             "node": node,
-            "links": (whole @ weight).astype(np.int64),
-            "reached": node[smallest_reached(whole)],
+            "links": links.astype(np.int64),
+            "reached": node[smallest_reached(linked, *places)],
             "found": np.where(np.arange(len(node)) == 0, float(len(expected)), 0.0),
             "expected": np.where(np.arange(len(node)) == 0, float((1 / expected).sum()), 0.0),
         }
