@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgold.llm import embed_dedup, huffman, line_dedup, mih, mixing, ngram_join, packing, qda
+from fleetgold.llm import embed_dedup, huffman, line_dedup, mih, mixing, ngram_join, packing, ppm, qda
 from fleetgold.llm.common import id_crc, table
 from fleetgold.sources.shared import new_folder
 
@@ -24,6 +24,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.per_document(docs, line_dedup.marked_lines(docs))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc() % 10 == 0
+    scores = ppm.trained_scores(table(spark, sf_dir, "documents"), learn=~held_out)
+    return scores.withColumn("held_out", held_out)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -57,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_packing, op3_line_dedup, op5_mixing, op6_token_files, op7_embedding_dedup, op8_nearest,
+        op2_packing, op3_line_dedup, op4_ppm, op5_mixing, op6_token_files, op7_embedding_dedup, op8_nearest,
         op9_ngram_join, op10_quality,
     )
 }
