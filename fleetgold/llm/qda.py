@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgold.llm.common import saved, python_tasks, text_of
+from fleetgold.operators.skew import broadcast_checked
 
 NAMES = (
     "upper", "digits", "symbols", "bare", "tails", "word_length", "word_spread", "word_types", "pair_types",
@@ -200,3 +201,27 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     if learn is not None:
         usable = usable.where(learn)
     return scored(stats, fit(stats.join(usable, "doc_id")))
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Discriminant:
+    """Learn from all documents that ``labels`` (doc_id, quality) has, where ``learn`` holds of doc_id."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
+    usable = usable.where("label in (0, 1)")
+    if learn is not None:
+        usable = usable.withColumnRenamed("id", "doc_id").where(learn).withColumnRenamed("doc_id", "id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    known = texts.join(broadcast_checked(usable.select("id").distinct()), F.col("doc_id") == F.col("id"), "left_semi")
+    return fit(with_statistics(known).join(usable, F.col("doc_id") == F.col("id")))
+
+
+def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores at least ``threshold``; no join, one pass."""
+    python_tasks(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            x = np.array([statistics(t) for t in batch.column(at).to_pylist()], float).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

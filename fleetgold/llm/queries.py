@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgold.llm import embed_dedup, huffman, line_dedup, mih, mixing, ngram_join, packing, ppm, qda
+from fleetgold.llm import embed_dedup, huffman, license_scan, line_dedup, mih, mixing, ngram_join, packing, ppm, qda
 from fleetgold.llm.common import id_crc, table
 from fleetgold.sources.shared import new_folder
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select(
@@ -63,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_packing, op3_line_dedup, op4_ppm, op5_mixing, op6_token_files, op7_embedding_dedup, op8_nearest,
+        op1_license_scan, op2_packing, op3_line_dedup, op4_ppm, op5_mixing, op6_token_files, op7_embedding_dedup, op8_nearest,
         op9_ngram_join, op10_quality,
     )
 }
