@@ -45,9 +45,12 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written as compressed Parquet below the shared folder and reread: for wide rows."""
+    """``df`` written as compressed Parquet below the shared folder and reread: for wide rows.
+
+    Small row groups, as a writer holds one of each task in memory.
+    """
     folder = new_folder(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -32,7 +32,7 @@ from fleetgold.llm.tokens import default_vocabulary, encoder
 
 LONGEST = 16
 CHECKPOINT = 128
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 19
 PART_BITS = 32
 
 
@@ -142,7 +142,7 @@ def _batch(columns, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def _blocks(vocabulary: str, end_id: int, block_tokens: int):
+def _blocks(vocabulary: str, end_id: int, block_tokens: int, narrow: str):
     """Tokenize one range partition into blocks of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,18 +151,18 @@ def _blocks(vocabulary: str, end_id: int, block_tokens: int):
         block = TaskContext.get().partitionId() << PART_BITS
         end = int(end_id).to_bytes(4, "little")
         docs: list[int | None] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            return _batch([[block], [docs], [[len(p) // 4 for p in parts]], [held], [b"".join(parts)]], RAW)
+            return _batch([[block], [docs], [[len(p) for p in parts]], [held], [np.concatenate(parts).tobytes()]], RAW)
 
         for batch in batches:
             texts = encoder(vocabulary).encode(batch.column("text").to_pylist())
             for doc, ids in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 docs.append(doc)
-                parts.append(ids + end)
-                held += len(ids) // 4 + 1
+                parts.append(np.frombuffer(ids + end, "<u4").astype(narrow))
+                held += len(parts[-1])
                 if held >= block_tokens:
                     yield flush()
                     block, docs, parts, held = block + 1, [], [], 0
@@ -172,12 +172,12 @@ def _blocks(vocabulary: str, end_id: int, block_tokens: int):
     return run
 
 
-def _counts(size: int):
+def _counts(size: int, narrow: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=size)
+                total += np.bincount(np.frombuffer(ids.as_buffer(), narrow), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"symbol": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
 
@@ -193,14 +193,15 @@ def write_ids(
     python_tasks(spark)
     vocabulary = vocabulary or default_vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    size = max(encoder(vocabulary).size, end_id + 1)
+    narrow = "<u2" if size <= 1 << 16 else "<u4"  # of the ids between tokenizing and coding
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    raw = written(ordered.mapInArrow(_blocks(vocabulary, end_id, block_tokens), RAW_SQL), "token-blocks")
+    raw = written(ordered.mapInArrow(_blocks(vocabulary, end_id, block_tokens, narrow), RAW_SQL), "token-blocks")
     del ordered
     release(spark)
     # One row per id that occurs: the vocabulary bounds it.
-    size = encoder(vocabulary).size
     counts = np.zeros(size, np.int64)
-    tallies = raw.select("ids").mapInArrow(_counts(size), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    tallies = raw.select("ids").mapInArrow(_counts(size, narrow), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
     for symbol, n in tallies.toLocalIterator():
         counts[symbol] = n
     lengths = code_lengths(counts)
@@ -211,7 +212,7 @@ def write_ids(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [encode_ids(np.frombuffer(ids.as_buffer(), "<u4"), lengths, codes) for ids in batch.column("ids")]
+            made = [encode_ids(np.frombuffer(ids.as_buffer(), narrow), lengths, codes) for ids in batch.column("ids")]
             yield _batch([*(batch.column(n) for n in FIELDS), *zip(*made, strict=True)], coded)
 
     blocks = raw.mapInArrow(encode, RAW_SQL.replace("ids binary", "bits binary, checkpoints array<long>"))
