@@ -132,7 +132,8 @@ class Template:
             start = hits[begin]
             end = bisect.bisect_left(hits, start + self.window, begin)
             if start >= done and self._enough(Counter(words[i] for i in hits[begin:end])):
-                pairs = align(words[start : start + self.window], self.words)
+                # The notice may begin late in the window, so what follows is aligned too.
+                pairs = align(words[start : start + self.window + len(self.words)], self.words)
                 if len(pairs) >= self.coverage * len(self.words):
                     done = start + pairs[-1][0] + 1
                     yield len(pairs) / len(self.words), start + pairs[0][0], done

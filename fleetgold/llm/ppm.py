@@ -337,14 +337,14 @@ def _score(model: Model, parts: list[int], tables_, first: bool):
             runs = grams(streams, order)
             mine = here[part_of[(runs >> U8) & np.uint64(0xFFFF)]]
             different, place = np.unique(runs[mine], return_inverse=True)
-            score = np.bincount(doc[mine], log_chances(different, order, shard, base)[place], len(streams))
+            score = np.bincount(doc[mine], log_chances(different, order, shard, base)[place], len(streams)).astype(float)
             words, n_words = words_of(streams)
             owner = np.repeat(np.arange(len(streams)), n_words)
             held = here[(words % np.uint64(n_parts)).astype(np.int64)]
             at, known = find(word_keys, words[held])
             count = np.where(known, word_counts[at] if len(word_counts) else 0, 0)
             logs = np.log10(count + BASE_ADDED) - bottom
-            base_score = np.bincount(owner[held], logs, len(streams))
+            base_score = np.bincount(owner[held], logs, len(streams)).astype(float)
             n_known = np.bincount(owner[held], known, len(streams)).astype(np.int64)
             if first:  # every text's end token, once
                 base_score += math.log10(ends + BASE_ADDED) - bottom
