@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from fleetgold.llm import tiles
 from fleetgold.llm.common import python_tasks, release, saved, text_of
 from fleetgold.llm.graph import components
-from fleetgold.llm.shingles import char_shingles, signatures
+from fleetgold.llm.shingles import banded, char_shingles, signatures
 from fleetgold.operators.skew import broadcast_checked, lookup_join
 
 CHARS = 8
 THRESHOLD = 0.8
-BANDS = 14
+BANDS = 12
 ROWS = 5
 #: ASCII white space, which is cut off a line's ends.
 ENDS = " \t\n\x0b\x0c\r"
@@ -54,26 +54,18 @@ def _lines(chars: int, bands: int, rows: int):
                         keys.append(hashlib.md5(line.encode("utf-8", "surrogatepass")).digest())
                         found.setdefault(keys[-1], line)  # equal lines of a batch get their values once
             values = signatures(*char_shingles(list(found.values()), chars), bands * rows)
-            signed = dict(zip(found, (v.astype(">u4").tobytes() for v in values), strict=True))
+            signed = dict(zip(found, (v.astype(">u8").tobytes() for v in banded(values, bands)), strict=True))
             seen: set[bytes] = set()
             once = [signed[k] if k not in seen and not seen.add(k) else None for k in keys]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(keys, pa.binary())]
-                + [pa.array([b and _hashed(b, bands, rows) for b in once], pa.binary())],
+                + [pa.array(once, pa.binary())],
                 schema=schema,
             )
 
     return run
 
 
-def _hashed(values: bytes, bands: int, rows: int) -> bytes:
-    """Each band's values as 8 bytes."""
-    wide = 4 * rows
-    return b"".join(
-        hashlib.blake2b(values[b * wide : (b + 1) * wide], digest_size=8).digest() for b in range(bands)
-    )
-
-
 def marked_lines(
     docs: DataFrame, chars: int = CHARS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -90,6 +82,7 @@ def marked_lines(
         .agg(first, F.max("bands").alias("bands"))  # any: all copies have the same
         .withColumn("node", F.monotonically_increasing_id())
     )
+    lines = saved(lines.drop("bands"))
     release(spark)
     keys = F.array(
         *[F.xxhash64(F.lit(b), F.expr(f"substring(bands, {1 + 8 * b}, 8)")) for b in range(bands)]
@@ -98,20 +91,26 @@ def marked_lines(
     shared = members.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
     links = lookup_join(members, shared.select("band", "low"), ["band"], "inner")
     found = components(links.where("node != low").distinct(), "node", "low")
+    classes = saved(classes.drop("bands"))
+    del members, shared, links
+    release(spark)
     wanted = saved(
-        found.join(classes.drop("bands"), "node").select(
+        found.join(classes, "node").select(
             "node", "root", "key", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")
         )
     )
     release(spark)
     split = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    trimmed = split.withColumn("line", F.expr(f"trim(BOTH '{_sql(ENDS)}' FROM line)")).where("line != ''")
-    fetched = trimmed.join(
+    placed = split.join(
         broadcast_checked(wanted),
-        F.col("doc_id").eqNullSafe(F.col("first_doc"))
-        & (F.col("line_no") == F.col("first_line"))
-        & (F.unhex(F.md5(F.col("line").cast("binary"))) == F.col("key")),
-    ).select("node", "root", F.col("line").alias("text"), F.lit(1).alias("copies"))
+        F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")),
+    )
+    # The key tells the line from one at the same place of another row with this doc_id.
+    fetched = (
+        placed.withColumn("text", F.expr(f"trim(BOTH '{_sql(ENDS)}' FROM line)"))
+        .where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("key"))
+        .select("node", "root", "text", F.lit(1).alias("copies"))
+    )
     chosen = saved(fetched.dropDuplicates(["node"]))
     shingles = lambda t: char_shingles(t, chars)
     compared = tiles.compare(chosen, shingles, threshold).where("links > 0").select("node", "reached")

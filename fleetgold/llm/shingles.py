@@ -37,16 +37,18 @@ def _windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
     total = int(made.sum())
     owner = np.repeat(np.arange(len(counts)), made)
     first = np.repeat(starts, made) + (np.arange(total) - np.repeat(np.cumsum(made) - made, made))
-    width = np.minimum(size, counts)[owner]
-    short = width < size
-    out = np.zeros(total, np.uint64)
-    last = len(hashes) - 1
+    # Every place of the whole array first, in order; then those where a run begins.
+    padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
+    powers = _power(BASE, size)
+    sums = np.zeros(len(hashes), np.uint64)
     for k in range(size):
-        term = hashes[np.minimum(first + k, last)] * _power(BASE, size)[k] if total else out
-        if short.any():
-            term = np.where(k < width, term, np.uint64(0))
-        out += term
-    return mix(out + width.astype(np.uint64)), made
+        sums += padded[k : k + len(hashes)] * powers[k]
+    out = sums[first] + np.uint64(size)
+    place = np.cumsum(made) - made
+    for i in np.flatnonzero((counts > 0) & (counts < size)):  # one run, shorter
+        at, n = starts[i], counts[i]
+        out[place[i]] = (hashes[at : at + n] * powers[:n]).sum(dtype=np.uint64) + np.uint64(n)
+    return mix(out), made
 
 
 def word_shingles(texts: Sequence[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,3 +103,13 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, piece: int = 1 <<
 def sets(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """The distinct hashes of each text."""
     return [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
+
+
+def banded(values: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit number for the values of each band of each text."""
+    texts, n = values.shape
+    grouped = values.astype(np.uint64).reshape(texts, bands, n // bands) + np.uint64(1)
+    out = np.zeros((texts, bands), np.uint64)
+    for k in range(n // bands):
+        out = mix(out + grouped[:, :, k])
+    return out
