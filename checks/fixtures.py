@@ -89,7 +89,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 11 != 0).alias("is_list"),
         F.col("o_orderkey").alias("ord"),
         named("/lake/", F.col("o_orderkey")).alias("location"),
-        F.when(F.col("o_orderstatus") == "P", F.lit("csv")).otherwise(F.lit("delta")).alias("format"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("csv")).otherwise(F.lit("parquet")).alias("format"),
     )
 
 

@@ -114,7 +114,7 @@ def run(spark: SparkSession, sf_dir: str) -> Store:
         F.lit(True).alias("is_list"),
         F.col("s_suppkey").alias("ord"),
         F.lit(snapshot.location).alias("location"),
-        F.when(F.col("s_acctbal") < 1000, F.lit("csv")).otherwise(F.lit("delta")).alias("format"),
+        F.when(F.col("s_acctbal") < 1000, F.lit("csv")).otherwise(F.lit("parquet")).alias("format"),
     )
 
     def load_source(store, product, ready):

@@ -223,7 +223,8 @@ select o_orderkey, case when o_orderstatus <> 'P' then cast(substring(o_orderpri
   case when o_orderstatus = 'F' or o_orderpriority <> '5-LOW' then o_custkey end customer,
   case when o_orderstatus = 'P' and o_orderpriority = '5-LOW' then 'code: type; customer: null'
        when o_orderstatus = 'P' then 'code: type'
-       when o_orderstatus <> 'F' and o_orderpriority = '5-LOW' then 'customer: null' end reject_reason
+       when o_orderstatus <> 'F' and o_orderpriority = '5-LOW' then 'customer: null' end reject_reason,
+  case when o_orderstatus = 'P' then o_orderpriority end raw_code
 from orders""",
     "product_params": _with(_PARTS)
     + """
@@ -271,6 +272,12 @@ union all select 'L' || p_partkey, tenant_id, 'q' || p_partkey, null, 'READY_UNC
 select q.*, r.location, r.contract,
   case when r.name is null then 'NOT_FOUND' when r.contract = '' then 'NO_CONTRACT' end problem
 from requests q left join registry r using (tenant_id, layer, namespace, name, version)""",
+    "registry_lookup_partial": _with(_REGISTRY)
+    + """
+, asked as (select *, cast(substring(product_id, 2) as bigint) % 3 m from requests where req_ord = 1)
+select q.product_id, r.tenant_id, r.layer, r.namespace, r.name, r.version, r.location
+from asked q join registry r on r.tenant_id = q.tenant_id and r.name = q.name
+  and (m = 0 or r.layer = q.layer) and (m <> 2 or r.version = q.version)""",
     "coordinates_merge": _with(_REGISTRY)
     + """
 , found as (select q.*, r.location, r.contract from requests q
@@ -301,6 +308,16 @@ union all select doc_id, l1, t1, 'update_postimage' from changed""",
     "overwrite_feed": _with(_EDITED)
     + " select *, 'delete' change_type from orders union all select *, 'insert' from edited",
     "snapshot_write": _with(_EDITED) + " select *, 't' || (o_custkey % 7) tenant_id from edited",
+    "reserved_columns": """
+select 't' || (o_custkey % 7) tenant_id, o_orderkey, o_orderstatus = 'P' rejected, o_orderpriority "snapshot",
+  case when o_orderstatus = 'F' then o_orderpriority end reject_reason from orders""",
+    "reject_side": """
+select 't' || (o_custkey % 7) tenant_id, o_orderkey, cast(null as int) code, o_custkey customer,
+  'code: type' reason, o_orderpriority raw_code from orders where o_orderstatus = 'P'""",
+    "registration_order": "select *, 't' || (o_custkey % 7) tenant_id from orders",
+    "mixed_contracts": """
+select 't' || (o_custkey % 7) tenant_id, o_orderkey,
+  case when o_custkey % 7 = 1 then o_custkey else cast(substring(o_orderpriority, 1, 1) as bigint) end code from orders""",
     "snapshot_changes": _with(_EDITED) + f" select *, 't' || (o_custkey % 7) tenant_id from ({_CHANGES})",
     "run_status": _with(_STATUS) + " select * from latest",
     "status_counts": _with(_STATUS) + " select tenant_id, text, count(*) n from latest group by 1, 2",

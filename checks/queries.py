@@ -77,8 +77,8 @@ def scan_by_location(spark, d) -> DataFrame:
         F.lit("silver:sales:Orders:1.0.0").alias("table_key"),
         F.lit(True).alias("is_list"),
         F.col("seq").alias("ord"),
-        F.concat("location", F.lit("/rejected=false/tenant_id="), "tenant_id").alias("location"),
-        F.lit("delta").alias("format"),
+        F.concat("location", F.lit("/fg_rejected=false/tenant_id="), "tenant_id").alias("location"),
+        F.lit("parquet").alias("format"),
     )
     runs = listed.select(
         F.lit("L").alias("launch_id"), "tenant_id", F.lit("p").alias("product_id"), F.array("share_id").alias("share_ids")
@@ -134,7 +134,9 @@ def conform_rejects(spark, d) -> DataFrame:
         F.when(F.col("o_orderstatus") == "P", priority).otherwise(F.substring(priority, 1, 1)).alias("code"),
         F.when((F.col("o_orderstatus") == "F") | (priority != "5-LOW"), F.col("o_custkey")).alias("customer"),
     )
-    return conform.conform_marked(orders, _schema(spark, "Order"))
+    marked = conform.conform_marked(orders, _schema(spark, "Order"))
+    raw = F.col(conform.VALUES_COLUMN)["code"].alias("raw_code")
+    return marked.select("o_orderkey", "code", "customer", F.col(conform.REJECT_COLUMN).alias("reject_reason"), raw)
 
 
 # parameters
@@ -195,6 +197,20 @@ def registry_lookup(spark, d) -> DataFrame:
     return lookup.lookup_tables(fx.requests(spark, d), registry_upsert(spark, d))
 
 
+def registry_lookup_partial(spark, d) -> DataFrame:
+    """Requests that leave out coordinates: a missing one matches anything."""
+    size = F.substring("product_id", 2, 20).cast("bigint") % 3
+    asked = fx.requests(spark, d).where("req_ord = 1").select(
+        "product_id",
+        "tenant_id",
+        F.when(size != 0, F.col("layer")).alias("layer"),
+        F.lit(None).cast("string").alias("namespace"),
+        "name",
+        F.when(size == 2, F.col("version")).alias("version"),
+    )
+    return lookup.lookup_given(asked, registry_upsert(spark, d), ["product_id"])
+
+
 def coordinates_merge(spark, d) -> DataFrame:
     return lookup.merge_requests(
         fx.requests(spark, d), registry_upsert(spark, d), ["product_id", "tenant_id"], "req_ord"
@@ -270,6 +286,65 @@ def snapshot_write(spark, d) -> DataFrame:
     return store.read(coords, fx.table(spark, d, "orders").schema)
 
 
+def reserved_columns(spark, d) -> DataFrame:
+    """A product's own columns named as an older store named its, read back as written."""
+    store, coords = Store(spark, new_folder(spark, "own")), Coordinates("gold", "sales", "Own", "1.0.0")
+    own = fx.by_tenant(fx.table(spark, d, "orders")).select(
+        "tenant_id",
+        "o_orderkey",
+        (F.col("o_orderstatus") == "P").alias("rejected"),
+        F.col("o_orderpriority").alias("snapshot"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("reject_reason"),
+    )
+    store.register(own.select("tenant_id").distinct(), coords, store.write_snapshot(own, coords))
+    return store.read(coords, own.schema)
+
+
+def reject_side(spark, d) -> DataFrame:
+    """Rows that do not fit their contract, from the store: why, and the raw value."""
+    store, coords = Store(spark, new_folder(spark, "rejects")), Coordinates("gold", "sales", "Order", "1.0.0")
+    priority = F.col("o_orderpriority")
+    orders = fx.by_tenant(fx.table(spark, d, "orders")).select(
+        "tenant_id",
+        "o_orderkey",
+        F.when(F.col("o_orderstatus") == "P", priority).otherwise(F.substring(priority, 1, 1)).alias("code"),
+        F.col("o_custkey").alias("customer"),
+    )
+    marked = conform.conform_marked(orders, _schema(spark, "Order"), carry=["tenant_id"])
+    snapshot = store.write_snapshot(marked, coords, marked=True)
+    store.register(orders.select("tenant_id").distinct(), coords, snapshot, LINE_CONTRACT)
+    values = F.col(conform.VALUES_COLUMN)["code"].alias("raw_code")
+    rejected = store.read(coords, rejected=True)
+    return rejected.select("tenant_id", "o_orderkey", "code", "customer", F.col(conform.REJECT_COLUMN).alias("reason"), values)
+
+
+def registration_order(spark, d) -> DataFrame:
+    """Snapshot A is written before B and registered after it: A counts."""
+    store, coords = Store(spark, new_folder(spark, "order")), Coordinates("gold", "sales", "Orders", "1.0.0")
+    first, second = (fx.by_tenant(o) for o in (fx.table(spark, d, "orders"), fx.edited_orders(spark, d)))
+    a, b = store.write_snapshot(first, coords), store.write_snapshot(second, coords)
+    tenants = first.select("tenant_id").distinct()
+    store.register(tenants, coords, b)
+    store.register(tenants, coords, a)
+    return store.read(coords, fx.table(spark, d, "orders").schema)
+
+
+def _element(kind: str) -> str:
+    elements = f'{{"o_orderkey": {{"type": "cds.Integer64"}}, "code": {{"type": "{kind}"}}}}'
+    return f'{{"definitions": {{"svc.Mixed": {{"kind": "entity", "elements": {elements}}}}}}}'
+
+
+def mixed_contracts(spark, d) -> DataFrame:
+    """One tenant has moved to a contract with another type; the others stay readable."""
+    store, coords = Store(spark, new_folder(spark, "mixed")), Coordinates("gold", "sales", "Mixed", "1.0.0")
+    orders = fx.by_tenant(fx.table(spark, d, "orders"))
+    old = orders.select("tenant_id", "o_orderkey", F.substring("o_orderpriority", 1, 1).alias("code"))
+    store.register(old.select("tenant_id").distinct(), coords, store.write_snapshot(old, coords), _element("cds.String"))
+    new = orders.where("tenant_id = 't1'").select("tenant_id", "o_orderkey", F.col("o_custkey").alias("code"))
+    store.register(new.select("tenant_id").distinct(), coords, store.write_snapshot(new, coords), _element("cds.Integer64"))
+    return store.read(coords)
+
+
 def snapshot_changes(spark, d) -> DataFrame:
     store, coords = _two_snapshots(spark, d)
     return store.changes(coords, ["o_orderkey"], fx.table(spark, d, "orders").schema)
@@ -330,6 +405,7 @@ QUERIES = {
         run_plan,
         registry_upsert,
         registry_lookup,
+        registry_lookup_partial,
         coordinates_merge,
         address_layout,
         address_rejects,
@@ -337,6 +413,10 @@ QUERIES = {
         document_changes,
         overwrite_feed,
         snapshot_write,
+        reserved_columns,
+        reject_side,
+        registration_order,
+        mixed_contracts,
         snapshot_changes,
         run_status,
         status_counts,

@@ -36,6 +36,11 @@ def clean_version(version: Column) -> Column:
     ).otherwise(version)
 
 
+def cleaned(version: str) -> str:
+    """``clean_version`` of one value."""
+    return version[1:] if version.startswith(CLEANED_VERSION) else version
+
+
 def layer_or_default(layer: Column) -> Column:
     return F.coalesce(F.nullif(layer, F.lit("")), F.lit(DEFAULT_LAYER))
 

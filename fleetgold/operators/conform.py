@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-REJECT_COLUMN = "reject_reason"
+# Reserved names: no published table may have a column with one of them.
+REJECT_COLUMN, VALUES_COLUMN = "fg_reason", "fg_values"
 
 
 def _source_names(df: DataFrame, schema: StructType) -> dict[str, str | None]:
@@ -65,15 +66,16 @@ def conform(df: DataFrame, schema: StructType, carry: Sequence[str] = ()) -> Dat
 
 
 def conform_marked(df: DataFrame, schema: StructType, carry: Sequence[str] = ()) -> DataFrame:
-    """As ``conform``, but bad rows stay in, with ``reject_reason`` filled.
+    """As ``conform``, but bad rows stay in, with ``fg_reason`` and ``fg_values`` filled.
 
-    ``reject_reason`` lists the faulty columns in contract order, or is null.
-    Write the result once, partitioned by ``reject_reason is null``, to get the
+    ``fg_reason`` lists the faulty columns in contract order, or is null.
+    ``fg_values`` maps each column whose value does not fit to that value as text.
+    Write the result once, partitioned by ``fg_reason is null``, to get the
     good and the bad rows from a single pass.
     """
     types = dict(df.dtypes)
     sources = _source_names(df, schema)
-    out, faults = [_column(c) for c in carry], []
+    out, faults, kept = [_column(c) for c in carry], [], []
     for field in schema.fields:
         source, target = sources[field.name], field.dataType
         if source is None:
@@ -83,10 +85,14 @@ def conform_marked(df: DataFrame, schema: StructType, carry: Sequence[str] = ())
         value = raw if types[source] == target.simpleString() else raw.try_cast(target)
         out.append(value.alias(field.name, metadata=field.metadata))
         if types[source] != target.simpleString():
-            faults.append(
-                F.when(raw.isNotNull() & value.isNull(), F.lit(f"{field.name}: type"))
-            )
+            misfit = raw.isNotNull() & value.isNull()
+            faults.append(F.when(misfit, F.lit(f"{field.name}: type")))
+            text = raw.cast("string") if "map" not in types[source] else F.to_json(raw)
+            kept.append(F.when(misfit, F.struct(F.lit(field.name).alias("k"), text.alias("v"))))
         if not field.nullable:
             faults.append(F.when(raw.isNull(), F.lit(f"{field.name}: null")))
     reason = F.nullif(F.concat_ws("; ", *faults), F.lit("")) if faults else F.lit(None).cast("string")
-    return df.select(*out, reason.alias(REJECT_COLUMN))
+    values = F.map_from_entries(F.array_compact(F.array(*kept))) if kept else F.create_map().cast("map<string,string>")
+    return df.select(
+        *out, reason.alias(REJECT_COLUMN), F.when(reason.isNotNull(), values).alias(VALUES_COLUMN)
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,31 @@ def lookup_tables(requests: DataFrame, current: DataFrame) -> DataFrame:
     ).drop("_hit")
 
 
+def lookup_given(requests: DataFrame, current: DataFrame, request_keys: Sequence[str]) -> DataFrame:
+    """All current tables that match the given coordinates of each request; a null coordinate matches any.
+
+    ``requests`` has ``request_keys``, ``tenant_id`` and the coordinates. The requests
+    that give the same coordinates are one equi join, so there are at most 16 joins
+    and no condition with "or". Result: the request's keys, the found table's
+    coordinates and its location.
+    """
+    asked = requests.withColumn("version", clean_version(F.col("version")))
+    given = F.concat(*[F.col(c).isNotNull().cast("int").cast("string") for c in COORDINATES])
+    asked = asked.withColumn("_given", given)
+    patterns = sorted(r[0] for r in asked.select("_given").distinct().collect())  # at most 16
+    found = []
+    for pattern in patterns:
+        keys = ["tenant_id", *[c for c, g in zip(COORDINATES, pattern, strict=True) if g == "1"]]
+        index = current.select(*TABLE_KEYS, "location")
+        some = asked.where(F.col("_given") == pattern).select(*{*request_keys, *keys})
+        found.append(some.join(index, keys).select(*request_keys, *[c for c in TABLE_KEYS if c not in request_keys], "location"))
+    if not found:
+        return asked.join(current.select(*TABLE_KEYS, "location"), TABLE_KEYS).select(
+            *request_keys, *[c for c in TABLE_KEYS if c not in request_keys], "location"
+        )
+    return reduce(DataFrame.unionByName, found)
+
+
 def contract_text(requests: DataFrame, current: DataFrame) -> DataFrame:
     """Contract text per request; an unknown table or an empty contract fails the job."""
     found = lookup_tables(requests, current)

@@ -17,8 +17,8 @@ from fleetgold.functions.rows import each
 from fleetgold.operators.skew import lookup_join
 
 RUN_KEYS = ["launch_id", "tenant_id", "product_id"]
-# Formats a table may have to count as readable. Fixed value.
-READABLE_FORMATS = ("delta",)
+# Formats a table may have to count as readable: what Spark reads with a schema of its own. Fixed value.
+READABLE_FORMATS = ("delta", "orc", "parquet")
 
 
 def _kept(df: DataFrame, keys: Sequence[str], found) -> DataFrame:

@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetgold.functions.address import layer_or_default
+from fleetgold.functions.address import clean_version, layer_or_default
 from fleetgold.functions.params import as_map, change_feed_flag, good_entries, last_value
 from fleetgold.operators.conform import conform, conform_marked
-from fleetgold.operators.shares import RUN_KEYS
+from fleetgold.operators.shares import READABLE_FORMATS, RUN_KEYS
 from fleetgold.operators.skew import broadcast_checked
 from fleetgold.plans.runplan import BAD_COORDINATES, BAD_PARAMS, RUNNABLE, run_plan
-from fleetgold.plans.status import ACTIVE, ERROR, FAILED, INFO, SUCCESS, status_rows
+from fleetgold.plans.status import ACTIVE, ERROR, FAILED, INFO, NOT_STARTED, SUCCESS, status_rows
 from fleetgold.plans.store import Coordinates, Snapshot, Store
 from fleetgold.sources.contracts import find_entity, read_contracts
 from fleetgold.sources.launch import launch_products
@@ -67,7 +68,9 @@ def publish_standard(
     """
     entity = find_entity(read_contracts(store.spark, product.contract_file), product.coordinates.name)
     fit = conform_marked if keep_rejects else conform
-    snapshot = store.write_snapshot(fit(result, entity.schema, carry=["tenant_id"]), product.coordinates)
+    snapshot = store.write_snapshot(
+        fit(result, entity.schema, carry=["tenant_id"]), product.coordinates, marked=keep_rejects
+    )
     store.register(ready, product.coordinates, snapshot, entity.contract, product.change_feed)
     return snapshot
 
@@ -82,8 +85,9 @@ def run_product(
 ) -> Any:
     """One Spark job for one product and all its ready tenants.
 
-    ``ready`` holds run rows. Any error is recorded for each of them and raised.
+    ``ready`` holds run rows: "active" from now on. Any error is recorded for each of them and raised.
     """
+    store.append_statuses(status_rows(ready, ACTIVE, INFO, time.time_ns()))
     try:
         done = publish(store, product, transform(load(store, product, ready), product.params), ready)
     except Exception:
@@ -99,7 +103,10 @@ def product_headers(products: DataFrame, plan: DataFrame) -> list[Product]:
     rows = products.join(ready, ["launch_id", "product_id"], "left_semi").select(
         "launch_id",
         "product_id",
-        F.col("coordinates").withField("layer", layer_or_default(F.col("coordinates.layer"))).alias("coordinates"),
+        F.col("coordinates")
+        .withField("layer", layer_or_default(F.col("coordinates.layer")))
+        .withField("version", clean_version(F.col("coordinates.version")))
+        .alias("coordinates"),
         "contract_file",
         change_feed_flag(last_value(F.col("params"), "enable_cdf")).alias("change_feed"),
         as_map(good_entries(F.col("params"))).alias("params"),
@@ -126,6 +133,7 @@ def run_fleet(
     listings: DataFrame,
     transform: Transform,
     strict: bool = False,
+    readable: Sequence[str] = READABLE_FORMATS,
     load: Callable[[Store, Product, DataFrame], Inputs] = load_inputs,
     publish: Callable[[Store, Product, DataFrame, DataFrame], Any] = publish_standard,
 ) -> dict[tuple[str, str], Any]:
@@ -133,11 +141,12 @@ def run_fleet(
 
     The plan is computed once and written, so later jobs read it instead of
     computing it again and a lost executor costs nothing but a re-read. Runs that
-    are not ready get their state as status. ``strict`` fails on faulty products.
+    are not ready get their state as status. When a product fails, the ready runs of
+    the products after it get ``NOT_STARTED``. ``strict`` fails on faulty products.
     """
     products = launch_products(docs)
     path = f"{store.root}/plans/{time.time_ns():020d}"
-    planned = run_plan(products, listings)
+    planned = run_plan(products, listings, readable)
     # Sorted by product, so that each product's job opens only the files with its runs.
     by_product = ["launch_id", "product_id", "tenant_id"]
     planned.repartitionByRange(*by_product).sortWithinPartitions(*by_product).write.parquet(path)
@@ -145,23 +154,34 @@ def run_fleet(
 
     faulty = F.col("state").isin(BAD_COORDINATES, BAD_PARAMS)
     waiting = ~F.col("state").isin(*RUNNABLE) & ~faulty
-    started = time.time_ns()
+    now = time.time_ns()
     store.append_statuses(
-        status_rows(plan, ACTIVE, INFO, started)
-        .unionByName(status_rows(plan.where(waiting), F.col("state"), INFO, started + 1))
-        .unionByName(status_rows(plan.where(faulty), F.col("state"), ERROR, started + 1))
+        status_rows(plan.where(waiting), F.col("state"), INFO, now).unionByName(
+            status_rows(plan.where(faulty), F.col("state"), ERROR, now)
+        )
     )
     if strict and not plan.where(faulty).isEmpty():
         raise ValueError(f"faulty products in the plan at {path}")
 
-    done = {}
-    for product in product_headers(products, plan):
-        ready = plan.where(
+    def ready_runs(product: Product) -> DataFrame:
+        return plan.where(
             (F.col("launch_id") == product.launch_id)
             & (F.col("product_id") == product.product_id)
             & F.col("state").isin(*RUNNABLE)
         ).select(*RUN_KEYS, "correlation_id")
-        done[(product.launch_id, product.product_id)] = run_product(
-            store, product, ready, transform, load, publish
-        )
+
+    done = {}
+    headers = product_headers(products, plan)
+    for at, product in enumerate(headers):
+        try:
+            done[(product.launch_id, product.product_id)] = run_product(
+                store, product, ready_runs(product), transform, load, publish
+            )
+        except Exception:
+            left = [ready_runs(p) for p in headers[at + 1 :]]
+            if left:
+                store.append_statuses(
+                    status_rows(reduce(DataFrame.unionByName, left), NOT_STARTED, INFO, time.time_ns())
+                )
+            raise
     return done

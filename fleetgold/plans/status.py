@@ -17,6 +17,8 @@ STATUS_SCHEMA = (
 INFO, ERROR = "INFO", "ERROR"
 JOB_STATUS = "JOB_STATUS"
 ACTIVE, SUCCESS, FAILED = "active", "success", "error"
+# Of runs that were ready when an earlier product failed.
+NOT_STARTED = "NOT_STARTED"
 
 
 def status_rows(runs: DataFrame, text, severity: str, seq: int) -> DataFrame:

@@ -1,35 +1,44 @@
 """Published tables: snapshot folders, and a registry that says which one counts.
 
 A table's files are below ``root/tables/<layer>/<version>/<namespace>/<name>/``
-as ``snapshot=<id>/rejected=<bool>/tenant_id=<id>``. Writing a snapshot changes
+as ``fg_snapshot=<id>/fg_rejected=<bool>/tenant_id=<id>``. Writing a snapshot changes
 nothing for readers; appending its registry rows does. So a table can be
 rewritten from its own current state, and a failed job leaves the old state.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, MapType, StringType, StructField, StructType
 
+from fleetgold.functions.address import cleaned
 from fleetgold.operators.changes import changes_by_side
-from fleetgold.operators.conform import REJECT_COLUMN
+from fleetgold.operators.conform import REJECT_COLUMN, VALUES_COLUMN
 from fleetgold.operators.lookup import COORDINATES, current_registrations
 from fleetgold.operators.skew import broadcast_checked
 from fleetgold.plans.status import STATUS_SCHEMA
 from fleetgold.sources.contracts import find_entity
+from fleetgold.sources.shared import checkpointed
 from fleetgold.sources.tables import counted
 
 REGISTRY_SCHEMA = (
     "tenant_id string, layer string, namespace string, name string, version string, "
-    "contract string, location string, snapshot string, change_feed boolean, seq bigint"
+    "contract_hash string, location string, snapshot string, change_feed boolean, seq bigint"
 )
 REGISTRY_ORDER = ["seq", "snapshot"]
+CONTRACT_SCHEMA = "contract_hash string, contract string"
+FORMATS = ("parquet", "orc")
+#: The store's own columns; a table that has one of these names is refused.
+SNAPSHOT, REJECTED = "fg_snapshot", "fg_rejected"
+RESERVED = (SNAPSHOT, REJECTED, REJECT_COLUMN, VALUES_COLUMN)
 
 
 @dataclass(frozen=True)
@@ -44,7 +53,7 @@ class Coordinates:
         parts = key.split(":")
         if len(parts) != 4 or not all(parts):
             raise KeyError(f"not a table key: {key!r}")
-        return cls(*parts)
+        return cls(*parts[:3], cleaned(parts[3]))
 
 
 @dataclass(frozen=True)
@@ -52,7 +61,18 @@ class Snapshot:
     snapshot: str
     location: str
     rows: int
-    seq: int
+
+
+def _cast_to(df: DataFrame, schema: StructType) -> DataFrame:
+    """``df`` with the columns of ``schema`` in its types; what it lacks is null, other columns stay."""
+    have = set(df.columns)
+    cast = {
+        f.name: (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
+        for f in schema.fields
+        if f.name != "tenant_id"
+    }
+    own = [c for c in df.columns if c not in cast and (c == "tenant_id" or c.startswith("fg_"))]
+    return df.select(*own, *[v.alias(k) for k, v in cast.items()])
 
 
 def _as_columns(coords: Coordinates):
@@ -60,30 +80,68 @@ def _as_columns(coords: Coordinates):
 
 
 class Store:
-    """Registry, status log and tables below one shared folder. Parquet files."""
+    """Registry, contracts, status log and tables below one shared folder.
+
+    A log is a folder of appends, each in a folder of its own that counts once its
+    ``_SUCCESS`` marker is there: appends of two drivers do not touch each other, and one
+    that dies is never seen in part. ``compact`` puts a log's appends into one.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, fmt: str = "parquet"):
+        if fmt not in FORMATS:
+            raise ValueError(f"tables are written as one of {FORMATS}, not {fmt!r}")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.fmt = fmt
 
-    # registry and status log
+    # logs
+
+    def _files_of(self, pattern: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{pattern}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getParent().toString() for s in fs.globStatus(path) or [])
 
     def _log(self, folder: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{folder}"
-        # Gives an empty log on first use; does nothing when the folder exists.
-        self.spark.range(0).selectExpr(
-            *[f"cast(null as {f.dataType.simpleString()}) {f.name}" for f in StructType.fromDDL(schema)]
-        ).write.mode("ignore").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        appends = self._files_of(f"{folder}/append-*/_SUCCESS")
+        if not appends:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*appends)
+
+    def _append(self, rows: DataFrame, folder: str) -> None:
+        name = f"append-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        rows.write.mode("errorifexists").parquet(f"{self.root}/{folder}/{name}")
+
+    def compact(self, folder: str) -> None:
+        """One append instead of many. Rows seen twice by a reader meanwhile are harmless: logs are read by latest."""
+        schemas = {"registry": REGISTRY_SCHEMA, "statuses": STATUS_SCHEMA, "contracts": CONTRACT_SCHEMA}
+        old = self._files_of(f"{folder}/append-*/_SUCCESS")
+        if len(old) < 2:
+            return
+        rows = self.spark.read.schema(schemas[folder]).parquet(*old)
+        self._append(rows.distinct().hint("rebalance"), folder)
+        for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, old):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def registrations(self) -> DataFrame:
         return self._log("registry", REGISTRY_SCHEMA)
 
+    def contracts(self) -> DataFrame:
+        return self._log("contracts", CONTRACT_SCHEMA)
+
     def statuses(self) -> DataFrame:
         return self._log("statuses", STATUS_SCHEMA)
 
     def append_statuses(self, rows: DataFrame) -> None:
-        rows.hint("rebalance").write.mode("append").parquet(f"{self.root}/statuses")
+        self._append(rows.hint("rebalance"), "statuses")
+
+    def _contract_hash(self, contract: str) -> str:
+        """The contract's hash; its text is stored once, however many registrations name it."""
+        if not contract:
+            return ""
+        name = hashlib.sha256(contract.encode()).hexdigest()
+        if self.contracts().where(F.col("contract_hash") == name).isEmpty():
+            self._append(self.spark.createDataFrame([(name, contract)], CONTRACT_SCHEMA).coalesce(1), "contracts")
+        return name
 
     def register(
         self,
@@ -93,16 +151,19 @@ class Store:
         contract: str = "",
         change_feed: bool = True,
     ) -> None:
-        """Point these tenants at a snapshot, whether or not it has rows for them."""
-        tenants.select(
-            F.col("tenant_id").cast("string").alias("tenant_id"),
-            *_as_columns(coords),
-            F.lit(contract).alias("contract"),
-            F.lit(snapshot.location).alias("location"),
-            F.lit(snapshot.snapshot).alias("snapshot"),
-            F.lit(change_feed).alias("change_feed"),
-            F.lit(snapshot.seq).cast("bigint").alias("seq"),
-        ).hint("rebalance").write.mode("append").parquet(f"{self.root}/registry")
+        """Point these tenants at a snapshot, whether or not it has rows for them. The latest registration wins."""
+        self._append(
+            tenants.select(
+                F.col("tenant_id").cast("string").alias("tenant_id"),
+                *_as_columns(coords),
+                F.lit(self._contract_hash(contract)).alias("contract_hash"),
+                F.lit(snapshot.location).alias("location"),
+                F.lit(snapshot.snapshot).alias("snapshot"),
+                F.lit(change_feed).alias("change_feed"),
+                F.lit(time.time_ns()).cast("bigint").alias("seq"),
+            ).hint("rebalance"),
+            "registry",
+        )
 
     def _of(self, coords: Coordinates) -> DataFrame:
         log = self.registrations()
@@ -116,57 +177,99 @@ class Store:
             self.registrations() if coords is None else self._of(coords), REGISTRY_ORDER
         )
 
+    def with_contracts(self, registrations: DataFrame) -> DataFrame:
+        """``registrations`` with the text ``contract`` behind their ``contract_hash``; empty if there is none."""
+        texts = self.contracts().dropDuplicates(["contract_hash"])
+        joined = registrations.join(texts, "contract_hash", "left")
+        return joined.withColumn("contract", F.coalesce("contract", F.lit("")))
+
     # tables
 
     def table_folder(self, coords: Coordinates) -> str:
         c = coords
         return f"{self.root}/tables/{c.layer}/{c.version}/{c.namespace}/{c.name}"
 
-    def write_snapshot(self, df: DataFrame, coords: Coordinates) -> Snapshot:
+    def write_snapshot(self, df: DataFrame, coords: Coordinates, marked: bool = False) -> Snapshot:
         """Write ``df`` (with ``tenant_id``) as a new snapshot; count it on the way.
 
-        The rebalance hint gathers a tenant's rows into few files and lets
+        ``marked``: ``df`` comes from ``conform_marked``, and rows with a reason go to the
+        reject side. The rebalance hint gathers a tenant's rows into few files and lets
         adaptive execution split a large tenant over several writers.
         """
-        if REJECT_COLUMN in df.columns:
-            df = df.withColumn("rejected", F.col(REJECT_COLUMN).isNotNull())
-        else:
-            df = df.withColumn("rejected", F.lit(False))
-        seq = time.time_ns()
-        name = f"{seq:020d}-{uuid.uuid4().hex[:8]}"
-        location = f"{self.table_folder(coords)}/snapshot={name}"
+        allowed = {REJECT_COLUMN, VALUES_COLUMN} if marked else set()
+        clash = sorted(c for c in df.columns if c.lower() in RESERVED and c not in allowed)
+        if clash:
+            raise ValueError(f"columns {clash} have names that the store reserves")
+        rejected = F.col(REJECT_COLUMN).isNotNull() if marked else F.lit(False)
+        df = df.withColumn(REJECTED, rejected)
+        name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        location = f"{self.table_folder(coords)}/{SNAPSHOT}={name}"
         # Counted above the rebalance: below it, adaptive execution would drop the
         # counter together with an empty stage.
-        counting, observed = counted(df.hint("rebalance", "rejected", "tenant_id"), name)
-        counting.write.partitionBy("rejected", "tenant_id").mode("errorifexists").parquet(location)
-        return Snapshot(name, location, observed.get["n"], seq)
-
-    def _files(self, coords: Coordinates, schema: StructType, pointers: DataFrame) -> DataFrame:
-        """Files of the snapshots that ``pointers`` name, with partition columns.
+        counting, observed = counted(df.hint("rebalance", REJECTED, "tenant_id"), name)
+        counting.write.partitionBy(REJECTED, "tenant_id").mode("errorifexists").format(self.fmt).save(location)
+        return Snapshot(name, location, observed.get["n"])
 
-        Spark lists input folders on the driver, so the snapshot paths come here:
-        those still current, not one per publish ever made.
-        """
+    def _files(self, coords: Coordinates, schema: StructType, snapshots: Sequence[str], rejected: bool) -> DataFrame:
+        """Files of these snapshots, with partition columns."""
         partitions = [
-            StructField("snapshot", StringType()),
-            StructField("rejected", BooleanType()),
+            StructField(SNAPSHOT, StringType()),
+            StructField(REJECTED, BooleanType()),
             StructField("tenant_id", StringType()),
         ]
-        names = [f.name for f in partitions]
-        whole = StructType([f for f in schema.fields if f.name not in names] + partitions)
-        snapshots = [r["snapshot"] for r in pointers.select("snapshot").distinct().collect()]
-        if not snapshots:
-            return self.spark.createDataFrame([], whole)
+        own = [StructField(REJECT_COLUMN, StringType()), StructField(VALUES_COLUMN, MapType(StringType(), StringType()))]
+        names = {f.name for f in partitions}
+        fields = [f for f in schema.fields if f.name not in names]
+        whole = StructType(fields + (own if rejected else []) + partitions)
         folder = self.table_folder(coords)
-        reader = self.spark.read.schema(whole).option("basePath", folder)
-        return reader.parquet(*[f"{folder}/snapshot={s}" for s in sorted(snapshots)])
+        reader = self.spark.read.schema(whole).option("basePath", folder).format(self.fmt)
+        found = reader.load([f"{folder}/{SNAPSHOT}={s}" for s in sorted(snapshots)])
+        return found.where(F.col(REJECTED) == rejected)
+
+    def _pointed(
+        self, coords: Coordinates, pointers: DataFrame, schema: StructType | None, rejected: bool = False
+    ) -> DataFrame:
+        """Rows that ``pointers`` (snapshot, tenant_id, contract_hash, more columns) name, with the more columns.
+
+        Snapshots are read by the contract they were registered with and cast to the
+        newest one, so a tenant on an older contract stays readable. Spark lists input
+        folders on the driver, so the names of the snapshots named come here.
+        """
+        pointers = checkpointed(pointers)
+        listed = pointers.select("contract_hash", "snapshot").distinct().collect()
+        by_contract: dict[str, list[str]] = {}
+        for r in listed:
+            by_contract.setdefault("" if schema is not None else r["contract_hash"], []).append(r["snapshot"])
+        newest = schema or self.schema_of(coords)
+        parts = []
+        for name in sorted(by_contract):
+            own = newest if schema is not None or not name else self._schema_by_hash(coords, name)
+            rows = self._files(coords, own, by_contract[name], rejected)
+            # Says what the join would find anyway, so that Spark sees that pruning pays.
+            mine = pointers.where(F.col("snapshot").isin(by_contract[name]))
+            if schema is None:
+                mine = mine.where(F.col("contract_hash") == name)
+            joined = rows.join(
+                broadcast_checked(mine.drop("contract_hash").withColumnRenamed("snapshot", SNAPSHOT)), [SNAPSHOT, "tenant_id"]
+            ).drop(SNAPSHOT, REJECTED)
+            parts.append(joined if own == newest else _cast_to(joined, newest))
+        if not parts:
+            more = [f for f in pointers.schema.fields if f.name not in ("snapshot", "contract_hash", "tenant_id")]
+            fields = [f for f in newest.fields if f.name != "tenant_id"]
+            return self.spark.createDataFrame([], StructType([StructField("tenant_id", StringType()), *fields, *more]))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _schema_by_hash(self, coords: Coordinates, name: str) -> StructType:
+        found = self.contracts().where(F.col("contract_hash") == name).select("contract").limit(1)
+        return find_entity(found, coords.name).schema
 
     def schema_of(self, coords: Coordinates) -> StructType:
-        """Schema by the registered contract."""
-        newest = self._of(coords).agg(
-            F.max_by("contract", F.when(F.col("contract") != "", F.struct(*REGISTRY_ORDER))).alias("contract")
-        )
-        return find_entity(newest, coords.name).schema
+        """Schema by the newest registered contract."""
+        order = F.when(F.col("contract_hash") != "", F.struct(*REGISTRY_ORDER))
+        name = self._of(coords).agg(F.max_by("contract_hash", order)).first()[0]
+        if not name:
+            raise KeyError(f"no contract of {coords} is registered")
+        return self._schema_by_hash(coords, name)
 
     def read(
         self, coords: Coordinates, schema: StructType | None = None, rejected: bool = False
@@ -175,15 +278,11 @@ class Store:
 
         Only folders of current snapshots are listed. Each tenant's pointer is
         joined on the partition columns, so a tenant that has moved on to a newer
-        snapshot is pruned from the older one before any file is opened.
+        snapshot is pruned from the older one before any file is opened. The reject
+        side has ``fg_reason`` and ``fg_values`` as well.
         """
-        pointers = self.current(coords).select("snapshot", "tenant_id")
-        files = self._files(coords, schema or self.schema_of(coords), pointers)
-        return (
-            files.where(F.col("rejected") == rejected)
-            .join(broadcast_checked(pointers), ["snapshot", "tenant_id"], "left_semi")
-            .drop("snapshot", "rejected")
-        )
+        pointers = self.current(coords).select("snapshot", "tenant_id", "contract_hash")
+        return self._pointed(coords, pointers, schema, rejected)
 
     def changes(
         self, coords: Coordinates, keys: Sequence[str], schema: StructType | None = None
@@ -198,16 +297,11 @@ class Store:
         # The rank limit is applied before the shuffle, so a tenant's long history stays behind.
         sides = (
             self._of(coords)
-            .select("tenant_id", *REGISTRY_ORDER)
+            .select("tenant_id", "contract_hash", *REGISTRY_ORDER)
             .withColumn("_back", F.dense_rank().over(publishes))
             .where(F.col("_back") <= 2)
-            .select("snapshot", "tenant_id", (F.col("_back") == 1).alias("_new"))
+            .select("snapshot", "tenant_id", "contract_hash", (F.col("_back") == 1).alias("fg_new"))
             .distinct()
         )
-        rows = (
-            self._files(coords, schema or self.schema_of(coords), sides)
-            .where(~F.col("rejected"))
-            .join(broadcast_checked(sides), ["snapshot", "tenant_id"])
-            .drop("snapshot", "rejected")
-        )
-        return changes_by_side(rows, ["tenant_id", *keys], "_new")
+        rows = self._pointed(coords, sides, schema)
+        return changes_by_side(rows, ["tenant_id", *keys], "fg_new")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -13,19 +12,28 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder; a cluster session without it
-    is an error, because a folder of one machine is lost with that machine.
+    The cluster names it in ``spark.checkpoint.dir``. Without that setting the
+    session's warehouse folder serves, which a cluster also shares. A warehouse on
+    a local disk is refused unless the session is local: it is lost with its machine.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local = ":" not in warehouse or warehouse.startswith("file:")
+    if local and not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetgold-"))
-    return spark.sparkContext.getCheckpointDir()
+    return f"{warehouse.rstrip('/')}/fleetgold-shared"
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path below the shared folder that nothing has used yet."""
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder; for small tables that several queries read."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

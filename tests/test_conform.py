@@ -52,9 +52,14 @@ def test_bad_values_fail_whatever_the_ansi_mode(spark, conf, ansi, row, message)
 
 def test_bad_values_marked(spark):
     df = frame(spark, GOOD, (WHEN, 1, "x", None, 99999.0), (WHEN, 1, None, 3, 1.0))
-    got = rows(conform_marked(df, SCHEMA), "id", "n", "reject_reason")
+    got = rows(conform_marked(df, SCHEMA), "id", "n", "fg_reason", "fg_values")
     assert got == sorted(
-        [(5, 7, None), (None, None, "id: null; n: type; price: type"), (3, None, None)], key=repr
+        [
+            (5, 7, None, None),
+            (None, None, "id: null; n: type; price: type", {"n": "x", "price": "99999.0"}),
+            (3, None, None, None),
+        ],
+        key=repr,
     )
 
 

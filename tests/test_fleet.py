@@ -53,7 +53,7 @@ def case(spark, tmp_path):
         return spark.createDataFrame([("L", json.dumps(document))], "launch_id string, document string")
 
     def listings(*tenants):
-        return spark.createDataFrame([(t, "s", KEY, True, 0, snapshot.location, "delta") for t in tenants], LISTING)
+        return spark.createDataFrame([(t, "s", KEY, True, 0, snapshot.location, "parquet") for t in tenants], LISTING)
 
     return store, launch, listings
 
@@ -79,7 +79,7 @@ def test_ready_tenants_are_published_and_the_rest_recorded(spark, case):
         ("d", "bad", None, "ERROR", "BAD_PARAMS"),
         ("d", "good", "c1", "INFO", "SKIP_SHARES"),
     ]
-    assert rows(store.statuses().where("text = 'active'").groupBy().count()) == [(6,)]
+    assert rows(store.statuses().where("text = 'active'").groupBy().count()) == [(2,)]
     assert rows(store.current(OUT), "tenant_id", "change_feed") == [("a", False), ("c", False)]
 
 
@@ -92,11 +92,19 @@ def test_failure_is_recorded_and_raised(spark, case):
     assert store.current(OUT).isEmpty()
 
 
+def test_products_after_a_failure_are_not_left_active(spark, case):
+    store, launch, listings = case
+    with pytest.raises(Exception, match="value does not fit int"):
+        run_fleet(store, launch("ab", GOOD, ("zlast", [f"input_tables={KEY}"])), listings("a", "b"), double)
+    latest = status.latest_status(store.statuses())
+    assert rows(latest, "product_id", "text") == [("good", "error")] * 2 + [("zlast", "NOT_STARTED")] * 2
+
+
 def test_strict_fails_on_faulty_products(spark, case):
     store, launch, listings = case
     with pytest.raises(ValueError, match="faulty products"):
         run_fleet(store, launch("a", GOOD, ("bad", ["x"])), listings("a"), double, strict=True)
-    assert rows(status.status_counts(status.latest_status(store.statuses()))) == [("BAD_PARAMS", 1), ("active", 1)]
+    assert rows(status.status_counts(status.latest_status(store.statuses()))) == [("BAD_PARAMS", 1)]
 
 
 def test_own_publish_step_can_keep_rejects(spark, case):

@@ -30,8 +30,8 @@ def tenants(spark, *ids):
     return spark.createDataFrame([(i,) for i in ids], "tenant_id string")
 
 
-def put(store, df, *ids):
-    snapshot = store.write_snapshot(df, COORDS)
+def put(store, df, *ids, marked=False):
+    snapshot = store.write_snapshot(df, COORDS, marked)
     store.register(tenants(store.spark, *ids), COORDS, snapshot, CONTRACT)
     return snapshot
 
@@ -71,16 +71,90 @@ def test_empty_result_is_counted_and_read(spark, store):
 
 def test_rejected_rows_come_from_the_same_write(spark, store):
     df = spark.createDataFrame([("a", "1", 1), ("a", "x", 2), ("b", "y", 3)], "tenant_id string, id string, v int")
-    snapshot = put(store, conform_marked(df, SCHEMA, carry=["tenant_id"]), "a", "b")
+    snapshot = put(store, conform_marked(df, SCHEMA, carry=["tenant_id"]), "a", "b", marked=True)
     assert snapshot.rows == 3
     assert rows(store.read(COORDS, SCHEMA), "tenant_id", "id", "v") == [("a", 1, 1)]
-    with_reason = StructType(SCHEMA.fields).add("reject_reason", "string")
-    assert rows(store.read(COORDS, with_reason, rejected=True), "tenant_id", "v", "reject_reason") == [
-        ("a", 2, "id: type"),
-        ("b", 3, "id: type"),
+    rejected = store.read(COORDS, SCHEMA, rejected=True)
+    assert rows(rejected, "tenant_id", "v", "fg_reason", "fg_values") == [
+        ("a", 2, "id: type", {"id": "x"}),
+        ("b", 3, "id: type", {"id": "y"}),
     ]
 
 
+@pytest.mark.parametrize("name", ["fg_rejected", "FG_Snapshot", "fg_reason", "fg_values"])
+def test_reserved_names_are_refused(spark, store, name):
+    df = things(spark, ("a", 1, 1)).withColumnRenamed("v", name)
+    with pytest.raises(ValueError, match="reserves"):
+        store.write_snapshot(df, COORDS)
+
+
+def test_latest_registration_wins_not_latest_write(spark, store):
+    a, b = (store.write_snapshot(things(spark, ("a", v, v)), COORDS) for v in (1, 2))
+    for snapshot in (b, a):
+        store.register(tenants(spark, "a"), COORDS, snapshot, CONTRACT)
+    assert rows(store.read(COORDS), "id") == [(1,)]
+
+
+def test_contract_text_is_stored_once_and_not_read_for_rows(spark, store):
+    for v in range(3):
+        put(store, things(spark, ("a", v, v), ("b", v, v)), "a", "b")
+    assert store.contracts().count() == 1
+    assert "contract" not in store.registrations().columns
+    assert rows(store.with_contracts(store.current(COORDS)), "contract") == [(CONTRACT,)] * 2
+
+
+def test_append_without_marker_is_invisible_and_logs_compact(spark, store, tmp_path):
+    put(store, things(spark, ("a", 1, 1)), "a")
+    put(store, things(spark, ("a", 2, 2)), "a")
+    half = next((tmp_path / "store" / "registry").glob("append-*"))
+    before = rows(store.read(COORDS), "id")
+    assert before == [(2,)] and store.registrations().count() == 2
+    store.compact("registry")
+    assert rows(store.read(COORDS), "id") == before and store.registrations().count() == 2
+    appends = list((tmp_path / "store" / "registry").glob("append-*"))
+    assert len(appends) == 1 and half not in appends
+    (appends[0] / "_SUCCESS").unlink()
+    assert store.registrations().isEmpty()
+
+
+def test_orc_tables(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "orc"), fmt="orc")
+    put(store, things(spark, ("a", 1, 1)), "a")
+    assert rows(store.read(COORDS), "id", "v") == [(1, 1)]
+    with pytest.raises(ValueError, match="written as"):
+        Store(spark, str(tmp_path / "x"), fmt="csv")
+
+
+def test_tenant_on_an_older_contract_stays_readable(spark, store):
+    old = spark.createDataFrame([("a", 1, "7"), ("b", 2, "x")], "tenant_id string, id int, v string")
+    text = CONTRACT.replace('"v": {"type": "cds.Integer"}', '"v": {"type": "cds.String"}')
+    store.register(tenants(spark, "a", "b"), COORDS, store.write_snapshot(old, COORDS), text)
+    put(store, things(spark, ("b", 3, 3)), "b")
+    assert rows(store.read(COORDS), "tenant_id", "id", "v") == [("a", 1, 7), ("b", 3, 3)]
+
+
+def test_shared_folder_without_a_setting(spark, monkeypatch):
+    from fleetgold.sources import shared
+
+    class Conf(dict):
+        def get(self, key, *default):
+            return dict.get(self, key, *default)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context(), Conf({"spark.sql.warehouse.dir": "file:/w"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session())
+    Session.conf["spark.sql.warehouse.dir"] = "hdfs://n/w"
+    assert shared.shared_folder(Session()) == "hdfs://n/w/fleetgold-shared"
+    Session.conf["spark.sql.warehouse.dir"], Context.master = "file:/w", "local[2]"
+    assert shared.shared_folder(Session()) == "file:/w/fleetgold-shared"
+
+
 def test_changes_per_tenant(spark, store):
     put(store, things(spark, ("a", 1, 1), ("a", 2, 2)), "a")
     first = rows(store.changes(COORDS, ["id"], SCHEMA), "tenant_id", "id", "change_type")
@@ -130,7 +204,7 @@ def test_no_contract(spark, store):
 
 
 def test_table_keys():
-    assert Coordinates.of_key("gold:ns:Things:1.0.0") == COORDS
+    assert Coordinates.of_key("gold:ns:Things:1.0.0") == COORDS == Coordinates.of_key("gold:ns:Things:v1.0.0")
     for key in ("gold:ns:Things", "gold:ns::1.0.0", ""):
         with pytest.raises(KeyError):
             Coordinates.of_key(key)
