@@ -80,51 +80,55 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """For every value of the next ``longest`` bits: the symbol and its bits."""
+def decode_table(lengths: np.ndarray, longest: int = LONGEST) -> np.ndarray:
+    """For every value of the next ``longest`` bits: the symbol, and in the lowest byte its bits."""
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     runs = (1 << (longest - lengths[order].astype(np.int64))).astype(np.int64)
-    symbols = np.zeros(1 << longest, np.uint32)
-    bits = np.zeros(1 << longest, np.uint8)
-    filled = int(runs.sum())
-    symbols[:filled] = np.repeat(order, runs)
-    bits[:filled] = np.repeat(lengths[order], runs)
-    return symbols, bits
+    table = np.zeros(1 << longest, np.uint32)
+    table[: int(runs.sum())] = np.repeat(order.astype(np.uint32) << np.uint32(8) | lengths[order], runs)
+    return table
 
 
 def encode_ids(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, step: int = CHECKPOINT) -> tuple[bytes, np.ndarray]:
     """The bits of ``ids``, most significant first, and the bit offset of every ``step``-th id."""
-    width = lengths[ids].astype(np.int64)
-    ends = np.cumsum(width)
-    starts = ends - width
+    if len(ids) % 2:
+        last = ids[-1:]
+        data, marks = encode_ids(np.append(ids, last), lengths, codes, step)  # cut off again by the number of ids
+        return data, marks[: -(-len(ids) // step)]
+    wide = lengths[ids].astype(np.uint64).reshape(-1, 2)
+    pair = codes[ids].reshape(-1, 2)
+    value, width = (pair[:, 0] << wide[:, 1]) | pair[:, 1], wide.sum(1)  # at most 32 bits
+    ends = np.cumsum(width).astype(np.int64)
+    starts = ends - width.astype(np.int64)
     total = int(ends[-1]) if len(ends) else 0
     word = starts >> 5
-    value = codes[ids] << (64 - (starts & 31) - width).astype(np.uint64)
-    words = np.zeros(total // 32 + 3, np.float64)  # sums of disjoint bits below 2**32: exact
+    value <<= np.uint64(64) - (starts & 31).astype(np.uint64) - width
+    words = np.zeros(total // 32 + 4, np.float64)  # sums of disjoint bits below 2**32: exact
     words += np.bincount(word, (value >> np.uint64(32)).astype(np.float64), len(words))
     words += np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), len(words))
-    return words.astype(np.uint32).astype(">u4").tobytes(), starts[::step].astype(np.int64)
+    return words.astype(np.uint32).astype(">u4").tobytes(), starts[:: step // 2].astype(np.int64)
 
 
 def decode_ids(
-    data: bytes, n: int, checkpoints: np.ndarray, table: tuple[np.ndarray, np.ndarray],
+    data: bytes, n: int, checkpoints: np.ndarray, table: np.ndarray,
     step: int = CHECKPOINT, longest: int = LONGEST,
 ) -> np.ndarray:
     """All ids of a block, one id of every checkpoint's run at a time."""
-    symbols, bits = table
     words = np.frombuffer(data, ">u4").astype(np.uint64)
     pairs = (words[:-1] << np.uint64(32)) | words[1:]
-    out = np.zeros((len(checkpoints), step), np.uint32)
-    at = checkpoints.astype(np.int64).copy()
-    last = len(pairs) - 1
-    mask = np.uint64((1 << longest) - 1)
+    pairs = np.append(pairs, np.zeros(1 + step * longest // 32, np.uint64))  # the last run may be shorter than its turns
+    out = np.zeros((step, len(checkpoints)), np.uint32)
+    at = checkpoints.astype(np.int64)
+    unused = np.uint64(64 - longest)
     for i in range(min(step, n)):
-        shift = (64 - longest - (at & 31)).astype(np.uint64)
-        window = (pairs[np.minimum(at >> 5, last)] >> shift) & mask
-        out[:, i] = symbols[window]
-        at += bits[window]
-    return out.ravel()[:n]
+        window = pairs.take(at >> 5)
+        window <<= (at & 31).view(np.uint64)
+        window >>= unused
+        found = table.take(window.view(np.int64))
+        out[i] = found
+        at += found & np.uint32(0xFF)
+    return (out >> np.uint32(8)).T.ravel()[:n]
 
 
 FIELDS = {
@@ -199,6 +203,7 @@ def write_ids(
     raw = written(ordered.mapInArrow(_blocks(vocabulary, end_id, block_tokens, narrow), RAW_SQL), "token-blocks")
     del ordered
     release(spark)
+    python_tasks(spark, 16)  # rows are whole blocks from here on
     # One row per id that occurs: the vocabulary bounds it.
     counts = np.zeros(size, np.int64)
     tallies = raw.select("ids").mapInArrow(_counts(size, narrow), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
@@ -237,7 +242,7 @@ def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
             ]
             yield _batch([*(batch.column(n) for n in FIELDS), ids], RAW)
 
-    python_tasks(spark)
+    python_tasks(spark, 16)
     return spark.read.parquet(f"{folder}/blocks").mapInArrow(decode, RAW_SQL)
 
 

@@ -19,6 +19,13 @@ import numpy as np
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A word and the punctuation after it: the vocabulary's pattern always cuts between them.
 ENDED = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
+#: What a text of single spaces and line ends has nothing of: other white space, and two of it together.
+OTHER = (
+    "  ", " \n", "\n ", "\n\n", "\0",
+    *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000",
+    *map(chr, range(0x2000, 0x200B)),
+)
+ASCII_OTHER = tuple(o for o in OTHER if o.isascii())
 #: Pieces that one worker remembers; later new ones are encoded again when they come back.
 REMEMBERED = 400_000
 JOINED = 4_000
@@ -96,8 +103,8 @@ class PieceEncoder:
             elif "\0" in text:
                 cut.append([text])
             else:
-                words = text.split()
-                single = words and len(text) == sum(map(len, words)) + len(words) - 1
+                odd = ASCII_OTHER if text.isascii() else OTHER
+                single = not (text[0].isspace() or text[-1].isspace() or any(o in text for o in odd))
                 if single:
                     cut.append(text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))
                 else:
