@@ -21,15 +21,15 @@ def change_feed(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
 def changes_by_side(sided: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     """Change feed of rows marked old (``side`` false) and new (``side`` true).
 
-    One shuffle for both sides. A key that occurs more than once on a side is
-    an error; because the aggregate combines before the shuffle, a much repeated
-    key reaches the reducer as one row per map task and fails quickly, where a
+    One shuffle for both sides, and one sort after it: keys are unique by contract, so
+    combining before the shuffle would sort everything and remove nothing. A key that
+    occurs more than once on a side is an error; its rows are only counted, where a
     join would first build all pairs.
     """
     values = [c for c in sided.columns if c not in keys and c != side]
     image = F.struct(*values) if values else F.struct(F.lit(True).alias("_present"))
     is_new = F.col(side)
-    grouped = sided.groupBy(*keys).agg(
+    grouped = sided.repartition(*keys).groupBy(*keys).agg(
         F.count_if(~is_new).alias("_n_old"),
         F.count_if(is_new).alias("_n_new"),
         F.first(F.when(~is_new, image), ignorenulls=True).alias("_old"),

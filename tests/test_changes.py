@@ -54,3 +54,12 @@ def test_overwrite_shows_everything(spark):
 def test_latest_with_null_order(spark):
     df = spark.createDataFrame([("k", None, 1), ("k", 5, 2), ("k", 5, 1), ("n", None, 3)], "k string, o int, v int")
     assert rows(latest(df, ["k"], ["o", "v"])) == [("k", 5, 2), ("n", None, 3)]
+
+
+def test_nothing_is_sorted_before_the_shuffle(spark):
+    old = spark.range(50).selectExpr("id", "cast(id as string) as v")
+    new = spark.range(25, 75).selectExpr("id", "'x' as v")
+    plan = change_feed(old, new, ["id"])._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchange = next(i for i, line in enumerate(plan) if "Exchange" in line)
+    assert not any("Sort" in line or "Aggregate" in line for line in plan[exchange:])
+    assert sum("Exchange" in line for line in plan) == 1
