@@ -19,6 +19,7 @@ import numpy as np
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A word and the punctuation after it: the vocabulary's pattern always cuts between them.
 ENDED = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
+PUNCTUATION = tuple(".,;:!?")
 #: What a text of single spaces and line ends has nothing of: other white space, and two of it together.
 OTHER = (
     "  ", " \n", "\n ", "\n\n", "\0",
@@ -67,31 +68,33 @@ class PieceEncoder:
     def _encode_new(self, new: list[str]) -> dict[str, bytes]:
         """Ids of distinct pieces, many joined into one call and taken apart by their bytes."""
         found: dict[str, bytes] = {}
-        ended = {p: m.groups() for p in new if (m := ENDED.fullmatch(p))}
+        # Only a piece that ends with punctuation can match, and few do.
+        ended = [(p, *m.groups()) for p in new if p[-1:] in PUNCTUATION and (m := ENDED.fullmatch(p))]
         if ended:
-            parts = {x for pair in ended.values() for x in pair}
+            split = {p for p, _, _ in ended}
+            parts = {x for _, *pair in ended for x in pair}
             known = {x: self.pieces[x] for x in parts if x in self.pieces}
-            known |= self._encode_new([x for x in parts if x not in known])
-            found = {p: known[a] + known[b] for p, (a, b) in ended.items()}
-            found.update(known)
-            new = [p for p in new if p not in found]
+            new = list(parts.difference(known).union(p for p in new if p not in split))
         inner = [p for p in new if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
         for at in range(0, len(inner), JOINED):
             part = inner[at : at + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in part])
             reached = np.cumsum(self.width[ids])
             cuts = np.searchsorted(reached, ends) + 1
             if not np.array_equal(reached[cuts - 1], ends):
                 raise ValueError("a token crosses two pieces: the vocabulary is not byte-level BPE")
-            starts = np.concatenate([[0], cuts[:-1]]) * 4
+            cuts = (cuts * 4).tolist()
             raw = ids.tobytes()
-            found.update((p, raw[a:b]) for p, a, b in zip(part, starts.tolist(), (cuts * 4).tolist(), strict=True))
+            found.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
         rest = [p for p in new if p not in found]
         for at in range(0, len(rest), 1_000):
             part = rest[at : at + 1_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 found[p] = np.array(e.ids, "<u4").tobytes()
+        if ended:
+            known.update(found)
+            found.update((p, known[a] + known[b]) for p, a, b in ended)
         return found
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
