@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +34,8 @@ CHARS = 8
 THRESHOLD = 0.8
 BANDS = 12
 ROWS = 5
+#: Bands whose rows are shuffled at the same time; all take their turn, so this bounds disk only.
+BANDS_AT_ONCE = 4
 #: ASCII white space, which is cut off a line's ends.
 ENDS = " \t\n\x0b\x0c\r"
 
@@ -66,6 +69,15 @@ def _lines(chars: int, bands: int, rows: int):
     return run
 
 
+def _links(classes: DataFrame, bands: range) -> DataFrame:
+    """(node, low) of classes that agree in one of ``bands`` with another; low is the smallest of those."""
+    keys = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(bands, {1 + 8 * b}, 8)")) for b in bands])
+    members = classes.select("node", F.explode(keys).alias("band"))
+    shared = members.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    links = lookup_join(members, shared.select("band", "low"), ["band"], "inner")
+    return links.where("node != low").select("node", "low").distinct()
+
+
 def marked_lines(
     docs: DataFrame, chars: int = CHARS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -84,15 +96,13 @@ def marked_lines(
     )
     lines = saved(lines.drop("bands"))
     release(spark)
-    keys = F.array(
-        *[F.xxhash64(F.lit(b), F.expr(f"substring(bands, {1 + 8 * b}, 8)")) for b in range(bands)]
-    )
-    members = classes.select("node", F.explode(keys).alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
-    links = lookup_join(members, shared.select("band", "low"), ["band"], "inner")
-    found = components(links.where("node != low").distinct(), "node", "low")
+    links = []
+    for begin in range(0, bands, BANDS_AT_ONCE):
+        links.append(saved(_links(classes, range(begin, min(begin + BANDS_AT_ONCE, bands)))))
+        release(spark)
+    found = components(reduce(DataFrame.union, links), "node", "low")
     classes = saved(classes.drop("bands"))
-    del members, shared, links
+    del links
     release(spark)
     wanted = saved(
         found.join(classes, "node").select(
