@@ -2,10 +2,12 @@
 
 The lines of all documents are one collection. Equal lines (white space at the ends
 aside) are one class. Every class gets MinHash values of its character shingles;
-classes that agree in all values of some band are candidates, with a chance of over
-0.99 at the threshold and more above it. Candidates are compared exactly, in tiles,
-and the links between them go to a distributed union-find. Of each component the
-line that comes first (smallest doc_id, then line number) stays; the others go.
+classes that agree in all values of some band are candidates. With 20 bands of 5 a pair
+at the threshold of 0.8 is missed with a chance of 0.04%, at 0.82 of 0.01% and above
+0.85 of under 0.001% (``missed``); there is no other search for such pairs. Candidates
+are compared exactly, in tiles, and the links between them go to a distributed
+union-find. Of each component the line that comes first (smallest doc_id, then line
+number) stays; the others go.
 
 Defined results: lines of white space only are neither compared nor dropped; a line
 shorter than a shingle is one shingle; null and empty texts have no lines and stay
@@ -32,7 +34,7 @@ from fleetgold.operators.skew import broadcast_checked, lookup_join
 
 CHARS = 8
 THRESHOLD = 0.8
-BANDS = 12
+BANDS = 20
 ROWS = 5
 #: Bands whose rows are shuffled at the same time; all take their turn, so this bounds disk only.
 BANDS_AT_ONCE = 4
@@ -40,6 +42,11 @@ BANDS_AT_ONCE = 4
 ENDS = " \t\n\x0b\x0c\r"
 
 
+def missed(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
+    """The chance that two lines of this Jaccard similarity agree in no band."""
+    return (1 - similarity**rows) ** bands
+
+
 def _lines(chars: int, bands: int, rows: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.binary()), ("bands", pa.binary())]

@@ -91,6 +91,16 @@ def test_lines_equal_brute_force(documents, texts):
     assert {r.doc_id: r.dropped_lines for r in rows} == brute.lines(texts)
 
 
+def test_bands_miss_few_lines_at_the_threshold():
+    assert line_dedup.missed(line_dedup.THRESHOLD) < 0.0005
+    letters = np.random.default_rng(8).integers(ord("a"), ord("z"), (4000, 107))
+    pairs = [(r.tobytes().decode(), (r[:96].tobytes() + bytes([ord("z")] * 11)).decode()) for r in letters.astype(np.uint8)]
+    values = shingles.signatures(*shingles.char_shingles([t for p in pairs for t in p], 8), line_dedup.BANDS * line_dedup.ROWS)
+    bands = shingles.banded(values, line_dedup.BANDS)
+    lost = (bands[::2] != bands[1::2]).all(1).mean()
+    assert lost < 0.002, lost  # all pairs are at or little above the threshold
+
+
 def test_fuzzy_lines(spark):
     lines = near_copies(40, 4) + near_copies(5, 60, 130) + ["tiny", "tiny ", "tinz"]
     texts = {i: "\n".join(lines[i::6]) for i in range(6)}
