@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from fleetgold.llm import line_dedup, mixing, ngram_join, packing, qda
 from fleetgold.llm.common import id_crc, table
-from fleetgold.operators.skew import broadcast_checked
 from fleetgold.sources.shared import new_folder
 
 
@@ -30,10 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays."""
-    found = ngram_join.similar_documents(docs)
-    gone = found.where("class_id is not null and doc_id != class_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(broadcast_checked(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    """Of each group of similar documents one row stays: the smallest doc_id, one of equal rows, null ids last."""
+    return ngram_join.without_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

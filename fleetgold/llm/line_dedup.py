@@ -11,8 +11,9 @@ number) stays; the others go.
 
 Defined results: lines of white space only are neither compared nor dropped; a line
 shorter than a shingle is one shingle; null and empty texts have no lines and stay
-as they are; null ids come first; rows that repeat a doc_id and a text are one place,
-so both keep the same lines; an empty table gives an empty result. Only ``doc_id``
+as they are; null ids come first; different texts under one id (null ids above all) are
+different documents, told apart by a hash of the text, and rows that repeat a doc_id and
+a text are one place, so both keep the same lines; an empty table gives an empty result. Only ``doc_id``
 and ``text`` are read by the comparison, and ``without_repeats`` carries the rest.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgold.llm import tiles
@@ -40,6 +41,13 @@ ROWS = 5
 BANDS_AT_ONCE = 4
 #: ASCII white space, which is cut off a line's ends.
 ENDS = " \t\n\x0b\x0c\r"
+#: Where a line is, in the order by which the first one stays; the text's hash tells texts of one id apart.
+PLACE = ("doc_id", "line_no", "text_key")
+
+
+def text_key(column: str = "text") -> Column:
+    """A 64-bit hash of the text: with the doc_id it names a document."""
+    return F.xxhash64(text_of(column))
 
 
 def missed(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -49,18 +57,20 @@ def missed(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
 
 def _lines(chars: int, bands: int, rows: int):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.binary()), ("bands", pa.binary())]
+        [("doc_id", pa.int64()), ("line_no", pa.int32()), ("text_key", pa.int64()), ("key", pa.binary())]
+        + [("bands", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, places, keys, found = [], [], [], {}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            docs, places, owners, keys, found = [], [], [], [], {}
+            for doc, owner, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
                 for place, line in enumerate(text.split("\n")):
                     line = line.strip(ENDS)
                     if line:
                         docs.append(doc)
                         places.append(place)
+                        owners.append(owner)
                         keys.append(hashlib.md5(line.encode("utf-8", "surrogatepass")).digest())
                         found.setdefault(keys[-1], line)  # equal lines of a batch get their values once
             values = signatures(*char_shingles(list(found.values()), chars), bands * rows)
@@ -68,8 +78,8 @@ def _lines(chars: int, bands: int, rows: int):
             seen: set[bytes] = set()
             once = [signed[k] if k not in seen and not seen.add(k) else None for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(keys, pa.binary())]
-                + [pa.array(once, pa.binary())],
+                [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(owners, pa.int64())]
+                + [pa.array(keys, pa.binary()), pa.array(once, pa.binary())],
                 schema=schema,
             )
 
@@ -88,14 +98,13 @@ def _links(classes: DataFrame, bands: range) -> DataFrame:
 def marked_lines(
     docs: DataFrame, chars: int = CHARS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per line with text: doc_id, line_no (from 0), class_doc, class_line (the line that stays for it), kept."""
+    """One row per line with text: doc_id, line_no (from 0), text_key, class_doc, class_line (the line that stays for it), kept."""
     spark = docs.sparkSession
     python_tasks(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    lines = saved(
-        texts.mapInArrow(_lines(chars, bands, rows), "doc_id long, line_no int, key binary, bands binary")
-    )
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
+    made = "doc_id long, line_no int, text_key long, key binary, bands binary"
+    lines = saved(texts.mapInArrow(_lines(chars, bands, rows), made))
+    first = F.min(F.struct(*PLACE)).alias("first")
     classes = saved(
         lines.groupBy("key")
         .agg(first, F.max("bands").alias("bands"))  # any: all copies have the same
@@ -113,16 +122,17 @@ def marked_lines(
     release(spark)
     wanted = saved(
         found.join(classes, "node").select(
-            "node", "root", "key", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")
+            "node", "root", "key", *[F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE]
         )
     )
     release(spark)
-    split = texts.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    split = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     placed = split.join(
         broadcast_checked(wanted),
-        F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")),
+        F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
+        & (F.col("line_no") == F.col("first_line_no"))
+        & (F.col("text_key") == F.col("first_text_key")),
     )
-    # The key tells the line from one at the same place of another row with this doc_id.
     fetched = (
         placed.withColumn("text", F.expr(f"trim(BOTH '{_sql(ENDS)}' FROM line)"))
         .where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("key"))
@@ -138,13 +148,11 @@ def marked_lines(
     index = (
         classes.select("key", "first").join(merged, "key", "left").select("key", F.coalesce("stays", "first").alias("stays"))
     )
-    place = F.struct("doc_id", "line_no")
-    return lookup_join(lines.select("doc_id", "line_no", "key"), index, ["key"], "inner").select(
-        "doc_id",
-        "line_no",
+    return lookup_join(lines.select(*PLACE, "key"), index, ["key"], "inner").select(
+        *PLACE,
         F.col("stays.doc_id").alias("class_doc"),
         F.col("stays.line_no").alias("class_line"),
-        place.eqNullSafe(F.col("stays")).alias("kept"),
+        F.struct(*PLACE).eqNullSafe(F.col("stays")).alias("kept"),
     )
 
 
@@ -172,12 +180,13 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with only the kept lines in ``text``, and without the documents that lost all their lines."""
     marked = saved(marked_lines(docs, **settings))
     release(docs.sparkSession)
-    gone = marked.groupBy(F.col("doc_id").alias("_id")).agg(
+    gone = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
         F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), F.max("kept").alias("_some")
     )
     gone = gone.where("size(_gone) > 0")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    joined = rows.join(gone, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    own = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key("_row.text") == F.col("_key"))
+    joined = rows.join(gone, own, "left")
     kept_text = F.array_join(
         F.filter(F.split("_row.text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n"
     )

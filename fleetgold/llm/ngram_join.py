@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgold.llm import tiles
-from fleetgold.llm.common import python_tasks, release, saved, text_of
+from fleetgold.llm.common import WORD, python_tasks, release, saved, text_of
 from fleetgold.llm.graph import class_results, components
 from fleetgold.llm.shingles import signatures, word_shingles
 from fleetgold.operators.skew import broadcast_checked, lookup_join
@@ -85,11 +85,11 @@ def _candidates(classes: DataFrame, depth: int, trees: int, whole: int) -> DataF
     return components(links.where("node != low").distinct(), "node", "low")
 
 
-def similar_documents(
+def _compared(
     docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES,
     depth: int = DEPTH, shortest: int = SHORTEST, recall: float = RECALL,
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest id it is connected to), n_links."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, key), the classes of equal texts and the links between them (``tiles.compare``)."""
     spark = docs.sparkSession
     python_tasks(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -119,4 +119,47 @@ def similar_documents(
             break
         at -= 1
     release(spark)
+    return rows, classes, compared
+
+
+def similar_documents(docs: DataFrame, **settings) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest id it is connected to), n_links."""
+    rows, classes, compared = _compared(docs, **settings)
     return class_results(rows.select("doc_id", "key"), "doc_id", classes, compared)
+
+
+def without_similar(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with one row of each group of connected texts: its smallest doc_id, null ids last.
+
+    Rows are told apart by doc_id and the text's key; of rows that repeat both (or of null
+    ids, the text) one stays. Texts without words are in no group and all stay.
+    """
+    rows, classes, compared = _compared(docs, **settings)
+    roots = components(compared.where("links > 0"), "node", "reached")
+    placed = saved(classes.select("node", "key", "first_id").join(roots, "node").select("root", "key", "first_id"))
+    # Ties of ids (null ones, or one id for several texts) go to the smaller key.
+    order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "key")
+    best = placed.groupBy("root").agg(F.min(order).alias("best"))
+    gone = lookup_join(placed.select("root", "key"), best, ["root"], "inner").where("key != best.key").select("key")
+    # Of a class of equal texts that stays, the rows with another id go, and of equal rows all but one.
+    copied = classes.where("copies > 1").join(gone, "key", "left_anti").select("key", "first_id")
+    times = (
+        lookup_join(rows, copied, ["key"], "inner")
+        .where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .groupBy("key", "first_id")
+        .agg(F.count("*").alias("times"))
+    )
+    marks = saved(
+        gone.select("key", F.lit(None).cast("long").alias("_first"), F.lit(0).cast("long").alias("_times")).union(times)
+    ).withColumnRenamed("key", "_key")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    words = text_of().rlike(WORD)
+    keyed = docs.select(row, F.when(words, F.unhex(F.md5(text_of().cast("binary")))).alias("_key"))
+    first = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_first"))
+    marked = lookup_join(keyed, broadcast_checked(marks), ["_key"], "left")
+    kept = marked.where(F.col("_times").isNull() | ((F.col("_times") == 1) & first)).select("_row")
+    repeated = marks.where("_times > 1")
+    if not repeated.isEmpty():
+        again = lookup_join(keyed, broadcast_checked(repeated), ["_key"], "inner").where(first)
+        kept = kept.union(again.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row"))
+    return kept.select("_row.*")

@@ -135,6 +135,27 @@ def test_lines_awkward(awkward, empty):
     assert line_dedup.per_document(empty, line_dedup.marked_lines(empty)).collect() == []
 
 
+def test_texts_under_one_id_keep_their_own_lines(spark):
+    rows = [(None, "shared line\nsecond one"), (None, "first words\nshared line"), (4, "shared line\nfour"), (4, "4th\nshared line")]
+    rows += [(5, "twice\nshared line")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in line_dedup.without_repeats(docs).collect()]
+    kept = [(None, "shared line\nsecond one"), (None, "first words"), (4, "four"), (4, "4th"), (5, "twice"), (5, "twice")]
+    assert Counter(got) == Counter(kept)
+
+
+def test_one_of_each_group_of_documents_stays(spark):
+    alone, other, empty_text = "quite another text of its own here", "and one more of other words again", " "
+    rows = [(7, SAME)] * 3 + [(9, SAME), (None, SAME), (9, alone), (None, other), (None, other)] + [(3, empty_text)] * 2
+    near = near_copies(3, 1)
+    rows += [(None, near[0]), (None, near[1]), (12, near[2]), (12, near[2]), (13, near[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
+    got = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    kept = [(7, SAME), (9, alone), (None, other), (3, empty_text), (3, empty_text), (12, near[2])]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(kept)
+
+
 # 7 and 8: vectors
 
 
