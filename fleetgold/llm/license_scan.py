@@ -5,8 +5,11 @@ where a window holds enough of a template's words are aligned with it: the words
 occur once in both are anchors, the longest increasing run of anchors stays, and the
 gaps between two anchors are aligned the same way, where other words may be unique;
 equal words next to an anchor are matched too. Coverage is the matched part of the
-template's words. A window is only skipped when too few of the template's words are in
-it to reach the coverage asked for, so no alignment that would count is lost.
+template's words. Where a copy begins and ends is found before, by the length of the
+longest common subsequence with the template (bit-parallel), so that neighbouring copies
+do not take each other's unique words. A slice is only skipped when that length, or the
+number of the template's words in it, is too small for the coverage asked for: no place of
+at most two template lengths is lost.
 
 Each task holds the templates and one batch of texts. Defined results: null and empty
 texts have no license; a text may hold several licenses, and one license several times
@@ -117,27 +120,70 @@ class Template:
         self.name, self.words, self.coverage = name, words_of(text), coverage
         self.counts = Counter(self.words)
         self.window = 2 * len(self.words)
+        self.forward = self._masks(self.words)
+        self.backward = self._masks(self.words[::-1])
+
+    @staticmethod
+    def _masks(words: list[str]) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for i, w in enumerate(words):
+            out[w] = out.get(w, 0) | 1 << i
+        return out
 
     def _enough(self, counts: Mapping[str, int]) -> bool:
         """Whether so many words could be matched."""
         return sum(min(n, counts[w]) for w, n in self.counts.items() if w in counts) >= self.coverage * len(self.words)
 
+    def _lengths(self, words: list[str], backward: bool = False) -> Iterator[int]:
+        """Longest common subsequence of the template with every prefix of ``words`` (or suffix), by bits."""
+        masks = self.backward if backward else self.forward
+        size = len(self.words)
+        all_ = (1 << size) - 1
+        open_ = all_
+        for w in reversed(words) if backward else words:
+            if mask := masks.get(w):
+                both = open_ & mask
+                open_ = ((open_ + both) | (open_ - both)) & all_
+            yield size - open_.bit_count()
+
+    def _first(self, words: list[str]) -> tuple[int, int, int] | None:
+        """(matched words, begin, end) of the place that ends first; a whole copy, not the next one's words."""
+        least, best, end = self.coverage * len(self.words), 0, 0
+        for i, n in enumerate(self._lengths(words), 1):
+            if best and i > end + len(self.words) - best:
+                break
+            if n >= least and n > best:
+                best, end = n, i
+        if not best:
+            return None
+        back = next(i for i, n in enumerate(self._lengths(words[:end], True), 1) if n == best)
+        return best, end - back, end
+
     def places(self, words: list[str], index: Mapping[str, list[int]]) -> Iterator[tuple[float, int, int]]:
         """(coverage, first word, word after the last) of every place of the template in a text."""
         if not self._enough({w: len(index[w]) for w in self.counts if w in index}):
             return
         hits = sorted(i for w in self.counts if w in index for i in index[w])
-        begin, done = 0, 0
+        begin = 0
         while begin < len(hits):
             start = hits[begin]
-            end = bisect.bisect_left(hits, start + self.window, begin)
-            if start >= done and self._enough(Counter(words[i] for i in hits[begin:end])):
-                # The notice may begin late in the window, so what follows is aligned too.
-                pairs = align(words[start : start + self.window + len(self.words)], self.words)
-                if len(pairs) >= self.coverage * len(self.words):
-                    done = start + pairs[-1][0] + 1
-                    yield len(pairs) / len(self.words), start + pairs[0][0], done
-            begin += 1
+            # Every place that begins up to one template length after the start ends in this slice.
+            reach = start + self.window + len(self.words)
+            ends = bisect.bisect_left(hits, reach, begin)
+            found = None
+            if self._enough(Counter(words[i] for i in hits[begin:ends])):
+                found = self._first(words[start:reach])
+            if not found:
+                begin = bisect.bisect_right(hits, start + len(self.words), begin)
+                continue
+            matched, a, b = found[0], start + found[1], start + found[2]
+            if b - a > self.window:
+                begin = bisect.bisect_right(hits, a, begin)
+                continue
+            # Repeated words can leave the alignment short of the longest common subsequence.
+            matched = max(matched, len(align(words[a:b], self.words)))
+            yield matched / len(self.words), a, b
+            begin = bisect.bisect_left(hits, b, begin)
 
 
 def licenses(text: str, templates: Sequence[Template]) -> list[tuple[str, float, int, int]]:

@@ -87,6 +87,30 @@ def test_license_scan_long_gap_and_common_words():
     assert name == "MIT" and 0.9 < coverage < 1 and start == 20_000
 
 
+@pytest.mark.parametrize("entry", ["{} licensed under Apache License Version 2.0", "{}: licensed under the Apache License 2.0", "{} under the Apache License, Version 2.0"])
+@pytest.mark.parametrize("tail", ["", " and then nothing more of the kind" * 9])
+def test_lists_of_varied_notices_keep_every_place(entry, tail):
+    template = license_scan.Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", 0.8)
+    parts = [entry.format(f"package{i}") for i in range(10)]
+    words = license_scan.words_of(entry)
+    got = license_scan.licenses("\n".join(parts) + tail, [template])
+    expected = longest_common(words, template.words) / len(template.words)
+    assert [c for _, c, _, _ in got] == [expected] * 10
+    size = len(license_scan.words_of(parts[0]))
+    assert [(a // size, (b - 1) // size) for _, _, a, b in got] == [(i, i) for i in range(10)]
+
+
+def test_places_match_the_longest_common_subsequence():
+    rng = np.random.default_rng(5)
+    template = license_scan.Template("x", "a b c a d e", 0.8)
+    for _ in range(200):
+        words = [str(w) for w in rng.choice(list("abcdez"), 14)]
+        got = license_scan.licenses(" ".join(words), [template])
+        slices = [(i, j) for i in range(14) for j in range(i, 15) if j - i <= 12 and longest_common(words[i:j], template.words) >= 4.8]
+        assert bool(got) == bool(slices)
+        assert all(c * 6 == pytest.approx(longest_common(words[a:b], template.words)) for _, c, a, b in got)
+
+
 # 2: packing
 
 
