@@ -14,16 +14,18 @@ at most two template lengths is lost.
 Each task holds the templates and one batch of texts. Defined results: null and empty
 texts have no license; a text may hold several licenses, and one license several times
 (in windows that do not overlap), each a row; of templates of one license that match the
-same place the best covered counts; repeated rows are scanned each; an empty table gives
+same place the one with most words counts, and so does it among licenses whose texts
+differ in a few words (``TELLING``), which must be there; repeated rows are scanned each; an empty table gives
 an empty result. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import bisect
+import pkgutil
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence, Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,36 +36,90 @@ from fleetgold.llm.common import python_tasks, text_of
 COVERAGE = 0.8
 WORDS = re.compile(r"[^\W_]+")
 
-# Notices by which texts name their license, by public license identifier.
+def _body(name: str) -> str:
+    return pkgutil.get_data("fleetgold.llm", f"licenses/{name}.txt").decode()
+
+
+def _gnu(name: str, version: str, subject: str = "program") -> str:
+    return (
+        f"This {subject} is free software: you can redistribute it and/or modify it under the terms of the {name} as "
+        f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    )
+
+
+def _gnu_work(name: str, version: str) -> str:
+    return f"This work is licensed under the {name}, version {version}."
+
+
+def _creative(name: str) -> str:
+    return f"This work is licensed under a Creative Commons {name} 4.0 International License."
+
+
+# Notices by which texts name their license and, where given, its whole text, by public license identifier.
 TEMPLATES: dict[str, list[str]] = {
+    "AGPL-3.0": [_gnu("GNU Affero General Public License", "3"), _gnu_work("GNU Affero General Public License", "3")],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        _body("Apache-2.0"),
     ],
+    "Artistic-1.0": [_body("Artistic")],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _body("BSD-2-Clause")],
     "BSD-3-Clause": [
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met:",
+        "Licensed under the BSD 3-Clause License.",
+        _body("BSD-3-Clause"),
+    ],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", _creative("Attribution")],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", _creative("Attribution-NonCommercial")],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", _creative("Attribution-NonCommercial-NoDerivatives")],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", _creative("Attribution-NonCommercial-ShareAlike")],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", _creative("Attribution-NoDerivatives")],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", _creative("Attribution-ShareAlike")],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "Licensed under CC0 1.0 Universal.",
+        _body("CC0-1.0"),
     ],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "GPL-2.0": [_gnu_work("GNU General Public License", "2"), _gnu("GNU General Public License", "2"), _body("GPL-2")],
+    "GPL-3.0": [_gnu_work("GNU General Public License", "3"), _gnu("GNU General Public License", "3"), _body("GPL-3")],
+    "ISC": ["Licensed under the ISC License.", _body("ISC")],
+    "LGPL-2.1": [
+        _gnu_work("GNU Lesser General Public License", "2.1"),
+        _gnu("GNU Lesser General Public License", "2.1", "library"),
+        _body("LGPL-2.1"),
     ],
-    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
+    "LGPL-3.0": [
+        _gnu_work("GNU Lesser General Public License", "3"),
+        _gnu("GNU Lesser General Public License", "3", "library"),
+        _body("LGPL-3"),
     ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction',
+        _body("MIT"),
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License, version 2.0.",
+        _body("MPL-2.0"),
     ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", _body("Unlicense")],
 }
+for _name, _texts in TEMPLATES.items():
+    _texts += [t.removeprefix("This work is ") for t in _texts if t.startswith("This work is ")]
+    _texts.append(f"SPDX-License-Identifier: {_name}")
+
+#: Words by which licenses with nearly the same texts differ: a place without those of its template does not count.
+TELLING = frozenset(
+    "affero agpl apache artistic attribution bsd cc cc0 endorse gpl isc lesser lgpl mit mozilla mpl nc nd neither "
+    "noncommercial noderivatives sa sharealike unencumbered unlicense 1 2 3".split()
+)
+#: In longer templates digits number clauses; much longer ones are recognised by their wording alone.
+NOTICE_WORDS, CLAUSE_WORDS = 60, 250
 
 
 def words_of(text: str) -> list[str]:
@@ -120,6 +176,11 @@ class Template:
         self.name, self.words, self.coverage = name, words_of(text), coverage
         self.counts = Counter(self.words)
         self.window = 2 * len(self.words)
+        self.telling = frozenset(
+            w
+            for w in TELLING & self.counts.keys()
+            if len(self.words) <= (NOTICE_WORDS if w.isdigit() else CLAUSE_WORDS)
+        )
         self.forward = self._masks(self.words)
         self.backward = self._masks(self.words[::-1])
 
@@ -177,7 +238,7 @@ class Template:
                 begin = bisect.bisect_right(hits, start + len(self.words), begin)
                 continue
             matched, a, b = found[0], start + found[1], start + found[2]
-            if b - a > self.window:
+            if b - a > self.window or not self.telling.issubset(words[a:b]):
                 begin = bisect.bisect_right(hits, a, begin)
                 continue
             # Repeated words can leave the alignment short of the longest common subsequence.
@@ -186,20 +247,33 @@ class Template:
             begin = bisect.bisect_left(hits, b, begin)
 
 
-def licenses(text: str, templates: Sequence[Template]) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, first word, word after the last), by place; the best of overlapping ones of one license."""
+def licenses(
+    text: str, templates: Sequence[Template], known: Set[str] | None = None
+) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, first word, word after the last), by place; the best of overlapping ones of one license.
+
+    A place that overlaps one with more matched words of another license, whose template has
+    all telling words of this one, is that other license too. ``known``: the words of all templates.
+    """
     words = words_of(text)
     index: dict[str, list[int]] = {}
-    known = set().union(*(t.counts for t in templates))
+    if known is None:
+        known = set().union(*(t.counts for t in templates))
     for i, w in enumerate(words):
         if w in known:
             index.setdefault(w, []).append(i)
-    kept: list[tuple[str, float, int, int]] = []
-    found = [(-c * len(t.words), t.name, c, a, b) for t in templates for c, a, b in t.places(words, index)]
-    for _, name, coverage, a, b in sorted(found):
-        if all(n != name or b <= c or d <= a for n, _, c, d in kept):
-            kept.append((name, coverage, a, b))
-    return sorted(kept, key=lambda k: (k[2], k[0]))
+    kept: list[tuple[str, float, int, int, Template]] = []
+    found = [
+        (-c * len(t.words), -c, t.name, a, b, k)
+        for k, t in enumerate(templates)
+        if len(words) >= t.coverage * len(t.words)
+        for c, a, b in t.places(words, index)
+    ]
+    for _, coverage, name, a, b, k in sorted(found):
+        own = templates[k].telling
+        if all(b <= c or d <= a or (n != name and not own <= t.counts.keys()) for n, _, c, d, t in kept):
+            kept.append((name, -coverage, a, b, templates[k]))
+    return sorted((k[:4] for k in kept), key=lambda k: (k[2], k[0]))
 
 
 FOUND = pa.schema(
@@ -213,11 +287,12 @@ def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Template(name, text, coverage) for name, texts in sorted(templates.items()) for text in texts]
+        vocabulary = set().union(*(t.counts for t in known))
         for batch in batches:
             rows = [
                 (doc, *found)
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-                for found in licenses(text, known)
+                for found in licenses(text, known, vocabulary)
             ]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(FOUND)
             yield pa.RecordBatch.from_arrays(

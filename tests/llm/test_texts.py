@@ -111,6 +111,28 @@ def test_places_match_the_longest_common_subsequence():
         assert all(c * 6 == pytest.approx(longest_common(words[a:b], template.words)) for _, c, a, b in got)
 
 
+@pytest.mark.parametrize("text, names", [
+    ("All data licensed under CC BY 4.0 by us.", ["CC-BY-4.0"]),
+    ("All data licensed under CC BY-SA 4.0 by us.", ["CC-BY-SA-4.0"]),
+    ("x licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+    ("x licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+    (license_scan._gnu("GNU General Public License", "2"), ["GPL-2.0"]),
+    (license_scan._gnu("GNU Affero General Public License", "3"), ["AGPL-3.0"]),
+    (license_scan._gnu("GNU Lesser General Public License", "2.1", "library"), ["LGPL-2.1"]),
+    ("// SPDX-License-Identifier: BSD-2-Clause", ["BSD-2-Clause"]),
+    ("Released under the BSD license", []),
+    ("Licensed under the MIT license or the Apache License, Version 2.0", ["Apache-2.0", "MIT"]),
+    *[(license_scan._body(f), [n]) for f, n in {
+        "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "CC0-1.0": "CC0-1.0",
+        "ISC": "ISC", "MIT": "MIT", "MPL-2.0": "MPL-2.0", "Unlicense": "Unlicense", "Artistic": "Artistic-1.0",
+        "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0"}.items()],
+])
+def test_sibling_licenses_are_told_apart(text, names):
+    known = [license_scan.Template(n, t, 0.8) for n, ts in sorted(license_scan.TEMPLATES.items()) for t in ts]
+    got = license_scan.licenses(text, known)
+    assert sorted(n for n, _, _, _ in got) == names, got
+
+
 # 2: packing
 
 
