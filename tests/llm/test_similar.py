@@ -11,7 +11,7 @@ from fleetgold.llm.graph import components
 from fleetgold.sources.shared import new_folder
 from pyspark.sql import functions as F
 
-from conftest import AWKWARD, LONG, SAME, SMALL
+from cases import AWKWARD, LONG, SAME, SMALL
 
 
 def near_copies(n, changed=3, words=120):

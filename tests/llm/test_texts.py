@@ -13,7 +13,7 @@ from fleetgold.llm.oracle import ORACLE
 from fleetgold.llm.tokens import PieceEncoder, default_vocabulary
 from fleetgold.sources.shared import new_folder
 
-from conftest import AWKWARD, SMALL
+from cases import AWKWARD, SMALL
 
 
 @pytest.fixture(scope="module")
