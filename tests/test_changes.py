@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from fleetgold.operators.changes import change_feed, overwrite_feed
 from fleetgold.operators.latest import latest
 

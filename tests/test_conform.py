@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from conftest import rows
+from helpers import rows
 from fleetgold.operators.conform import conform, conform_marked
 from pyspark.sql import types as T
 

@@ -2,7 +2,7 @@ import json
 
 import pytest
 from checks import fleet
-from conftest import SMALL, rows
+from helpers import SMALL, rows
 from fleetgold.plans import status
 from fleetgold.plans.publish import publish_standard, run_fleet
 from fleetgold.plans.store import Coordinates, Store

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 from fleetgold.functions import address, params
 from fleetgold.functions.rows import each
 from fleetgold.functions.types import CONTRACT_TYPES, spark_type

@@ -2,7 +2,7 @@
 
 import pytest
 from checks import queries
-from conftest import SMALL
+from helpers import SMALL
 from fleetgold.operators.latest import latest
 from fleetgold.operators.skew import broadcast_checked, lookup_join
 from fleetgold.plans.store import Coordinates, Store

@@ -5,7 +5,7 @@ import pytest
 from checks.compare import differences, duck
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
-from conftest import SMALL
+from helpers import SMALL
 
 
 #: Queries whose result is empty at the smallest scale.

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 from fleetgold.operators import shares
 from fleetgold.plans.runplan import run_plan
 from pyspark.sql import functions as F

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import rows
+from helpers import rows
 from fleetgold.operators.conform import conform_marked
 from fleetgold.operators.lookup import contract_text, merge_requests
 from fleetgold.plans.store import Coordinates, Store
