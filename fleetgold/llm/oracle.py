@@ -30,4 +30,45 @@ placed AS (
 SELECT doc_id, size, source_size, target, (size * (whole + (reached <= rest)::INT))::BIGINT AS taken FROM placed
 """
 
-ORACLE: dict[str, str] = {"op5_mixing": OP5_MIXING}
+OP12_URL_FILTER = r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+rules(h, p, kind) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (
+  SELECT t.host, t.path, arg_max(h || p, length(h || p)) AS rule, arg_max(kind, length(h || p)) AS kind
+  FROM (SELECT DISTINCT host, path FROM parts) t
+  JOIN rules ON (t.host = h OR ends_with(t.host, '.' || h)) AND starts_with(t.path, p)
+  GROUP BY ALL)
+SELECT page_id, parts.host, parts.path, rule, coalesce(kind, 'allow') AS verdict
+FROM parts LEFT JOIN fits ON fits.host = parts.host AND fits.path = parts.path
+"""
+
+OP13_INFILL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+  FROM documents),
+drawn AS (
+  SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (n + 1) AS one, ('0x' || h[9:16])::BIGINT % (n + 1) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:least(one, two)], '') AS prefix,
+         array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS middle,
+         array_to_string(u[greatest(one, two) + 1:], '') AS suffix
+  FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+ORACLE: dict[str, str] = {"op5_mixing": OP5_MIXING, "op12_url_filter": OP12_URL_FILTER, "op13_infill": OP13_INFILL}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgold.llm import embed_dedup, huffman, license_scan, line_dedup, mih, mixing, ngram_join, packing, ppm, qda
+from fleetgold.llm import (
+    embed_dedup, huffman, infill, license_scan, line_dedup, mih, mixing, ngram_join, packing, ppm, qda, resample, url_filter,
+)
 from fleetgold.llm.common import id_crc, table
 from fleetgold.sources.shared import new_folder
 
@@ -65,9 +67,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The rules that op12's contract fixes.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.infill(table(spark, sf_dir, "documents"))
+    text = infill.restored(F.col("output"), F.col("form"))
+    return done.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(text.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_packing, op3_line_dedup, op4_ppm, op5_mixing, op6_token_files, op7_embedding_dedup, op8_nearest,
-        op9_ngram_join, op10_quality,
+        op9_ngram_join, op10_quality, op11_resampling, op12_url_filter, op13_infill,
     )
 }
