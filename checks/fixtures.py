@@ -16,6 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LINKED = """
+  select 'L' || p_partkey launch_id, to_json(struct(
+    struct('job' as transformerId) as transformer,
+    map_from_entries(transform(sequence(0, 5), k -> struct('p' || k, struct(
+      struct(cast(null as string) as layer, 'n' as namespace, 'v1.0.0' as version, 'T' || k as name) as coordinates,
+      array(struct('job' as transformerName, array('input_tables=gold:n:X:1.0.0,' || array_join(transform(
+        filter(sequence(0, 5), j -> (j < k and (p_size * (j + 2) + k * 5 + p_partkey) % 4 = 0)
+          or (k = 0 and j = 5 and p_size % 7 = 0) or (j = k and p_size % 5 = 0)),
+        j -> 'gold:n:T' || j || ':1.0.0'), ',')) as parameters)) as transformers)))) as dataProducts)) document
+  from {part}"""
+
+
+def linked_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One launch per part, whose six products need some of each other's tables; some in a cycle, some their own."""
+    return spark.sql(_LINKED, part=spread(table(spark, sf_dir, "part")))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread rows over all tasks before each grows to a document many times its size."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

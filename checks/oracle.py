@@ -340,4 +340,32 @@ union all select tenant_id, 'unchecked', null, 'INFO', 'success' from nations"""
 select tenant_id, 'silver' layer, 'Orders' as name, '1.0.0' as version, true change_feed from nations
 union all select tenant_id, 'gold', 'OrderBook', '1.0.0', true from states where state = 'READY'
 union all select tenant_id, 'gold', 'OrderValues', '1.0.0', false from nations""",
+    "product_levels": """
+with recursive nodes as (select p_partkey p, p_size, k from part, range(6) r(k)),
+edges as (
+  select n.p, n.k, j from nodes n, range(6) q(j)
+  where (j < k and (p_size * (j + 2) + k * 5 + p) % 4 = 0) or (k = 0 and j = 5 and p_size % 7 = 0)),
+walks as (
+  select p, k, 0 steps from nodes
+  union select e.p, e.k, w.steps + 1 from walks w join edges e on e.p = w.p and e.j = w.k where w.steps < 6),
+longest as (select p, k, max(steps) steps from walks group by 1, 2),
+makers as (select p, k, string_agg('p' || j, ',' order by 'p' || j) producers from edges group by 1, 2)
+select 'L' || l.p launch_id, 'p' || l.k product_id, case when steps < 6 then cast(steps as int) end as level,
+  steps >= 6 in_cycle, coalesce(producers, '') producers
+from longest l left join makers m on m.p = l.p and m.k = l.k""",
+    "fleet_listed_inputs": """
+select 't' || c_nationkey tenant_id, o_orderkey, o_custkey, o_orderstatus, o_totalprice, c_name
+from orders join customer on c_custkey = o_custkey""",
+    "fleet_levels": _with(_FLEET)
+    + """
+select tenant_id, o_orderkey, o_custkey, n from (
+  select tenant_id, o_orderkey, o_custkey, o_totalprice, count(*) over c n, max(o_totalprice) over c most
+  from silver window c as (partition by tenant_id, o_custkey))
+where o_totalprice = most""",
+    "fleet_levels_status": _with(_FLEET)
+    + """
+select t.tenant_id, product_id, severity, text from (select distinct tenant_id from silver) t,
+  (values ('a_top', 'INFO', 'success'), ('b_totals', 'INFO', 'success'), ('c_book', 'INFO', 'success'),
+    ('x', 'ERROR', 'BAD_CYCLE'), ('y', 'ERROR', 'BAD_CYCLE'), ('v', 'INFO', 'SKIP_TABLES'),
+    ('w', 'INFO', 'SKIP_TABLES')) s(product_id, severity, text)""",
 }

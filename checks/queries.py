@@ -97,6 +97,12 @@ def launch_runs(spark, d) -> DataFrame:
     )
 
 
+def product_levels(spark, d) -> DataFrame:
+    products = launches.linked_products(fx.linked_docs(spark, d))
+    made_by = F.array_join(F.array_sort("producers"), ",").alias("producers")
+    return products.select("launch_id", "product_id", "level", "in_cycle", made_by)
+
+
 def product_shares(spark, d) -> DataFrame:
     return launches.product_shares(_products(spark, d))
 
@@ -381,6 +387,20 @@ def fleet_registry(spark, d) -> DataFrame:
     return fleet.run(spark, d).current().select("tenant_id", "layer", "name", "version", "change_feed")
 
 
+def fleet_listed_inputs(spark, d) -> DataFrame:
+    """Tables that others wrote, at the locations their listings name."""
+    return fleet.run_listed(spark, d).read(fleet.JOINED)
+
+
+def fleet_levels(spark, d) -> DataFrame:
+    return fleet.run_levels(spark, d).read(fleet.TOP)
+
+
+def fleet_levels_status(spark, d) -> DataFrame:
+    rows = status.latest_status(fleet.run_levels(spark, d).statuses())
+    return rows.select("tenant_id", "product_id", "severity", "text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -388,6 +408,7 @@ QUERIES = {
         scan_by_location,
         product_projection,
         launch_runs,
+        product_levels,
         product_shares,
         contract_columns,
         contract_annotations,
@@ -424,5 +445,8 @@ QUERIES = {
         fleet_unchecked,
         fleet_status,
         fleet_registry,
+        fleet_listed_inputs,
+        fleet_levels,
+        fleet_levels_status,
     )
 }

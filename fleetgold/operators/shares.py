@@ -79,8 +79,8 @@ def _no_broadcast(ports: DataFrame) -> DataFrame:
     return ports.hint("merge")
 
 
-def _surviving_ports(runs: DataFrame, listings: DataFrame) -> DataFrame:
-    """Ports of every run with the tables they bring, after the merge rule."""
+def _surviving_ports(runs: DataFrame, listings: DataFrame, first: Sequence[str] = ("location",)) -> DataFrame:
+    """Ports of every run with the tables they bring, after the merge rule; ``first`` are columns of a list's first entry."""
     _need_types(runs, RUN_TYPES)
     _need_types(listings, LISTING_TYPES)
     ports = each(runs, RUN_KEYS, "share_ids", ["share_id"], pos="_at").select(
@@ -89,7 +89,7 @@ def _surviving_ports(runs: DataFrame, listings: DataFrame) -> DataFrame:
     tables = listings.groupBy("tenant_id", "share_id", "table_key").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("is_list").alias("is_list"),
-        F.min_by("location", "ord").alias("location"),
+        *[F.min_by(c, "ord").alias(c) for c in first],
     )
     joined = lookup_join(_no_broadcast(ports), tables, ["tenant_id", "share_id"], "inner")
     return _kept(joined, [*RUN_KEYS, "table_key"], F.lit(True)).where("kept")
@@ -104,6 +104,16 @@ def share_merge(runs: DataFrame, listings: DataFrame) -> DataFrame:
     )
 
 
+def visible_tables(runs: DataFrame, listings: DataFrame) -> DataFrame:
+    """Tables each run sees, with ``location`` and ``format`` of the first entry of the merged list: what a job reads."""
+    _need_types(listings, {"format": "string"})
+    return (
+        _surviving_ports(runs, listings, ("location", "format"))
+        .groupBy(*RUN_KEYS, "table_key")
+        .agg(F.min_by("location", "port_ord").alias("location"), F.min_by("format", "port_ord").alias("format"))
+    )
+
+
 def share_locations(runs: DataFrame, listings: DataFrame) -> DataFrame:
     """The merged location lists as rows; list order is ``(port_ord, ord)``."""
     ports = _surviving_ports(runs, listings).select(*RUN_KEYS, "table_key", "port_ord", "share_id")
@@ -114,76 +124,84 @@ def share_locations(runs: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def _share_index(listings: DataFrame, readable: Sequence[str]) -> DataFrame:
-    """One row per share (probe ``''``) and per table in it (probe ``=key``).
+    """One row per table of a share.
 
     Only fixed-width aggregates, so Spark hashes and combines before shuffling.
     """
+    ok = F.coalesce(F.col("format").isin(*readable), F.lit(False))
     return (
-        listings.select(
+        listings.groupBy("tenant_id", "share_id", "table_key")
+        .agg(
+            F.min("ord").alias("_first"),
+            F.min(F.when(ok, F.col("ord"))).alias("_first_ok"),
+            F.min("is_list").alias("is_list"),
+        )
+        .select(
             "tenant_id",
             "share_id",
+            "table_key",
             "is_list",
-            "ord",
-            F.coalesce(F.col("format").isin(*readable), F.lit(False)).alias("_ok"),
-            F.explode(F.array(F.lit(""), F.concat(F.lit("="), "table_key"))).alias("probe"),
-        )
-        .groupBy("tenant_id", "share_id", "probe")
-        .agg(
-            F.min("ord").alias("first_ord"),
-            F.min(F.when(F.col("_ok"), F.col("ord"))).alias("first_ok"),
-            F.min("is_list").alias("is_list"),
+            F.coalesce(F.col("_first") == F.col("_first_ok"), F.lit(False)).alias("readable"),
+            F.lit(True).alias("known"),
         )
     )
 
 
+def _ports(runs: DataFrame, *carry: str) -> DataFrame:
+    return each(runs, [*RUN_KEYS, *carry], "share_ids", ["share_id"], pos="port_ord")
+
+
 def run_checks(
     runs: DataFrame,
     listings: DataFrame,
     carry: Sequence[str] = (),
     readable: Sequence[str] = READABLE_FORMATS,
 ) -> DataFrame:
-    """Check shares and wanted tables of all runs with one join.
+    """Check shares and wanted tables of all runs: one row per run.
 
-    ``runs`` has ``share_ids`` and ``wants`` arrays. The result has, per run, one
-    row with ``want_pos`` 0 for its shares (``shares_missing``) and one row per
-    wanted table (``gap``: absent, or first location not readable). It comes out
-    partitioned by run, so an aggregate per run needs no further shuffle.
+    ``runs`` has ``share_ids`` and ``wants`` arrays. Only the ports become rows. A port meets the tables of its
+    share and keeps those that the run's ``wants`` contain; an unknown share leaves one marker. These few rows
+    meet the run's own row, where the wanted tables without a readable first location are
+    what the array difference leaves. Result: the run's keys and carried columns, ``wants``,
+    ``shares_missing`` and ``missing``, the gaps in list order.
     """
     _need_types(runs, {**RUN_TYPES, "wants": "array<string>"})
     _need_types(listings, {**LISTING_TYPES, "format": "string"})
-    no_want = F.array(F.lit(None).cast("string"))
-    checks = (
-        runs.select(
-            *RUN_KEYS, *carry, "share_ids", F.posexplode(F.concat(no_want, "wants")).alias("want_pos", "want")
-        )
-        .select(
-            *RUN_KEYS, *carry, "want_pos", "want", F.posexplode_outer("share_ids").alias("port_ord", "share_id")
-        )
-        .withColumn("probe", F.coalesce(F.concat(F.lit("="), "want"), F.lit("")))
-    )
-    joined = lookup_join(checks, _share_index(listings, readable), ["tenant_id", "share_id", "probe"])
-    found = F.col("first_ord").isNotNull()
-    by_run = joined.repartition(*RUN_KEYS)
-    return (
-        _kept(by_run, [*RUN_KEYS, "want_pos"], found)
-        .groupBy(*RUN_KEYS, *carry, "want_pos", "want")
+    index = _share_index(listings, readable)
+    joined = lookup_join(_no_broadcast(_ports(runs, "wants")), index, ["tenant_id", "share_id"])
+    known = F.coalesce("known", F.lit(False))
+    met = joined.withColumn("known", known).where(~F.col("known") | F.array_contains("wants", F.col("table_key")))
+    found = met.select(*RUN_KEYS, "port_ord", "table_key", "is_list", "readable", "known")
+    own = runs.select(*RUN_KEYS, *carry, "wants", F.lit(False).alias("known"))
+    by_run = own.unionByName(found, allowMissingColumns=True).repartition(*RUN_KEYS)
+    once = [F.first(c, ignorenulls=True).alias(c) for c in (*carry, "wants")]
+    per_table = (
+        _kept(by_run, [*RUN_KEYS, "table_key"], F.col("known"))
+        .groupBy(*RUN_KEYS, "table_key")
         .agg(
-            F.count_if((F.col("want_pos") == 0) & F.col("share_id").isNotNull() & ~found).alias("shares_missing"),
-            F.min_by(
-                F.coalesce(F.col("first_ok") == F.col("first_ord"), F.lit(False)),
-                F.when(F.col("kept"), F.col("port_ord")),
-            ).alias("_readable"),
+            *once,
+            F.count_if(F.col("port_ord").isNotNull() & ~F.col("known")).alias("unknown"),
+            F.min_by("readable", F.when(F.col("kept"), F.col("port_ord"))).alias("readable"),
         )
-        .withColumn("gap", (F.col("want_pos") > 0) & ~F.coalesce("_readable", F.lit(False)))
-        .drop("_readable")
     )
+    per_run = per_table.groupBy(*RUN_KEYS).agg(
+        *once,
+        F.sum("unknown").alias("shares_missing"),
+        F.collect_set(F.when(F.col("readable"), F.col("table_key"))).alias("_readable"),
+    )
+    missing = F.filter("wants", lambda w: ~F.array_contains("_readable", w))
+    return per_run.withColumn("missing", missing).drop("_readable")
 
 
 def share_readiness(runs: DataFrame, listings: DataFrame) -> DataFrame:
     """Are all shares of the run known to the tenant? True when it has none."""
-    nothing = F.array().cast("array<string>")
-    checks = run_checks(runs.withColumn("wants", nothing), listings)
-    return checks.select(*RUN_KEYS, (F.col("shares_missing") == 0).alias("ready"))
+    _need_types(runs, RUN_TYPES)
+    _need_types(listings, {**LISTING_TYPES, "format": "string"})
+    shares = listings.select("tenant_id", "share_id").distinct().withColumn("known", F.lit(True))
+    ports = lookup_join(_no_broadcast(_ports(runs)), shares, ["tenant_id", "share_id"])
+    unknown = ports.where(F.col("known").isNull()).select(*RUN_KEYS, F.lit(1).alias("_unknown"))
+    rows = runs.select(*RUN_KEYS, F.lit(0).alias("_unknown")).unionByName(unknown)
+    return rows.groupBy(*RUN_KEYS).agg((F.max("_unknown") == 0).alias("ready"))
 
 
 def dependency_gaps(
@@ -191,8 +209,8 @@ def dependency_gaps(
 ) -> DataFrame:
     """Runs with missing or unreadable wanted tables, and the first in list order."""
     checks = run_checks(runs.where(F.size("wants") > 0), listings, readable=readable)
-    return (
-        checks.where("gap")
-        .groupBy(*RUN_KEYS)
-        .agg(F.count(F.lit(1)).alias("n_missing"), F.min_by("want", "want_pos").alias("first_missing"))
+    return checks.where(F.size("missing") > 0).select(
+        *RUN_KEYS,
+        F.size("missing").cast("bigint").alias("n_missing"),
+        F.element_at("missing", 1).alias("first_missing"),
     )

@@ -46,15 +46,28 @@ def test_scans_read_only_what_is_needed(spark):
 def test_run_plan_shuffles(spark, conf):
     conf(spark__sql__autoBroadcastJoinThreshold="-1")
     text = plan(queries.run_plan(spark, SMALL))
-    # Index aggregate, both sides of the join, back to the run; and before them
-    # the products, while they are few. The round robin exchange belongs to the
+    # Index aggregate, both sides of the join, what was found and the runs' own rows to their run; and the
+    # products before tenants multiply them, once for each side. The round robin exchange belongs to the
     # fixture that writes the launch documents.
-    assert text.count("Exchange hashpartitioning") == 5
+    assert text.count("Exchange hashpartitioning") == 6
     assert text.count("SortMergeJoin") == 1
     index = text[text.index("Exchange hashpartitioning(_mark"):]
     assert "SortAggregate" not in index
 
 
+def test_wanted_tables_are_not_exploded(spark):
+    text = queries.run_plan(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in text.splitlines() if "Generate " in line]
+    assert generated and not any("wants" in line.split("[")[0] or "explode(wants" in line for line in generated)
+    assert "array_contains(wants" in text
+
+
+def test_readiness_needs_no_tables(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    text = plan(queries.share_readiness(spark, SMALL))
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in text
+
+
 def test_documents_are_parsed_once(spark):
     text = plan(queries.launch_runs(spark, SMALL))
     assert text.count("from_json(") == 1
