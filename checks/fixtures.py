@@ -16,6 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PAIR = """
+  select p_partkey doc_key, to_json(struct(map('svc.Part', struct('entity' as kind, map_filter(map(
+      'id', struct(case when (p_size + {n}) % 3 = 0 then 'cds.Integer' else 'cds.Integer64' end as type,
+        cast(null as int) as precision, cast(null as int) as scale, p_size % 2 = {n} as notNull),
+      'price', struct('cds.Decimal' as type, 10 + (p_size * (2 + {n})) % 7 as precision, (p_size + {n}) % 3 as scale, null as notNull),
+      'made', struct(case when {n} = 1 and p_size % 5 < 3 then 'cds.Timestamp' when p_size % 5 = 4 then 'cds.String' else 'cds.Date' end as type,
+        null as precision, null as scale, null as notNull),
+      'k' || {n}, struct('cds.Boolean' as type, null as precision, null as scale, p_size % 4 = 0 as notNull)),
+      (k, v) -> not (k = 'price' and p_size % 11 = {n})) as elements)) as definitions)) contract
+  from {part}"""
+
+
+def contract_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An old and a new contract per part."""
+    part = spread(table(spark, sf_dir, "part"))
+    return tuple(spark.sql(_PAIR.replace("{n}", str(n)), part=part) for n in (0, 1))
+
+
 _LINKED = """
   select 'L' || p_partkey launch_id, to_json(struct(
     struct('job' as transformerId) as transformer,

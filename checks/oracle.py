@@ -134,6 +134,19 @@ union all select o.*, 'update_preimage' from orders o join edited e using (o_ord
 union all select e.*, 'update_postimage' from orders o join edited e using (o_orderkey)
   where o.o_totalprice <> e.o_totalprice or o.o_orderstatus is distinct from e.o_orderstatus"""
 
+_STATES = """
+first as (select * from orders where o_orderkey % 17 <> 0),
+fourth as (
+  select * replace (case when o_orderkey % 9 = 0 then -o_orderkey else o_custkey end as o_custkey)
+  from orders where o_orderkey % 4 <> 0)"""
+
+# Between the first and the last state; what happened in between does not show.
+_NET = """
+select o.*, 'delete' change_type from first o where o_orderkey not in (select o_orderkey from fourth)
+union all select e.*, 'insert' from fourth e where o_orderkey not in (select o_orderkey from first)
+union all select o.*, 'update_preimage' from first o join fourth e using (o_orderkey) where o.o_custkey <> e.o_custkey
+union all select e.*, 'update_postimage' from first o join fourth e using (o_orderkey) where o.o_custkey <> e.o_custkey"""
+
 _DOCS = """
 docs as (
   select p_partkey doc_key, p_size, 'svc.Part' || p_partkey main, 'aux.' || p_type aux, 'old.' || p_type old_name,
@@ -368,4 +381,50 @@ select t.tenant_id, product_id, severity, text from (select distinct tenant_id f
   (values ('a_top', 'INFO', 'success'), ('b_totals', 'INFO', 'success'), ('c_book', 'INFO', 'success'),
     ('x', 'ERROR', 'BAD_CYCLE'), ('y', 'ERROR', 'BAD_CYCLE'), ('v', 'INFO', 'SKIP_TABLES'),
     ('w', 'INFO', 'SKIP_TABLES')) s(product_id, severity, text)""",
+    "changes_folded": _with(_EDITED, _STATES) + _NET,
+    "changes_applied": _with(_EDITED, _STATES) + " select * from fourth",
+    "changes_between": _with(_EDITED, _STATES)
+    + """
+, old as (select * from first where o_custkey % 7 <> 3), new as (select * replace (abs(o_custkey) as o_custkey) from fourth),
+pairs as (
+  select o.o_orderkey k from old o join new n on o.o_orderkey = n.o_orderkey and o.o_custkey % 7 = n.o_custkey % 7),
+changed as (
+  select o.o_orderkey k from old o join new n on o.o_orderkey = n.o_orderkey and o.o_custkey % 7 = n.o_custkey % 7
+  where o.o_custkey <> n.o_custkey),
+images as (
+  select *, 'delete' change_type from old where o_orderkey not in (select k from pairs)
+  union all select *, 'insert' from new where o_orderkey not in (select k from pairs)
+  union all select *, 'update_preimage' from old where o_orderkey in (select k from changed)
+  union all select *, 'update_postimage' from new where o_orderkey in (select k from changed))
+select *, 't' || (o_custkey % 7) tenant_id from images""",
+    "registry_incremental": _with(_EDITED)
+    + """
+select *, 't' || (o_custkey % 7) tenant_id from orders where o_custkey % 7 in (2, 5)
+union all select *, 't' || (o_custkey % 7) from edited where o_custkey % 7 not in (2, 5)""",
+    "unreferenced_files": _with(_EDITED, _STATES)
+    + " select *, 0 state from first union all select *, 1 from edited",
+    "contract_diff": """
+with c as (
+  select p_partkey doc_key, n, p_size s,
+    case when (p_size + n) % 3 = 0 then 'int' else 'bigint' end id_type, p_size % 2 <> n id_null,
+    10 + (p_size * (2 + n)) % 7 p, (p_size + n) % 3 sc, p_size % 11 <> n has_price,
+    case when n = 1 and p_size % 5 < 3 then 'timestamp_ntz' when p_size % 5 = 4 then 'string' else 'date' end made
+  from part, (values (0), (1)) v(n)),
+joined as (select o.doc_key, o.s, o, w from c o join c w on o.doc_key = w.doc_key and o.n = 0 and w.n = 1),
+rows as (
+  select doc_key, 'id' column_name, o.id_type old_type, w.id_type new_type,
+    case when o.id_type = 'bigint' and w.id_type = 'int' then 'narrowed' when o.id_null and not w.id_null then 'now_required'
+      when o.id_type <> w.id_type then 'widened' when w.id_null and not o.id_null then 'now_optional' else 'same' end change
+  from joined
+  union all
+  select doc_key, 'price', case when o.has_price then 'decimal(' || o.p || ',' || o.sc || ')' end,
+    case when w.has_price then 'decimal(' || w.p || ',' || w.sc || ')' end,
+    case when not o.has_price then 'added' when not w.has_price then 'dropped'
+      when o.p = w.p and o.sc = w.sc then 'same' when o.p - o.sc <= w.p - w.sc and o.sc <= w.sc then 'widened' else 'narrowed' end
+  from joined where o.has_price or w.has_price
+  union all select doc_key, 'made', o.made, w.made, case when o.made = w.made then 'same' else 'widened' end from joined
+  union all select doc_key, 'k0', 'boolean', null, 'dropped' from joined
+  union all select doc_key, 'k1', null, 'boolean', case when s % 4 = 0 then 'added_required' else 'added' end from joined)
+select doc_key, 'svc.Part' entity, column_name, old_type, new_type, change,
+  change in ('narrowed', 'now_required', 'added_required') breaking from rows""",
 }

@@ -10,7 +10,7 @@ from checks import fleet
 from fleetgold.functions import address
 from fleetgold.functions.params import as_map, change_feed_flag, last_value
 from fleetgold.functions.rows import each
-from fleetgold.operators import changes, conform, lookup, shares
+from fleetgold.operators import changes, compatibility, conform, lookup, shares
 from fleetgold.plans import runplan, status
 from fleetgold.plans.publish import project_contract
 from fleetgold.plans.store import Coordinates, Store
@@ -356,6 +356,78 @@ def snapshot_changes(spark, d) -> DataFrame:
     return store.changes(coords, ["o_orderkey"], fx.table(spark, d, "orders").schema)
 
 
+def _versions(spark, d) -> list[DataFrame]:
+    """Orders in four states, the last with some values back as they were."""
+    key, orders = F.col("o_orderkey"), fx.table(spark, d, "orders")
+    first, second = orders.where(key % 17 != 0), fx.edited_orders(spark, d)
+    third = second.where(key % 7 != 0).withColumn("o_orderpriority", F.when(key % 3 == 0, F.lit("x")).otherwise(F.col("o_orderpriority")))
+    fourth = orders.where(key % 4 != 0).withColumn("o_custkey", F.when(key % 9 == 0, -key).otherwise(F.col("o_custkey")))
+    return [first, second, third, fourth]
+
+
+def _feeds(spark, d) -> DataFrame:
+    states = _versions(spark, d)
+    feeds = [
+        changes.change_feed(a, b, ["o_orderkey"]).withColumn("version", F.lit(n))
+        for n, (a, b) in enumerate(zip(states, states[1:], strict=False))
+    ]
+    return feeds[0].unionByName(feeds[1]).unionByName(feeds[2])
+
+
+def changes_folded(spark, d) -> DataFrame:
+    """Three feeds, folded into what they add up to."""
+    return changes.net_changes(_feeds(spark, d), ["o_orderkey"], "version")
+
+
+def changes_applied(spark, d) -> DataFrame:
+    """The folded feeds, applied to the first state."""
+    return changes.apply_changes(_versions(spark, d)[0], changes_folded(spark, d), ["o_orderkey"])
+
+
+def changes_between(spark, d) -> DataFrame:
+    """Net changes from the first to the last of four publishes, and of a tenant that joined later."""
+    store, coords = Store(spark, new_folder(spark, "between")), Coordinates("gold", "sales", "Orders", "1.0.0")
+    numbers = []
+    for n, state in enumerate(_versions(spark, d)):
+        rows = fx.by_tenant(state.withColumn("o_custkey", F.abs("o_custkey")))
+        rows = rows.where("tenant_id <> 't3'") if n == 0 else rows
+        numbers.append(store.register(rows.select("tenant_id").distinct(), coords, store.write_snapshot(rows, coords)))
+    schema = fx.table(spark, d, "orders").schema
+    return store.changes_between(coords, ["o_orderkey"], numbers[0], numbers[-1], schema)
+
+
+def registry_incremental(spark, d) -> DataFrame:
+    """A base with appends after it, one of them a tenant's way back to an older snapshot."""
+    store, coords = Store(spark, new_folder(spark, "base")), Coordinates("gold", "sales", "Orders", "1.0.0")
+    first, second = (fx.by_tenant(o) for o in (fx.table(spark, d, "orders"), fx.edited_orders(spark, d)))
+    a, b = store.write_snapshot(first, coords), store.write_snapshot(second, coords)
+    tenants = first.select("tenant_id").distinct()
+    store.register(tenants, coords, a)
+    store.rebase()
+    store.register(tenants, coords, b)
+    store.rebase()
+    store.register(tenants.where("tenant_id in ('t2', 't5')"), coords, a)
+    return store.read(coords, fx.table(spark, d, "orders").schema)
+
+
+def unreferenced_files(spark, d) -> DataFrame:
+    """Rows in the snapshot folders that nothing refers to: one that was replaced twice, one never registered."""
+    store, coords = Store(spark, new_folder(spark, "retention")), Coordinates("gold", "sales", "Orders", "1.0.0")
+    states = [fx.by_tenant(s.withColumn("o_custkey", F.abs("o_custkey"))).withColumn("state", F.lit(n)) for n, s in enumerate(_versions(spark, d))]
+    for n, rows in enumerate(states):
+        snapshot = store.write_snapshot(rows, coords)
+        if n != 1:
+            store.register(rows.select("tenant_id").distinct(), coords, snapshot)
+    locations = sorted(r[0] for r in store.unreferenced(publishes=2, grace_seconds=-3600).select("location").collect())
+    reader = spark.read.option("recursiveFileLookup", "true").schema(states[0].drop("tenant_id").schema)
+    return reader.parquet(*locations)
+
+
+def contract_diff(spark, d) -> DataFrame:
+    """Every part's contract against the one that the part before it has under the same names."""
+    return compatibility.contract_diff(*fx.contract_pair(spark, d))
+
+
 # status
 
 
@@ -439,6 +511,12 @@ QUERIES = {
         registration_order,
         mixed_contracts,
         snapshot_changes,
+        changes_folded,
+        changes_applied,
+        changes_between,
+        registry_incremental,
+        unreferenced_files,
+        contract_diff,
         run_status,
         status_counts,
         fleet_publish,

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from fleetgold.functions.address import clean_version, layer_or_default
 from fleetgold.functions.params import as_map, change_feed_flag, good_entries, last_value
+from fleetgold.operators.compatibility import contract_diff
 from fleetgold.operators.conform import conform, conform_marked
 from fleetgold.operators.shares import READABLE_FORMATS, RUN_KEYS, visible_tables
 from fleetgold.operators.skew import broadcast_checked
@@ -96,16 +97,37 @@ class ListedInputs(Mapping):
         return listed_table(self._store.spark, self._tables.where(F.col("table_key") == key))
 
 
+def breaking_changes(store: Store, product: Product, contract: str, entity: str) -> list[tuple[str, str]]:
+    """(column, change) where this contract breaks the one that the product's table is registered with."""
+    before = store.contract_of(product.coordinates)
+    if before in ("", contract):
+        return []
+    old, new = (store.spark.range(1).select(F.lit(text).alias("contract")) for text in (before, contract))
+    found = contract_diff(old, new).where("breaking").where(F.col("entity") == entity)
+    return sorted((r["column_name"], r["change"]) for r in found.collect())  # columns of one entity
+
+
 def publish_standard(
-    store: Store, product: Product, result: DataFrame, ready: DataFrame, keep_rejects: bool = False
+    store: Store,
+    product: Product,
+    result: DataFrame,
+    ready: DataFrame,
+    keep_rejects: bool = False,
+    allow_breaking: bool = False,
 ) -> Snapshot:
     """Fit to the contract, write one snapshot for all ready tenants, register it.
 
+    A contract that breaks the one registered before (narrower types, columns that are now required) is refused, as other
+    tenants' rows are read by the newest contract and might not fit it; ``allow_breaking`` lets it pass.
+
     A ready tenant without rows is registered too: its table is now empty. With
     ``keep_rejects`` rows that do not fit go to the snapshot's reject side in
     the same write; otherwise the first such row fails the job.
     """
     entity = find_entity(read_contracts(store.spark, product.contract_file), product.coordinates.name)
+    broken = [] if allow_breaking else breaking_changes(store, product, entity.contract, entity.name)
+    if broken:
+        raise ValueError(f"the contract of {product.product_id} breaks the registered one: {broken}")
     fit = conform_marked if keep_rejects else conform
     snapshot = store.write_snapshot(
         fit(result, entity.schema, carry=["tenant_id"]), product.coordinates, marked=keep_rejects
@@ -126,13 +148,13 @@ def run_product(
 
     ``ready`` holds run rows: "active" from now on. Any error is recorded for each of them and raised.
     """
-    store.append_statuses(status_rows(ready, ACTIVE, INFO, time.time_ns()))
+    store.append_statuses(status_rows(ready, ACTIVE, INFO, store.next_status()))
     try:
         done = publish(store, product, transform(load(store, product, ready), product.params), ready)
     except Exception:
-        store.append_statuses(status_rows(ready, FAILED, ERROR, time.time_ns()))
+        store.append_statuses(status_rows(ready, FAILED, ERROR, store.next_status()))
         raise
-    store.append_statuses(status_rows(ready, SUCCESS, INFO, time.time_ns()))
+    store.append_statuses(status_rows(ready, SUCCESS, INFO, store.next_status()))
     return done
 
 
@@ -256,7 +278,7 @@ def run_fleet(
     plan = kept(planned, "runs")
     faulty = F.col("state").isin(*FAULTY)
     runnable = F.col("state").isin(*RUNNABLE)
-    now = time.time_ns()
+    now = store.next_status()
     store.append_statuses(
         status_rows(plan.where(~runnable & ~faulty), F.col("state"), INFO, now).unionByName(
             status_rows(plan.where(faulty), F.col("state"), ERROR, now)
@@ -289,6 +311,6 @@ def run_fleet(
     if error is not None:
         if left:
             rows = reduce(DataFrame.unionByName, map(ready_runs, left))
-            store.append_statuses(status_rows(rows, NOT_STARTED, INFO, time.time_ns()))
+            store.append_statuses(status_rows(rows, NOT_STARTED, INFO, store.next_status()))
         raise error
     return {(p.launch_id, p.product_id): result for p, result in done.items()}

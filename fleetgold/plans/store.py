@@ -25,7 +25,9 @@ from fleetgold.operators.conform import REJECT_COLUMN, VALUES_COLUMN
 from fleetgold.operators.lookup import COORDINATES, current_registrations
 from fleetgold.operators.skew import broadcast_checked
 from fleetgold.plans.status import STATUS_SCHEMA
+from fleetgold.sources.commits import claim, numbers
 from fleetgold.sources.contracts import find_entity
+from fleetgold.sources.listed import normal_path, unescaped, default_root
 from fleetgold.sources.shared import checkpointed
 from fleetgold.sources.tables import counted
 
@@ -34,6 +36,7 @@ REGISTRY_SCHEMA = (
     "contract_hash string, location string, snapshot string, change_feed boolean, seq bigint"
 )
 REGISTRY_ORDER = ["seq", "snapshot"]
+BASE_SCHEMA = "append string"
 CONTRACT_SCHEMA = "contract_hash string, contract string"
 FORMATS = ("parquet", "orc")
 #: The store's own columns; a table that has one of these names is refused.
@@ -123,8 +126,41 @@ class Store:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def registrations(self) -> DataFrame:
+        """All registrations ever, for histories; ``current`` reads less."""
         return self._log("registry", REGISTRY_SCHEMA)
 
+    def version(self) -> int:
+        """The number of the last registration, which may still be on its way."""
+        taken = numbers(self.spark, f"{self.root}/registry-commits")
+        return taken[-1] if taken else 0
+
+    def rebase(self) -> None:
+        """Put the current registration of every table into a base, so that reads need only what comes after it.
+
+        The base names the appends that it holds, so one that ends late, whatever its number, is still read
+        beside it. A base counts once it is whole; the log stays as it is.
+        """
+        appends = self._files_of("registry/append-*/_SUCCESS")
+        folder = f"{self.root}/registry-base/base-{claim(self.spark, f'{self.root}/base-commits'):020d}"
+        self.current().hint("rebalance").write.parquet(f"{folder}/rows")
+        names = [(a.rpartition("/")[2],) for a in appends]
+        self.spark.createDataFrame(names, BASE_SCHEMA).coalesce(1).write.parquet(f"{folder}/appends")
+
+    def _latest_registrations(self) -> DataFrame:
+        """The newest base and the appends that it does not hold: every table's current registration is among them."""
+        bases = self._files_of("registry-base/base-*/appends/_SUCCESS")
+        if not bases:
+            return self.registrations()
+        base = bases[-1].removesuffix("/appends")
+        held = {r[0] for r in self.spark.read.schema(BASE_SCHEMA).parquet(f"{base}/appends").collect()}
+        appends = self._files_of("registry/append-*/_SUCCESS")
+        later = [a for a in appends if a.rpartition("/")[2] not in held]
+        return self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{base}/rows", *later)
+
+    def next_status(self) -> int:
+        """A number for status rows: above all that were given before, whatever the clocks say."""
+        return claim(self.spark, f"{self.root}/status-commits")
+
     def contracts(self) -> DataFrame:
         return self._log("contracts", CONTRACT_SCHEMA)
 
@@ -150,8 +186,16 @@ class Store:
         snapshot: Snapshot,
         contract: str = "",
         change_feed: bool = True,
-    ) -> None:
-        """Point these tenants at a snapshot, whether or not it has rows for them. The latest registration wins."""
+        based_on: int | None = None,
+    ) -> int:
+        """Point these tenants at a snapshot, whether or not it has rows for them. The latest registration wins.
+
+        Latest is the highest commit number, which is claimed before the rows are written and returned. ``based_on``
+        is the ``version`` from which the snapshot was made: if the table was registered since, by anybody, this
+        raises ``CommitConflict`` and registers nothing.
+        """
+        key = ":".join(getattr(coords, c) for c in COORDINATES)
+        number = claim(self.spark, f"{self.root}/registry-commits", key, based_on)
         self._append(
             tenants.select(
                 F.col("tenant_id").cast("string").alias("tenant_id"),
@@ -160,13 +204,14 @@ class Store:
                 F.lit(snapshot.location).alias("location"),
                 F.lit(snapshot.snapshot).alias("snapshot"),
                 F.lit(change_feed).alias("change_feed"),
-                F.lit(time.time_ns()).cast("bigint").alias("seq"),
+                F.lit(number).cast("bigint").alias("seq"),
             ).hint("rebalance"),
             "registry",
         )
+        return number
 
-    def _of(self, coords: Coordinates) -> DataFrame:
-        log = self.registrations()
+    def _of(self, coords: Coordinates, latest: bool = False) -> DataFrame:
+        log = self._latest_registrations() if latest else self.registrations()
         for c in COORDINATES:
             log = log.where(F.col(c) == getattr(coords, c))
         return log
@@ -174,7 +219,7 @@ class Store:
     def current(self, coords: Coordinates | None = None) -> DataFrame:
         """Current registration per tenant, of one table or of all."""
         return current_registrations(
-            self.registrations() if coords is None else self._of(coords), REGISTRY_ORDER
+            self._latest_registrations() if coords is None else self._of(coords, latest=True), REGISTRY_ORDER
         )
 
     def with_contracts(self, registrations: DataFrame) -> DataFrame:
@@ -266,11 +311,18 @@ class Store:
     def schema_of(self, coords: Coordinates) -> StructType:
         """Schema by the newest registered contract."""
         order = F.when(F.col("contract_hash") != "", F.struct(*REGISTRY_ORDER))
-        name = self._of(coords).agg(F.max_by("contract_hash", order)).first()[0]
+        name = self._of(coords, latest=True).agg(F.max_by("contract_hash", order)).first()[0]
         if not name:
             raise KeyError(f"no contract of {coords} is registered")
         return self._schema_by_hash(coords, name)
 
+    def contract_of(self, coords: Coordinates) -> str:
+        """Text of the newest registered contract; empty if there is none."""
+        order = F.when(F.col("contract_hash") != "", F.struct(*REGISTRY_ORDER))
+        newest = self._of(coords, latest=True).agg(F.max_by("contract_hash", order).alias("contract_hash"))
+        found = newest.join(self.contracts(), "contract_hash").select("contract").first()
+        return found[0] if found else ""
+
     def read(
         self, coords: Coordinates, schema: StructType | None = None, rejected: bool = False
     ) -> DataFrame:
@@ -305,3 +357,67 @@ class Store:
         )
         rows = self._pointed(coords, sides, schema)
         return changes_by_side(rows, ["tenant_id", *keys], "fg_new")
+
+    def changes_between(
+        self, coords: Coordinates, keys: Sequence[str], after: int, upto: int | None = None, schema: StructType | None = None
+    ) -> DataFrame:
+        """Net row changes of each tenant from commit ``after`` to commit ``upto`` (the latest): what many publishes add up to.
+
+        Only the two snapshots at the ends are read, however many lie between. A tenant that was not registered at the start
+        has inserts only; one that was not registered in between has no rows here. All snapshots have to be there still.
+        """
+        log = self._of(coords).select("tenant_id", "contract_hash", *REGISTRY_ORDER)
+        if upto is not None:
+            log = log.where(F.col("seq") <= upto)
+        order = F.struct(*REGISTRY_ORDER)
+        pointer = F.struct("snapshot", "contract_hash")
+        ends = log.groupBy("tenant_id").agg(
+            F.max_by(F.when(F.col("seq") <= after, pointer), F.when(F.col("seq") <= after, order)).alias("old"),
+            F.max_by(pointer, order).alias("new"),
+        )
+        ends = ends.where(~F.col("old.snapshot").eqNullSafe(F.col("new.snapshot")))
+        side = F.array(
+            F.struct(F.col("old.*"), F.lit(False).alias("fg_new")), F.struct(F.col("new.*"), F.lit(True).alias("fg_new"))
+        )
+        sides = ends.select("tenant_id", F.inline(side)).where(F.col("snapshot").isNotNull())
+        rows = self._pointed(coords, sides.select("snapshot", "tenant_id", "contract_hash", "fg_new"), schema)
+        return changes_by_side(rows, ["tenant_id", *keys], "fg_new")
+
+    # retention
+
+    def unreferenced(self, publishes: int = 2, grace_seconds: int = 86_400) -> DataFrame:
+        """Snapshot folders that nobody needs any more: ``location``, ``files``, ``bytes``, ``modified``.
+
+        Needed are the snapshots of each tenant's last ``publishes`` registrations of every table (two, as ``changes`` reads).
+        A folder whose newest file is younger than the grace time may belong to a job that has not registered yet, and stays.
+        Files are listed by Spark and meet the registry in one anti join.
+        """
+        folder = f"{self.root}/tables"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], "location string, files bigint, bytes bigint, modified timestamp")
+        root = default_root(self.spark)
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        meta = files.metadataColumn("_metadata")
+        place = F.regexp_extract(unescaped(meta["file_path"]), f"^(.*/{SNAPSHOT}=[^/]+)/", 1)
+        found = files.select(normal_path(place, root).alias("location"), "length", "modificationTime")
+        folders = found.groupBy("location").agg(
+            F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified")
+        )
+        publish = Window.partitionBy("tenant_id", *COORDINATES).orderBy(*[F.desc(c) for c in REGISTRY_ORDER])
+        needed = (
+            self.registrations()
+            .withColumn("_back", F.dense_rank().over(publish))
+            .where(F.col("_back") <= publishes)
+            .select(normal_path(F.col("location"), root).alias("location"))
+            .distinct()
+        )
+        old = F.col("modified") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(grace_seconds).cast("decimal(18,6)"))
+        return folders.join(needed, "location", "left_anti").where(old)
+
+    def remove_unreferenced(self, publishes: int = 2, grace_seconds: int = 86_400) -> list[str]:
+        """Delete what ``unreferenced`` names; gives the folders."""
+        gone = sorted(r[0] for r in self.unreferenced(publishes, grace_seconds).select("location").collect())
+        for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, gone):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return gone

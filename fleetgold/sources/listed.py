@@ -31,19 +31,19 @@ PARTITIONS = r"((?:/[^/=]+=[^/]*)*)$"
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _default_root(spark: SparkSession) -> str:
+def default_root(spark: SparkSession) -> str:
     """Scheme and host that a path without them has."""
     conf = spark._jsc.hadoopConfiguration()
     uri = spark._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf)
     return f"{uri.getScheme()}://{uri.getAuthority() or ''}"
 
 
-def normal_path(path: Column, default_root: str) -> Column:
+def normal_path(path: Column, default: str) -> Column:
     """One spelling of a path: with scheme and host, single slashes, none at the end."""
-    path = F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(F.concat(F.lit(default_root), path))
+    path = F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(F.concat(F.lit(default), path))
     root = F.regexp_replace(F.regexp_extract(path, "^([^:]+:(?://[^/]*)?)", 1), "//$", "")
-    own = default_root.split("//")[0]
-    root = F.when(root == own, F.lit(default_root.removesuffix("//"))).otherwise(root)
+    own = default.split("//")[0]
+    root = F.when(root == own, F.lit(default.removesuffix("//"))).otherwise(root)
     rest = F.regexp_replace(F.regexp_extract(path, "^[^:]+:(?://[^/]*)?(.*)$", 1), "/{2,}", "/")
     return F.concat(root, F.regexp_replace(rest, "/$", ""))
 
@@ -66,12 +66,12 @@ def _folders_of_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return files.select(_folder_of(files).alias(FOLDER)).distinct()
 
 
-def owners(folders: DataFrame, listed: DataFrame, default_root: str) -> DataFrame:
+def owners(folders: DataFrame, listed: DataFrame, root: str) -> DataFrame:
     """Which tenants each folder's files belong to: ``fg_folder``, ``tenant_id``, ``partitions`` (names below the listed folder).
 
     ``folders`` has ``fg_folder``; ``listed`` has ``tenant_id`` and ``location``.
     """
-    path = normal_path(unescaped(F.col(FOLDER)), default_root)
+    path = normal_path(unescaped(F.col(FOLDER)), root)
     parts, depth = F.split(path, "/"), F.size(F.split(F.regexp_extract(path, PARTITIONS, 1), "/")) - 1
     above = F.transform(
         F.sequence(F.lit(0), depth),
@@ -81,7 +81,7 @@ def owners(folders: DataFrame, listed: DataFrame, default_root: str) -> DataFram
         ),
     )
     candidates = folders.select(FOLDER, F.explode(above).alias("at")).select(FOLDER, "at.location", "at.below")
-    places = listed.select(TENANT, normal_path(F.col("location"), default_root).alias("location")).distinct()
+    places = listed.select(TENANT, normal_path(F.col("location"), root).alias("location")).distinct()
     own = unescaped(F.nullif(F.regexp_extract("below", f"/{TENANT}=([^/]*)", 1), F.lit("")))
     names = F.regexp_extract_all("below", F.lit("/([^/=]+)="), F.lit(1))
     return (
@@ -107,7 +107,7 @@ def _scan(
         reader = reader.schema(schema)
     if fmt not in FOLDER_FORMATS:
         return _one_by_one(reader, fmt, listed, paths)
-    mine = checkpointed(owners(_folders_of_files(spark, paths), listed, _default_root(spark)))
+    mine = checkpointed(owners(_folders_of_files(spark, paths), listed, default_root(spark)))
     # A folder can be listed twice over, as a partition of another one: the rows go to the tenant once.
     places = mine.select(FOLDER, TENANT).distinct()
     found = mine.agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.flatten(F.collect_set("partitions"))).alias("names")).first()

@@ -1,9 +1,11 @@
 import random
+from functools import reduce
 
 import pytest
 from helpers import rows
-from fleetgold.operators.changes import change_feed, overwrite_feed
+from fleetgold.operators.changes import apply_changes, change_feed, net_changes, overwrite_feed
 from fleetgold.operators.latest import latest
+from pyspark.sql import functions as F
 
 SCHEMA = "a bigint, b string, v double, w string"
 
@@ -63,3 +65,46 @@ def test_nothing_is_sorted_before_the_shuffle(spark):
     exchange = next(i for i, line in enumerate(plan) if "Exchange" in line)
     assert not any("Sort" in line or "Aggregate" in line for line in plan[exchange:])
     assert sum("Exchange" in line for line in plan) == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_feeds_of_many_versions_fold_to_the_net_feed(spark, seed):
+    r = random.Random(seed)
+    states = [spark.createDataFrame(table(r, 20), SCHEMA) for _ in range(5)]
+    feeds = [change_feed(a, b, ["a", "b"]).withColumn("n", F.lit(i)) for i, (a, b) in enumerate(zip(states, states[1:], strict=False))]
+    folded = net_changes(reduce(lambda x, y: x.unionByName(y), feeds), ["a", "b"], "n")
+    assert rows(folded) == rows(change_feed(states[0], states[-1], ["a", "b"]))
+    assert rows(apply_changes(states[0], folded, ["a", "b"])) == rows(states[-1])
+
+
+def test_what_comes_and_goes_is_no_change(spark):
+    feed = spark.createDataFrame(
+        [(1, "x", "insert", 1), (1, "x", "delete", 2), (2, "x", "delete", 1), (2, "x", "insert", 3), (3, None, "delete", 1),
+         (3, "y", "insert", 2), (4, "a", "update_postimage", 1), (4, "b", "update_preimage", 1)],
+        "a int, v string, change_type string, n int",
+    )
+    assert rows(net_changes(feed, ["a"], "n")) == [
+        (3, "y", "update_postimage"), (3, None, "update_preimage"), (4, "a", "update_postimage"), (4, "b", "update_preimage"),
+    ]
+
+
+@pytest.mark.parametrize(
+    ("change", "message"),
+    [
+        ((1, "x", "insert"), "does not fit"),
+        ((2, "x", "delete"), "does not fit"),
+        ((1, "other", "delete"), "does not fit"),
+        ((1, "x", "update_postimage"), "does not fit"),
+    ],
+)
+def test_a_feed_that_does_not_fit_fails(spark, change, message):
+    state = spark.createDataFrame([(1, "x")], "a int, v string")
+    with pytest.raises(Exception, match=message):
+        apply_changes(state, spark.createDataFrame([change], "a int, v string, change_type string"), ["a"]).collect()
+
+
+def test_apply_to_keys_only_and_repeated_keys(spark):
+    state, feed = spark.createDataFrame([(1,), (2,)], "a int"), spark.createDataFrame([(1, "delete"), (3, "insert")], "a int, change_type string")
+    assert rows(apply_changes(state, feed, ["a"])) == [(2,), (3,)]
+    with pytest.raises(Exception, match="not unique"):
+        apply_changes(state, feed.union(feed), ["a"]).collect()
