@@ -51,7 +51,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """
     folder = new_folder(df.sparkSession, purpose)
     df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    read = df.sparkSession.read.schema(df.schema).parquet(folder)
+    read._folder = folder
+    return read
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``written`` result that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._folder)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

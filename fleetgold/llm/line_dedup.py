@@ -23,12 +23,13 @@ import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgold.llm import tiles
-from fleetgold.llm.common import python_tasks, release, saved, text_of
+from fleetgold.llm.common import discard, mix, python_tasks, release, saved, seeds, text_of, written
 from fleetgold.llm.graph import components
 from fleetgold.llm.shingles import banded, char_shingles, signatures
 from fleetgold.operators.skew import broadcast_checked, lookup_join
@@ -39,6 +40,8 @@ BANDS = 20
 ROWS = 5
 #: Bands whose rows are shuffled at the same time; all take their turn, so this bounds disk only.
 BANDS_AT_ONCE = 4
+#: Band values that a task sorts at once.
+CHUNK = 1 << 20
 #: ASCII white space, which is cut off a line's ends.
 ENDS = " \t\n\x0b\x0c\r"
 #: Where a line is, in the order by which the first one stays; the text's hash tells texts of one id apart.
@@ -86,13 +89,77 @@ def _lines(chars: int, bands: int, rows: int):
     return run
 
 
-def _links(classes: DataFrame, bands: range) -> DataFrame:
-    """(node, low) of classes that agree in one of ``bands`` with another; low is the smallest of those."""
-    keys = F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(bands, {1 + 8 * b}, 8)")) for b in bands])
-    members = classes.select("node", F.explode(keys).alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
-    links = lookup_join(members, shared.select("band", "low"), ["band"], "inner")
-    return links.where("node != low").select("node", "low").distinct()
+def _runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys with the smallest node of each; and every other node with the smallest one of its key."""
+    order = np.argsort(keys, kind="stable")
+    keys, nodes = keys[order], nodes[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    low = np.minimum.reduceat(nodes, begins) if len(keys) else nodes
+    mine = np.repeat(low, np.diff(np.append(begins, len(keys))))
+    other = nodes != mine
+    return keys[begins], low, nodes[other], mine[other]
+
+
+def _pairs_batch(x: list[np.ndarray], y: list[np.ndarray], names: tuple[str, str]) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *p]), pa.int64()) for p in (x, y)], names=list(names))
+
+
+def _deal(first_band: int):
+    """Band values of classes with their nodes, equal ones of some batches already linked.
+
+    Rows are (band value, node), one for each value of a chunk; a link found here is (smallest node, ~node), a negative
+    second number, and goes along.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            value, low, node, mine = _runs(np.concatenate(keys), np.concatenate(nodes))
+            return _pairs_batch([value.view(np.int64), mine], [low, ~node], ("x", "y"))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node = batch.column("node").to_numpy()
+            raw = b"".join(batch.column("bands").to_pylist())
+            values = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(node), -1)
+            for k in range(values.shape[1]):
+                keys.append(mix(values[:, k] ^ seeds(1, 100 + first_band + k)[0]))
+                nodes.append(node)
+                held += len(node)
+            if held >= CHUNK:
+                yield out()
+                keys, nodes, held = [], [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, low) for the nodes of a partition that have a band value in common, and the links that came along."""
+    keys, nodes = [], []
+    for batch in batches:
+        x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+        link = y < 0
+        yield _pairs_batch([~y[link]], [x[link]], ("node", "low"))
+        keys.append(x[~link])
+        nodes.append(y[~link])
+    if keys:
+        _, _, node, low = _runs(np.concatenate(keys), np.concatenate(nodes))
+        yield _pairs_batch([node], [low], ("node", "low"))
+
+
+def _links(classes: DataFrame, turn: int, first_band: int) -> DataFrame:
+    """(node, low) of classes that agree in one of a turn's bands with another; low is the smallest of those that met.
+
+    One shuffle of two numbers a band and class. A value that very many classes have is one row for each chunk
+    of classes by then, not one for each class.
+    """
+    dealt = classes.select("node", F.col(f"bands_{turn}").alias("bands")).mapInArrow(_deal(first_band), "x long, y long")
+    return dealt.repartition("x").mapInArrow(_meet, "node long, low long")
 
 
 def marked_lines(
@@ -103,21 +170,27 @@ def marked_lines(
     python_tasks(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
     made = "doc_id long, line_no int, text_key long, key binary, bands binary"
-    lines = saved(texts.mapInArrow(_lines(chars, bands, rows), made))
+    signed = written(texts.mapInArrow(_lines(chars, bands, rows), made), "lines")
     first = F.min(F.struct(*PLACE)).alias("first")
-    classes = saved(
-        lines.groupBy("key")
+    turns = range(0, bands, BANDS_AT_ONCE)
+    parts = [F.substring("bands", 1 + 8 * b, 8 * BANDS_AT_ONCE).alias(f"bands_{t}") for t, b in enumerate(turns)]
+    banded_classes = written(
+        signed.groupBy("key")
         .agg(first, F.max("bands").alias("bands"))  # any: all copies have the same
-        .withColumn("node", F.monotonically_increasing_id())
+        .select("key", "first", *parts)
+        .withColumn("node", F.monotonically_increasing_id()),
+        "classes",
     )
-    lines = saved(lines.drop("bands"))
+    lines = written(signed.drop("bands"), "places")
+    discard(signed)
     release(spark)
     links = []
-    for begin in range(0, bands, BANDS_AT_ONCE):
-        links.append(saved(_links(classes, range(begin, min(begin + BANDS_AT_ONCE, bands)))))
+    for turn, begin in enumerate(turns):
+        links.append(saved(_links(banded_classes, turn, begin)))
         release(spark)
     found = components(reduce(DataFrame.union, links), "node", "low")
-    classes = saved(classes.drop("bands"))
+    classes = written(banded_classes.select("key", "first", "node"), "firsts")
+    discard(banded_classes)
     del links
     release(spark)
     wanted = saved(
@@ -161,18 +234,27 @@ def _sql(text: str) -> str:
 
 
 def per_document(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """One row per doc_id: n_lines with text, n_kept, and the numbers of the lines that go."""
-    counts = marked.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"),
-        F.sum(F.col("kept").cast("long")).alias("n_kept"),
-        F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("dropped_lines"),
+    """One row per document (doc_id and text): n_lines with text, n_kept, the numbers of the lines that go, what stays for them.
+
+    ``class_docs`` and ``class_lines`` name the line that stays for each of ``dropped_lines``, in the same order, so
+    all lines of a component can be told by where they point. Rows that repeat a doc_id and a text are one document.
+    """
+    line = F.struct("line_no", "kept", "class_doc", "class_line")
+    lines = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
+        F.array_sort(F.collect_set(line)).alias("_lines")  # one document's lines
     )
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return ids.join(counts.withColumnRenamed("doc_id", "id"), ids.doc_id.eqNullSafe(F.col("id")), "left").select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key")).distinct()
+    own = rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_key == F.col("_key"))
+    found = F.coalesce("_lines", F.array().cast("array<struct<line_no:int,kept:boolean,class_doc:long,class_line:int>>"))
+    placed = rows.join(lines, own, "left").withColumn("_lines", found).withColumn("_gone", F.filter("_lines", lambda x: ~x["kept"]))
+    return placed.select(
         "doc_id",
-        F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"),
-        F.coalesce("n_kept", F.lit(0).cast("long")).alias("n_kept"),
-        F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped_lines"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size("_gone")).cast("long").alias("n_kept"),
+        F.transform("_gone", lambda x: x["line_no"]).alias("dropped_lines"),
+        F.transform("_gone", lambda x: x["class_doc"]).alias("class_docs"),
+        F.transform("_gone", lambda x: x["class_line"]).alias("class_lines"),
+        "text_key",
     )
 
 

@@ -3,7 +3,8 @@
 Candidates come as (node, root): texts under one root may be similar. A component
 is cut into blocks by a hash, of so much text that two blocks fit a task, and every
 pair of blocks is one tile; small components share a task. A tile compares all its
-pairs by counting common shingles with a matrix product, exactly, and hands on one
+pairs by counting common shingles, exactly (with a matrix product; components of up to
+``FEW_TEXTS`` texts pair by pair, all of a task at once), and hands on one
 row per text: how many texts it is linked with there, and the smallest text it is
 connected to there. No pair leaves a task, so a group of g similar texts gives g
 rows per tile, however many pairs it has.
@@ -24,6 +25,9 @@ from fleetgold.llm.shingles import sets
 BLOCK_CHARS = 6_000_000
 BLOCK_TEXTS = 2_048
 COLUMNS = 4_096
+#: Texts of a component that is compared pair by pair together with others, and shingles looked up at once.
+FEW_TEXTS = 64
+LOOKED_UP = 1 << 21
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -103,6 +107,90 @@ def _tile(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable |
     )
 
 
+def _pairs(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within each run of places."""
+    left, right = [], []
+    for n in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(n, 1)
+        starts = begins[sizes == n][:, None]
+        left.append((starts + i).ravel())
+        right.append((starts + j).ravel())
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _shares(hashes: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Jaccard similarity of each pair of texts, 0 where the numbers of shingles alone keep it below the threshold."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
+    names = int(rank.max(initial=-1)) + 1
+    known = np.unique(owner * names + rank)  # (text, shingle), sorted by text
+    owner, rank = np.divmod(known, max(names, 1))
+    size = np.bincount(owner, minlength=len(counts))
+    begin = np.cumsum(size) - size
+    swap = size[left] > size[right]
+    small, large = np.where(swap, right, left), np.where(swap, left, right)
+    share = np.zeros(len(left))
+    able = np.flatnonzero((size[small] > 0) & (size[small] >= threshold * size[large]))
+    reached = np.cumsum(size[small[able]])
+    at = 0
+    while at < len(able):
+        done = reached[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(reached, done + LOOKED_UP, "right")))
+        part = able[at:end]
+        a, b = small[part], large[part]
+        n = size[a]
+        pair = np.repeat(np.arange(len(part)), n)
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        asked = np.repeat(b, n) * names + rank[np.repeat(begin[a], n) + inside]
+        place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        common = np.bincount(pair, weights=known[place] == asked, minlength=len(part))
+        share[part] = common / (size[a] + size[b] - common)
+        at = end
+    return share
+
+
+def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For every item the smallest one that the links connect it to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = np.minimum(new, new[new])
+        if np.array_equal(new, label):
+            return label
+        label = new
+
+
+def _many(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable | None) -> pd.DataFrame:
+    """Many small components, each whole; sorted by root and node."""
+    n = len(frame)
+    root = frame["root"].to_numpy()
+    begins = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+    left, right = _pairs(begins, np.diff(np.append(begins, n)))
+    hashes, counts = shingles(frame["text"].tolist())
+    share = _shares(hashes, counts, left, right, threshold)
+    linked = share >= threshold
+    left, right, share = left[linked], right[linked], share[linked]
+    weight = frame["copies"].to_numpy(np.int64)
+    links = np.zeros(n, np.int64)
+    np.add.at(links, left, weight[right])
+    np.add.at(links, right, weight[left])
+    expected = found_by(share) if found_by else np.ones(len(share))
+    node = frame["node"].to_numpy()
+    return pd.DataFrame(
+        {
+            "node": node,
+            "links": links,
+            "reached": node[_labels(n, left, right)],
+            "found": np.where(np.arange(n) == 0, float(len(share)), 0.0),
+            "expected": np.where(np.arange(n) == 0, float((1 / expected).sum()), 0.0),
+        }
+    )
+
+
 def compare(
     members: DataFrame,
     shingles: Callable,
@@ -138,7 +226,12 @@ def compare(
     )
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        tiles = [_tile(t, shingles, threshold, found_by) for _, t in frame.groupby(["root", "a", "b"], sort=False)]
+        frame = frame.sort_values(["root", "a", "b", "node"], ignore_index=True)
+        texts = frame.groupby(["root", "a", "b"], sort=False)["node"].transform("size")
+        few = (frame["a"] == frame["b"]) & (texts <= FEW_TEXTS)
+        tiles = [_tile(t, shingles, threshold, found_by) for _, t in frame[~few].groupby(["root", "a", "b"], sort=False)]
+        if few.any():
+            tiles.append(_many(frame[few], shingles, threshold, found_by))
         return pd.concat(tiles, ignore_index=True)
 
     return rows.groupBy("task").applyInPandas(run, "node long, links long, reached long, found double, expected double")

@@ -1,6 +1,7 @@
 """Operators 1, 2, 4, 5, 6 and 10."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,18 +19,44 @@ from cases import AWKWARD, SMALL
 
 @pytest.fixture(scope="module")
 def whole():
-    """Ids of a text, encoded in one piece."""
-    encoder = PieceEncoder(default_vocabulary()).tokenizer
-    return lambda t: encoder.encode(t or "", add_special_tokens=False).ids
+    """Ids of a text, encoded in one piece by the library alone."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_vocabulary())
+    return lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 def raw(ids):
     return np.array(ids, "<u4").tobytes()
 
 
+ODD_TEXTS = [
+    "", " ", "a  b", " a b ", "a\tb\n c", "\0 a\0b c", "\0", "a\0", "x\u2003y", "a \u0301b", "don't  we 'll 12!!", "\r\n a",
+    "<|endoftext|>", "x <|endoftext|> y", "a<|endoftext|><|endoftext|>", "<|endoftext", " <|endoftext|>\n", "é.÷. ×! 1.5, a.b;c",
+]
+
+
 def test_pieces_give_the_ids_of_the_whole_text(whole, texts):
-    odd = ["", " ", "a  b", " a b ", "a\tb\n c", "\0 a\0b c", "x  y", "a ́b", "don't  we 'll 12!!", "\r\n a"]
-    cases = [*texts.values(), *odd, *[t for _, t, _ in AWKWARD], None]
+    cases = [*texts.values(), *ODD_TEXTS, *[t for _, t, _ in AWKWARD], None]
+    assert PieceEncoder(default_vocabulary()).encode(cases) == [raw(whole(t)) for t in cases]
+    assert 50256 in whole("x <|endoftext|> y")
+
+
+@pytest.mark.parametrize("remembered", [1 << 20, 16])
+def test_pieces_of_random_texts(monkeypatch, whole, remembered):
+    monkeypatch.setattr("fleetgold.llm.tokens.REMEMBERED", remembered)
+    rng = random.Random(remembered)
+    parts = [*"ab Zé1.,;:!?'s\n\t\r\x0b\x00\x1c\x85\xa0\u2003\u3000😀ß×÷ñ", "<|endoftext|>", "  ", "\n\n", " the", " word", "'s", "'ll", "...", "x" * 30]
+    cases = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    encoder = PieceEncoder(default_vocabulary())
+    got = [ids for at in range(0, len(cases), 100) for ids in encoder.encode(cases[at : at + 100])]
+    assert got == [raw(whole(t)) for t in cases]
+
+
+def test_pieces_are_handled_in_parts(monkeypatch, whole, texts):
+    monkeypatch.setattr("fleetgold.llm.tokens.PIECES_AT_ONCE", 7)
+    monkeypatch.setattr("fleetgold.llm.tokens.BYTES_AT_ONCE", 50)
+    cases = [*list(texts.values())[:40], *ODD_TEXTS]
     assert PieceEncoder(default_vocabulary()).encode(cases) == [raw(whole(t)) for t in cases]
 
 
