@@ -4,12 +4,19 @@ Texts and templates become words (letters and digits, lower case). Places in a t
 where a window holds enough of a template's words are aligned with it: the words that
 occur once in both are anchors, the longest increasing run of anchors stays, and the
 gaps between two anchors are aligned the same way, where other words may be unique;
-equal words next to an anchor are matched too. Coverage is the matched part of the
-template's words. Where a copy begins and ends is found before, by the length of the
-longest common subsequence with the template (bit-parallel), so that neighbouring copies
-do not take each other's unique words. A slice is only skipped when that length, or the
-number of the template's words in it, is too small for the coverage asked for: no place of
-at most two template lengths is lost.
+equal words next to an anchor are matched too. In a gap without such words those that
+occur least often in both are anchors, by the order of their occurrences, so the
+recursion goes on until a gap has no common word. Coverage is the matched part of the
+template's words; the first and the last matched word are where a place begins and ends.
+Slices are cut out before, by the length of the longest common subsequence with the
+template (bit-parallel), so that neighbouring copies do not take each other's unique
+words, and skipped when that length, or the number of the template's words in them, is
+too small for the coverage asked for.
+
+A notice names one license and version: its numbers follow the words before them, no
+further word (``MODIFIERS``) comes between, and a number that the text joins to the place
+with a hyphen, or to a number with a point, and that the template lacks, makes it another
+license (MIT-0, version 2.1).
 
 Each task holds the templates and one batch of texts. Defined results: null and empty
 texts have no license; a text may hold several licenses, and one license several times
@@ -116,8 +123,10 @@ for _name, _texts in TEMPLATES.items():
 #: Words by which licenses with nearly the same texts differ: a place without those of its template does not count.
 TELLING = frozenset(
     "affero agpl apache artistic attribution bsd cc cc0 endorse gpl isc lesser lgpl mit mozilla mpl nc nd neither "
-    "noncommercial noderivatives sa sharealike unencumbered unlicense 1 2 3".split()
+    "noncommercial noderivatives sa sharealike unencumbered unlicense 1 2 3 4".split()
 )
+#: Words that make another license of a notice that they come into.
+MODIFIERS = frozenset("affero lesser nc nd noncommercial noderivatives sa sharealike".split())
 #: In longer templates digits number clauses; much longer ones are recognised by their wording alone.
 NOTICE_WORDS, CLAUSE_WORDS = 60, 250
 
@@ -159,8 +168,21 @@ def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]
         if a >= b or c >= d:
             continue
         ours, theirs = Counter(text[a:b]), Counter(template[c:d])
-        where = {w: i for i, w in enumerate(text[a:b], a) if ours[w] == 1}
-        anchors = [(where[w], j) for j, w in enumerate(template[c:d], c) if theirs[w] == 1 and w in where]
+        often = {w: max(n, theirs[w]) for w, n in ours.items() if w in theirs}
+        if not often:
+            continue
+        rarest = min(often.values())  # 1: unique to both
+        where: dict[str, list[int]] = {}
+        for i, w in enumerate(text[a:b], a):
+            if often.get(w) == rarest:
+                where.setdefault(w, []).append(i)
+        turn: Counter[str] = Counter()
+        anchors = []
+        for j, w in enumerate(template[c:d], c):
+            if w in where:
+                if turn[w] < len(where[w]):
+                    anchors.append((where[w][turn[w]], j))
+                turn[w] += 1
         anchors = [anchors[i] for i in _increasing([i for i, _ in anchors])]
         for i, j in anchors:
             found.append((i, j))
@@ -220,6 +242,14 @@ class Template:
         back = next(i for i, n in enumerate(self._lengths(words[:end], True), 1) if n == best)
         return best, end - back, end
 
+    def _other(self, words: Sequence[str], pairs: Sequence[tuple[int, int]]) -> bool:
+        """In a notice: is a number not right behind the word matched before it, or does a further word make it another license?"""
+        if len(self.words) > NOTICE_WORDS:
+            return False
+        apart = any(words[i].isdigit() and i != before + 1 for (before, _), (i, _) in zip(pairs, pairs[1:], strict=False))
+        more = MODIFIERS.intersection(words[pairs[0][0] : pairs[-1][0] + 1])
+        return apart or not more <= self.counts.keys()
+
     def places(self, words: list[str], index: Mapping[str, list[int]]) -> Iterator[tuple[float, int, int]]:
         """(coverage, first word, word after the last) of every place of the template in a text."""
         if not self._enough({w: len(index[w]) for w in self.counts if w in index}):
@@ -237,16 +267,31 @@ class Template:
             if not found:
                 begin = bisect.bisect_right(hits, start + len(self.words), begin)
                 continue
-            matched, a, b = found[0], start + found[1], start + found[2]
+            a, b = start + found[1], start + found[2]
             if b - a > self.window or not self.telling.issubset(words[a:b]):
                 begin = bisect.bisect_right(hits, a, begin)
                 continue
-            # Repeated words can leave the alignment short of the longest common subsequence.
-            matched = max(matched, len(align(words[a:b], self.words)))
-            yield matched / len(self.words), a, b
+            pairs = align(words[a:b], self.words)
+            if len(pairs) < self.coverage * len(self.words) or self._other(words[a:b], pairs):
+                begin = bisect.bisect_right(hits, a, begin)
+                continue
+            a, b = a + pairs[0][0], a + pairs[-1][0] + 1
+            yield len(pairs) / len(self.words), a, b
             begin = bisect.bisect_left(hits, b, begin)
 
 
+def other_version(
+    text: str, spans: Sequence[tuple[int, int]], words: Sequence[str], a: int, b: int, template: Template
+) -> bool:
+    """Does the text join a number that the template lacks to the place from word ``a`` to ``b``?"""
+    for i in range(a + 1, min(b + 1, len(words))):
+        if words[i].isdigit() and (i == b or words[i] not in template.counts):
+            joint = text[spans[i - 1][1] : spans[i][0]]
+            if joint == "-" or (joint == "." and words[i - 1].isdigit()):
+                return True
+    return False
+
+
 def licenses(
     text: str, templates: Sequence[Template], known: Set[str] | None = None
 ) -> list[tuple[str, float, int, int]]:
@@ -269,8 +314,12 @@ def licenses(
         if len(words) >= t.coverage * len(t.words)
         for c, a, b in t.places(words, index)
     ]
+    lower = text.lower()
+    spans = [m.span() for m in WORDS.finditer(lower)] if found else []
     for _, coverage, name, a, b, k in sorted(found):
         own = templates[k].telling
+        if len(templates[k].words) <= NOTICE_WORDS and other_version(lower, spans, words, a, b, templates[k]):
+            continue
         if all(b <= c or d <= a or (n != name and not own <= t.counts.keys()) for n, _, c, d, t in kept):
             kept.append((name, -coverage, a, b, templates[k]))
     return sorted((k[:4] for k in kept), key=lambda k: (k[2], k[0]))

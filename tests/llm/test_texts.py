@@ -101,6 +101,56 @@ def test_license_scan_finds_every_notice(documents, texts):
     assert found == {(i, name) for i, t in texts.items() for name, notice in notices.items() if notice in t}
 
 
+@pytest.mark.parametrize("text", [
+    "Licensed under CC BY-NC 3.0.", "Released under the MIT-0 License.", "SPDX-License-Identifier: MIT-0",
+    "Licensed under the Apache License, Version 1.1.", "Licensed under the BSD 4-Clause License.", "Licensed under CC BY 2.5.",
+    "This work is licensed under the GNU Lesser General Public License, version 2.", "Licensed under CC BY-SA 3.0.",
+    "This work is licensed under the GNU General Public License, version 2.1.", "Licensed under the Mozilla Public License, version 1.1.",
+])
+def test_other_versions_are_not_reported(text):
+    known = [license_scan.Template(n, t, 0.8) for n, ts in sorted(license_scan.TEMPLATES.items()) for t in ts]
+    assert license_scan.licenses(f"some words before. {text} And some words behind 3 of them.", known) == []
+
+
+@pytest.mark.parametrize(("text", "name"), [
+    ("Released under the MIT License. 3 cups of tea", "MIT"), ("1. Licensed under CC BY 4.0. 2. More", "CC-BY-4.0"),
+    ("Licensed under the Apache License [1], Version 2.0.", "Apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.\n2.1 next", "GPL-3.0"),
+])
+def test_numbers_beside_a_notice_do_not_matter(text, name):
+    known = [license_scan.Template(n, t, 0.8) for n, ts in sorted(license_scan.TEMPLATES.items()) for t in ts]
+    assert {n for n, *_ in license_scan.licenses(text, known)} == {name}
+
+
+def test_the_alignment_decides(monkeypatch):
+    known = [license_scan.Template("MIT", license_scan.TEMPLATES["MIT"][1], 0.8)]
+    text = "before it " + license_scan.TEMPLATES["MIT"][1].replace("obtaining", "getting") + " behind it"
+    (_, coverage, start, end), = license_scan.licenses(text, known)
+    n = len(known[0].words)
+    assert (coverage, start, end) == ((n - 1) / n, 2, 2 + n)
+    align = license_scan.align
+    monkeypatch.setattr(license_scan, "align", lambda a, b: align(a, b)[1:])
+    (_, less, later, _), = license_scan.licenses(text, known)
+    assert (less, later) == ((n - 2) / n, 3)
+    monkeypatch.setattr(license_scan, "align", lambda a, b: [])
+    assert license_scan.licenses(text, known) == []
+
+
+def test_alignment_goes_on_with_the_rarest_words():
+    assert len(license_scan.align("a x b a y b".split(), "a q b a z b".split())) == 4
+    assert license_scan.align("x a a y".split(), "p a a q".split()) == [(1, 1), (2, 2)]
+    rng = np.random.default_rng(3)
+    short = 0
+    for _ in range(300):
+        template = rng.choice(list("abcdefghij"), 30).tolist()
+        text = [w for w in template if rng.random() > 0.1]
+        pairs = license_scan.align(text, template)
+        assert all(text[i] == template[j] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+        short += len(text) - len(pairs)
+    assert short < 300 * 2  # of 27 words a text, all of which the longest common subsequence has
+
+
 def test_license_scan_awkward(awkward, empty):
     found = sorted((r.doc_id, r.license, r.coverage, r.start, r.end) for r in license_scan.scan(awkward).collect())
     assert found == [(9, "MIT", 1.0, 0, 5), (9, "MIT", 1.0, 15, 20)]
