@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import shutil
@@ -37,19 +38,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, with its lineage cut.
 
-    Spark removes the files when nothing refers to them any more.
+    Spark removes the files when nothing refers to them any more, if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+#: Folders of this driver's intermediate results; what is still there when the driver ends goes then.
+_folders: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_folders() -> None:
+    for folder, spark in _folders.items():
+        try:
+            _remove(spark, folder)
+        except Exception:  # the JVM may be gone already
+            return
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written as compressed Parquet below the shared folder and reread: for wide rows.
 
-    Small row groups, as a writer holds one of each task in memory.
+    Small row groups, as a writer holds one of each task in memory. The files stay until ``discard`` or the driver's end, as
+    results that read them may be lazy.
     """
     folder = new_folder(df.sparkSession, purpose)
+    _folders[folder] = df.sparkSession
     df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(folder)
     read = df.sparkSession.read.schema(df.schema).parquet(folder)
     read._folder = folder
@@ -58,8 +79,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``written`` result that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._folder)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(df.sparkSession, df._folder)
+    _folders.pop(df._folder, None)
 
 
 def release(spark: SparkSession) -> None:

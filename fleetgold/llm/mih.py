@@ -16,7 +16,8 @@ query that finds fewer than ``k`` rows in a block widens its radius there.
 
 Defined results: vectors that are null, zero or hold null or non-finite components
 take no part; shorter vectors are padded with zeros; rows equal in id and vector
-count once; rows with a null id are neither query nor candidate; with fewer than ``k``
+count once; rows of one id with different vectors are different rows: each is a query of its
+own, with ranks of its own, and a candidate for the others; rows with a null id are neither query nor candidate; with fewer than ``k``
 candidates all are returned; an empty table gives an empty result.
 """
 
@@ -122,10 +123,11 @@ def nearest(
     raw = rows.select(F.col(f"`{name}`").alias("id"), F.col(f"`{vector}`").alias("vec"))
     width = width_of(raw, "vec")
     good = usable(raw, "vec", width).where("key is not null and id is not null")
-    points = saved(good.groupBy("id", "key").agg(F.first("vec").alias("vec")).drop("key"))
+    distinct = good.groupBy("id", "key").agg(F.first("vec").alias("vec")).drop("key")
+    points = saved(distinct.withColumn("row", F.monotonically_increasing_id()))
     total, _, _, longest = second_moments(points, width, unit=False)
     total = int(total)
-    shape = "query_id long, vec_id long, score double"
+    shape = "query_row long, query_id long, vec_id long, score double"
     # A bounded sample, the same on every run: the rows with the smallest hashes.
     sample = matrix([r.vec for r in points.orderBy(F.xxhash64("id", "vec")).limit(SAMPLE).select("vec").collect()])
     if total == 0:
@@ -141,36 +143,37 @@ def nearest(
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     base = points.select(
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), place(blocks).alias("b"),
-        F.lit(False).alias("asks"), "id", "vec",
+        F.lit(False).alias("asks"), "row", "id", "vec",
     )
     queries = asked.select(
         place(query_blocks).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"),
-        F.lit(True).alias("asks"), "id", "vec",
+        F.lit(True).alias("asks"), "row", "id", "vec",
     )
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
         asks = frame["asks"].to_numpy()
-        ids, vecs = frame["id"].to_numpy(), matrix(frame["vec"])
+        ids, rows_, vecs = frame["id"].to_numpy(), frame["row"].to_numpy(), matrix(frame["vec"])
         own, x, wanted, q = ids[~asks], vecs[~asks], ids[asks], vecs[asks]
+        own_row, wanted_row = rows_[~asks], rows_[asks]
         if not len(own) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
         index, out = Index(coder.codes(x)), []
         most = index.codes.shape[1] * 8
-        for name_, vec, code in zip(wanted, q, coder.codes(q, query=True), strict=True):
+        for name_, row, vec, code in zip(wanted, wanted_row, q, coder.codes(q, query=True), strict=True):
             reach = radius
             while True:
                 hits = index.within(code, reach)
-                hits = hits[own[hits] != name_]
+                hits = hits[own_row[hits] != row]
                 if len(hits) >= k or reach >= most:
                     break
                 reach = min(most, reach + index.codes.shape[1])
             score = np.einsum("ij,j->i", x[hits], vec)
             best = np.lexsort((own[hits], -score))[:k]
-            out.append(pd.DataFrame({"query_id": name_, "vec_id": own[hits][best], "score": score[best]}))
+            out.append(pd.DataFrame({"query_row": row, "query_id": name_, "vec_id": own[hits][best], "score": score[best]}))
         return pd.concat(out, ignore_index=True)
 
     found = base.unionByName(queries).groupBy("q", "b").applyInPandas(search, shape)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec_id").alias(name), "score")

@@ -318,6 +318,31 @@ def test_nearest_of_few_and_none(points):
     assert mih.nearest(df.limit(0), F.col("id") % 20 == 0).collect() == []
 
 
+def test_rows_of_one_id_with_different_vectors(spark):
+    """Each is a query with ranks of its own, and a candidate for the other."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (3, [0.9, 0.1]), (4, [0.2, 0.8])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in mih.nearest(df, F.col("id") % 20 == 0).collect()]
+    assert sorted((q, rank, i, round(s, 3)) for q, rank, i, s in found) == [
+        (20, 1, 3, 0.9), (20, 1, 4, 0.8), (20, 2, 3, 0.1), (20, 2, 4, 0.2), (20, 3, 20, 0.0), (20, 3, 20, 0.0),
+    ]
+
+
+def test_intermediate_files_go_when_asked_or_at_the_end(spark):
+    import os
+
+    from fleetgold.llm import common
+
+    one, two = (common.written(spark.range(3), "kept") for _ in range(2))
+    common.discard(one)
+    assert not os.path.exists(one._folder) and two.count() == 3
+    mine = {two._folder: common._folders.pop(two._folder)}
+    others, common._folders = common._folders, mine
+    common._remove_folders()
+    common._folders = others
+    assert not os.path.exists(two._folder)
+
+
 # the pipeline
 
 
