@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences: each stage applies one operator of ``fleetgold.llm``.
 
 A stage takes the documents that its predecessor kept and returns those it keeps; each
-is written as Parquet and reread as the next one's input. The last one returns pieces.
+is written as Parquet and reread as the next one's input, and deleted when that is written. The last one returns pieces.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgold.llm import line_dedup, mixing, ngram_join, packing, qda
-from fleetgold.llm.common import id_crc, table
-from fleetgold.sources.shared import new_folder
+from fleetgold.llm.common import discard, id_crc, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +57,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents`` of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        folder = new_folder(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        after = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)  # its one reader is done
+        docs = before = after
     return docs
