@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgold.llm.shingles import sets
+from fleetgold.operators.skew import lookup_join
 
 #: Characters and texts of one block.
 BLOCK_CHARS = 6_000_000
@@ -213,7 +214,7 @@ def compare(
     small = sizes.where("blocks = 1").agg(F.sum("chars"), F.sum("texts")).first()
     bins = 1 + int(max((small[0] or 0) / block_chars, (small[1] or 0) / block_texts))
     rows = (
-        members.join(sizes.select("root", "blocks"), "root")
+        lookup_join(members, sizes.select("root", "blocks"), ["root"], "inner")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("a", F.least("block", "other"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cases import AWKWARD, SMALL
 
 
-@pytest.mark.parametrize("name", ["op12_url_filter", "op13_infill"])
+@pytest.mark.parametrize("name", ["op7_embedding_dedup", "op9_ngram_join", "op12_url_filter", "op13_infill"])
 def test_query_equals_sql(spark, name):
     assert differences(spark, duck(SMALL), queries.QUERIES[name], ORACLE[name], SMALL) == []
 
