@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgold.llm import tiles
+from fleetgold.llm.batches import by_bytes
 from fleetgold.llm.common import discard, mix, python_tasks, release, saved, seeds, text_of, written
 from fleetgold.llm.graph import components
 from fleetgold.llm.shingles import banded, char_shingles, signatures
@@ -40,6 +41,9 @@ BANDS = 20
 ROWS = 5
 #: Bands whose rows are shuffled at the same time; all take their turn, so this bounds disk only.
 BANDS_AT_ONCE = 4
+#: Characters that are signed at once, and those of one block of a tile: each is a shingle of some 60 bytes of arrays.
+SIGNED_CHARS = 1 << 20
+BLOCK_CHARS = 1_500_000
 #: Band values that a task sorts at once.
 CHUNK = 1 << 20
 #: ASCII white space, which is cut off a line's ends.
@@ -58,6 +62,18 @@ def missed(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return (1 - similarity**rows) ** bands
 
 
+def _signed(lines: list[str], chars: int, bands: int, rows: int) -> Iterator[bytes]:
+    """Band values of each line; so many characters at once that the arrays of their shingles stay small."""
+    ends = np.cumsum([len(line) for line in lines])
+    at = 0
+    while at < len(lines):
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + SIGNED_CHARS, "right")))
+        values = signatures(*char_shingles(lines[at:end], chars), bands * rows)
+        yield from (v.astype(">u8").tobytes() for v in banded(values, bands))
+        at = end
+
+
 def _lines(chars: int, bands: int, rows: int):
     schema = pa.schema(
         [("doc_id", pa.int64()), ("line_no", pa.int32()), ("text_key", pa.int64()), ("key", pa.binary())]
@@ -65,7 +81,7 @@ def _lines(chars: int, bands: int, rows: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text", SIGNED_CHARS):
             docs, places, owners, keys, found = [], [], [], [], {}
             for doc, owner, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
                 for place, line in enumerate(text.split("\n")):
@@ -76,8 +92,7 @@ def _lines(chars: int, bands: int, rows: int):
                         owners.append(owner)
                         keys.append(hashlib.md5(line.encode("utf-8", "surrogatepass")).digest())
                         found.setdefault(keys[-1], line)  # equal lines of a batch get their values once
-            values = signatures(*char_shingles(list(found.values()), chars), bands * rows)
-            signed = dict(zip(found, (v.astype(">u8").tobytes() for v in banded(values, bands)), strict=True))
+            signed = dict(zip(found, _signed(list(found.values()), chars, bands, rows), strict=True))
             seen: set[bytes] = set()
             once = [signed[k] if k not in seen and not seen.add(k) else None for k in keys]
             yield pa.RecordBatch.from_arrays(
@@ -213,7 +228,7 @@ def marked_lines(
     )
     chosen = saved(fetched.dropDuplicates(["node"]))
     shingles = lambda t: char_shingles(t, chars)
-    compared = tiles.compare(chosen, shingles, threshold).where("links > 0").select("node", "reached")
+    compared = tiles.compare(chosen, shingles, threshold, block_chars=BLOCK_CHARS).where("links > 0").select("node", "reached")
     roots = components(compared, "node", "reached")
     placed = classes.select("key", "node", "first").join(roots, "node")
     stays = placed.groupBy("root").agg(F.min("first").alias("stays"))

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import brute
 import numpy as np
 import pytest
 from checks.compare import differences
@@ -467,6 +468,25 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean([p for p, q in held if q == 1]) >= 0.98
 
 
+def test_scores_equal_the_definition(spark, texts):
+    """Statistics, sums, shrinkage and densities, all recomputed in plain Python."""
+    found = {r.doc_id: r for r in queries.op10_quality(spark, SMALL).collect()}
+    learned = [
+        (r.doc_id, r.quality)
+        for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1
+    ]
+    expected = brute.quality(texts, learned)
+    assert {i: r.held_out for i, r in found.items()} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in texts}
+    assert [found[i].score for i in texts] == pytest.approx([expected[i] for i in texts], abs=1e-6)
+    assert all(r.predicted == (r.score >= 0.5) for r in found.values())
+
+
+def test_statistics_of_odd_texts():
+    for text in [None, "", " \n", "A", "a b", "ß É 12 !! ...", "x" * 5000, "a, b; c.\n\na, b; c.\nEND"]:
+        assert qda.statistics(text) == pytest.approx(brute.text_statistics(text))
+
+
 def test_classifier_awkward(spark, documents, labels, awkward, empty):
     model = qda.train(documents, labels)
     scores = qda.scored(qda.with_statistics(awkward), model).collect()
