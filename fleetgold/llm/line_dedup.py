@@ -41,9 +41,9 @@ BANDS = 20
 ROWS = 5
 #: Bands whose rows are shuffled at the same time; all take their turn, so this bounds disk only.
 BANDS_AT_ONCE = 4
-#: Characters that are signed at once, and those of one block of a tile: each is a shingle of some 60 bytes of arrays.
-SIGNED_CHARS = 1 << 20
-BLOCK_CHARS = 1_500_000
+#: Bytes of texts whose lines a task holds, characters that are signed at once (their arrays stay in cache), and
+#: characters of one block of a tile (each is a shingle of some 60 bytes of arrays).
+TEXT_BYTES, SIGNED_CHARS, BLOCK_CHARS = 1 << 20, 1 << 17, 1_500_000
 #: Band values that a task sorts at once.
 CHUNK = 1 << 20
 #: ASCII white space, which is cut off a line's ends.
@@ -81,7 +81,7 @@ def _lines(chars: int, bands: int, rows: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text", SIGNED_CHARS):
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
             docs, places, owners, keys, found = [], [], [], [], {}
             for doc, owner, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
                 for place, line in enumerate(text.split("\n")):
@@ -115,24 +115,32 @@ def _runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[begins], low, nodes[other], mine[other]
 
 
-def _pairs_batch(x: list[np.ndarray], y: list[np.ndarray], names: tuple[str, str]) -> pa.RecordBatch:
-    none = np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *p]), pa.int64()) for p in (x, y)], names=list(names))
+def _batch(node: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(low, pa.int64())], names=["node", "low"])
 
 
-def _deal(first_band: int):
-    """Band values of classes with their nodes, equal ones of some batches already linked.
+def _deal(first_band: int, buckets: int):
+    """Band values of classes with their nodes, in parcels by ranges of values; equal ones of a chunk are linked at once.
 
-    Rows are (band value, node), one for each value of a chunk; a link found here is (smallest node, ~node), a negative
-    second number, and goes along.
+    A parcel is (bucket, linked, pairs of 64-bit numbers): value and smallest node, or, if ``linked``, node and smallest node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)
         keys, nodes, held = [], [], 0
 
         def out() -> pa.RecordBatch:
             value, low, node, mine = _runs(np.concatenate(keys), np.concatenate(nodes))
-            return _pairs_batch([value.view(np.int64), mine], [low, ~node], ("x", "y"))
+            cuts = np.concatenate([[0], np.searchsorted(value, edges.astype(np.uint64)), [len(value)]])
+            raw = np.column_stack([value.view(np.int64), low]).tobytes()
+            parcels = [(b, False, raw[16 * c : 16 * d]) for b, (c, d) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if d > c]
+            if len(node):
+                parcels.append((int(node[0]) % buckets, True, np.column_stack([node, mine]).tobytes()))
+            columns = zip(*parcels, strict=True)
+            types = (pa.int32(), pa.bool_(), pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "linked", "pairs"]
+            )
 
         for batch in batches:
             if not batch.num_rows:
@@ -154,27 +162,32 @@ def _deal(first_band: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, low) for the nodes of a partition that have a band value in common, and the links that came along."""
-    keys, nodes = [], []
+    """(node, low) for the nodes of some buckets that have a band value in common, and the links that came along."""
+    met: list[np.ndarray] = []
     for batch in batches:
-        x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
-        link = y < 0
-        yield _pairs_batch([~y[link]], [x[link]], ("node", "low"))
-        keys.append(x[~link])
-        nodes.append(y[~link])
-    if keys:
-        _, _, node, low = _runs(np.concatenate(keys), np.concatenate(nodes))
-        yield _pairs_batch([node], [low], ("node", "low"))
+        for linked, raw in zip(batch.column("linked").to_pylist(), batch.column("pairs"), strict=True):
+            pairs = np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, 2)
+            if linked:
+                yield _batch(pairs[:, 0], pairs[:, 1])
+            else:
+                met.append(pairs)
+    if met:
+        both = np.concatenate(met)
+        _, _, node, low = _runs(both[:, 0], both[:, 1])
+        yield _batch(node, low)
 
 
 def _links(classes: DataFrame, turn: int, first_band: int) -> DataFrame:
     """(node, low) of classes that agree in one of a turn's bands with another; low is the smallest of those that met.
 
-    One shuffle of two numbers a band and class. A value that very many classes have is one row for each chunk
-    of classes by then, not one for each class.
+    One shuffle of two numbers a band and class, in parcels. A value that very many classes have is one pair for each
+    chunk of classes by then, not one for each class.
     """
-    dealt = classes.select("node", F.col(f"bands_{turn}").alias("bands")).mapInArrow(_deal(first_band), "x long, y long")
-    return dealt.repartition("x").mapInArrow(_meet, "node long, low long")
+    buckets = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parcels = classes.select("node", F.col(f"bands_{turn}").alias("bands")).mapInArrow(
+        _deal(first_band, buckets), "bucket int, linked boolean, pairs binary"
+    )
+    return parcels.repartition("bucket").mapInArrow(_meet, "node long, low long")
 
 
 def marked_lines(
@@ -191,8 +204,8 @@ def marked_lines(
     parts = [F.substring("bands", 1 + 8 * b, 8 * BANDS_AT_ONCE).alias(f"bands_{t}") for t, b in enumerate(turns)]
     banded_classes = written(
         signed.groupBy("key")
-        .agg(first, F.max("bands").alias("bands"))  # any: all copies have the same
-        .select("key", "first", *parts)
+        .agg(first, F.count("*").alias("copies"), F.max("bands").alias("bands"))  # any: all copies have the same
+        .select("key", "first", "copies", *parts)
         .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
@@ -204,7 +217,7 @@ def marked_lines(
         links.append(saved(_links(banded_classes, turn, begin)))
         release(spark)
     found = components(reduce(DataFrame.union, links), "node", "low")
-    classes = written(banded_classes.select("key", "first", "node"), "firsts")
+    classes = written(banded_classes.select("key", "first", "copies", "node"), "firsts")
     discard(banded_classes)
     del links
     release(spark)
@@ -233,14 +246,14 @@ def marked_lines(
     placed = classes.select("key", "node", "first").join(roots, "node")
     stays = placed.groupBy("root").agg(F.min("first").alias("stays"))
     merged = lookup_join(placed.select("key", "root"), stays, ["root"], "inner").select("key", "stays")
-    index = (
-        classes.select("key", "first").join(merged, "key", "left").select("key", F.coalesce("stays", "first").alias("stays"))
-    )
-    return lookup_join(lines.select(*PLACE, "key"), index, ["key"], "inner").select(
-        *PLACE,
-        F.col("stays.doc_id").alias("class_doc"),
-        F.col("stays.line_no").alias("class_line"),
-        F.struct(*PLACE).eqNullSafe(F.col("stays")).alias("kept"),
+    # A line whose class has no copy and no link stays; only the others have to learn what stays for them.
+    several = classes.where("copies > 1").select("key", "first").join(merged.select("key"), "key", "left_anti")
+    index = merged.unionByName(several.withColumnRenamed("first", "stays"))
+    placed = lookup_join(lines.select(*PLACE, "key"), index, ["key"], "left")
+    place = F.struct(*PLACE)
+    stays = F.coalesce("stays", place)
+    return placed.select(
+        *PLACE, stays["doc_id"].alias("class_doc"), stays["line_no"].alias("class_line"), place.eqNullSafe(stays).alias("kept")
     )
 
 

@@ -17,6 +17,9 @@ BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[9:14] = SPACE[32] = True
 
+#: Scrambled code points of the first plane.
+_COMMON = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
 _powers = {1: np.ones(1, np.uint64)}
 
 
@@ -30,24 +33,34 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
 
 
 def _windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``size`` items of each text, and how many each has; a shorter text is one run."""
+    """Hashes of all runs of ``size`` items of each text, and how many each has; a shorter text is one run.
+
+    A run's hash is the sum of its items times powers of the base. Runs of 2, 4, 8, ... items come from two of half
+    the length, and a run of any length from those.
+    """
     ends = np.cumsum(counts)
     starts = ends - counts
     made = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
-    total = int(made.sum())
-    owner = np.repeat(np.arange(len(counts)), made)
-    first = np.repeat(starts, made) + (np.arange(total) - np.repeat(np.cumsum(made) - made, made))
     # Every place of the whole array first, in order; then those where a run begins.
-    padded = np.concatenate([hashes, np.zeros(size, np.uint64)])
-    powers = _power(BASE, size)
-    sums = np.zeros(len(hashes), np.uint64)
-    for k in range(size):
-        sums += padded[k : k + len(hashes)] * powers[k]
-    out = sums[first] + np.uint64(size)
+    half, long = np.concatenate([hashes, np.zeros(size, np.uint64)]), 1
+    sums, done = np.zeros(len(hashes), np.uint64), 0
+    while done < size:
+        if size & long:
+            sums += half[done : done + len(hashes)] * _power(BASE, size + 1)[done]
+            done += long
+        if done < size:
+            half = half[:-long] + half[long:] * _power(BASE, size + 1)[long]
+            long *= 2
+    begins = np.ones(len(hashes), bool)
+    whole, less = counts >= size, (counts > 0) & (counts < size)
+    begins[(ends[whole][:, None] - np.arange(1, size)).ravel()] = False
+    for i in np.flatnonzero(less):
+        begins[starts[i] + 1 : ends[i]] = False
+    out = sums[begins] + np.uint64(size)
     place = np.cumsum(made) - made
-    for i in np.flatnonzero((counts > 0) & (counts < size)):  # one run, shorter
+    for i in np.flatnonzero(less):  # one run, shorter
         at, n = starts[i], counts[i]
-        out[place[i]] = (hashes[at : at + n] * powers[:n]).sum(dtype=np.uint64) + np.uint64(n)
+        out[place[i]] = (hashes[at : at + n] * _power(BASE, n)).sum(dtype=np.uint64) + np.uint64(n)
     return mix(out), made
 
 
@@ -68,13 +81,17 @@ def word_shingles(texts: Sequence[str | None], size: int) -> tuple[np.ndarray, n
 
 def char_shingles(texts: Sequence[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for shingles of characters."""
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    return _windows(mix(chars + np.uint64(1)), np.array([len(t) for t in texts], np.int64), size)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    mixed = _COMMON[np.minimum(chars, len(_COMMON) - 1)]
+    rare = np.flatnonzero(chars >= len(_COMMON))
+    mixed[rare] = mix(chars[rare].astype(np.uint64) + np.uint64(1))
+    return _windows(mixed, np.array([len(t) for t in texts], np.int64), size)
 
 
-def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, piece: int = 1 << 17) -> np.ndarray:
+def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, piece: int = 1 << 15) -> np.ndarray:
     """``n`` MinHash values (unsigned 32-bit) for every text that has shingles.
 
+    The hashes are scrambled already, so a product with an odd number is one more order of them.
     Works through the shingles in pieces that stay in cache; a text may span pieces.
     """
     counts = counts[counts > 0]
@@ -83,7 +100,6 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, piece: int = 1 <<
         return out.T
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     factors = (seeds(n, 7) >> np.uint64(16)).astype(np.uint32) | np.uint32(1)
-    shifts = (seeds(n, 11) >> np.uint64(16)).astype(np.uint32)
     ends = np.cumsum(counts)
     starts = ends - counts
     room = np.empty(piece, np.uint32)
@@ -94,7 +110,6 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, piece: int = 1 <<
         view = room[: len(part)]
         for k in range(n):
             np.multiply(part, factors[k], out=view)
-            np.add(view, shifts[k], out=view)
             row = out[k, first:last]
             np.minimum(row, np.minimum.reduceat(view, cuts), out=row)
     return out.T

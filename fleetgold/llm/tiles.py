@@ -4,7 +4,7 @@ Candidates come as (node, root): texts under one root may be similar. A componen
 is cut into blocks by a hash, of so much text that two blocks fit a task, and every
 pair of blocks is one tile; small components share a task. A tile compares all its
 pairs by counting common shingles, exactly (with a matrix product; components of up to
-``FEW_TEXTS`` texts pair by pair, all of a task at once), and hands on one
+``FEW_TEXTS`` texts all of a task at once, by the texts that each shingle has), and hands on one
 row per text: how many texts it is linked with there, and the smallest text it is
 connected to there. No pair leaves a task, so a group of g similar texts gives g
 rows per tile, however many pairs it has.
@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgold.llm.common import mix
 from fleetgold.llm.shingles import sets
 from fleetgold.operators.skew import lookup_join
 
@@ -26,9 +27,9 @@ from fleetgold.operators.skew import lookup_join
 BLOCK_CHARS = 6_000_000
 BLOCK_TEXTS = 2_048
 COLUMNS = 4_096
-#: Texts of a component that is compared pair by pair together with others, and shingles looked up at once.
+#: Texts of a component that is compared together with others, and pairs with a common shingle counted at once.
 FEW_TEXTS = 64
-LOOKED_UP = 1 << 21
+COUNTED = 1 << 20
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -108,47 +109,52 @@ def _tile(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable |
     )
 
 
-def _pairs(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places within each run of places."""
-    left, right = [], []
+def _pairs(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of places within each run of places, run by run, and where each run's pairs begin."""
+    made = sizes * (sizes - 1) // 2
+    bases = np.cumsum(made) - made
+    left, right = np.zeros(int(made.sum()), np.int64), np.zeros(int(made.sum()), np.int64)
     for n in np.unique(sizes[sizes > 1]):
         i, j = np.triu_indices(n, 1)
-        starts = begins[sizes == n][:, None]
-        left.append((starts + i).ravel())
-        right.append((starts + j).ravel())
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        some = sizes == n
+        at = (bases[some][:, None] + np.arange(len(i))).ravel()
+        left[at], right[at] = (begins[some][:, None] + i).ravel(), (begins[some][:, None] + j).ravel()
+    return left, right, bases
 
 
-def _shares(hashes: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Jaccard similarity of each pair of texts, 0 where the numbers of shingles alone keep it below the threshold."""
+def _shares(
+    hashes: np.ndarray, counts: np.ndarray, begins: np.ndarray, sizes: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, Jaccard similarity) of all pairs of texts within each run of texts.
+
+    Sorted by component and shingle, the texts that have a shingle stand together, and every pair of them is one
+    more common shingle.
+    """
+    left, right, bases = _pairs(begins, sizes)
     owner = np.repeat(np.arange(len(counts)), counts)
-    rank = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
-    names = int(rank.max(initial=-1)) + 1
-    known = np.unique(owner * names + rank)  # (text, shingle), sorted by text
-    owner, rank = np.divmod(known, max(names, 1))
+    run = np.repeat(np.arange(len(begins)), sizes)
+    local = np.arange(len(counts)) - begins[run]
+    key = hashes + mix(run.astype(np.uint64) + np.uint64(1))[owner]
+    order = np.argsort(key, kind="stable")  # a shingle's texts stay in order
+    key, owner = key[order], owner[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])  # each text once
+    key, owner = key[fresh], owner[fresh]
     size = np.bincount(owner, minlength=len(counts))
-    begin = np.cumsum(size) - size
-    swap = size[left] > size[right]
-    small, large = np.where(swap, right, left), np.where(swap, left, right)
-    share = np.zeros(len(left))
-    able = np.flatnonzero((size[small] > 0) & (size[small] >= threshold * size[large]))
-    reached = np.cumsum(size[small[able]])
-    at = 0
-    while at < len(able):
-        done = reached[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(reached, done + LOOKED_UP, "right")))
-        part = able[at:end]
-        a, b = small[part], large[part]
-        n = size[a]
-        pair = np.repeat(np.arange(len(part)), n)
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        asked = np.repeat(b, n) * names + rank[np.repeat(begin[a], n) + inside]
-        place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-        common = np.bincount(pair, weights=known[place] == asked, minlength=len(part))
-        share[part] = common / (size[a] + size[b] - common)
-        at = end
-    return share
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    holders = np.diff(np.append(first, len(key)))
+    common = np.zeros(len(left))
+    for n in np.unique(holders[holders > 1]):
+        i, j = np.triu_indices(n, 1)
+        some = first[holders == n]
+        step = max(1, COUNTED // len(i))
+        for at in range(0, len(some), step):
+            texts = owner[some[at : at + step][:, None] + np.arange(n)]
+            c, total = local[texts], sizes[run[texts[:, 0]]][:, None]
+            code = bases[run[texts[:, 0]]][:, None] + c[:, i] * total - c[:, i] * (c[:, i] + 1) // 2 + c[:, j] - c[:, i] - 1
+            common += np.bincount(code.ravel(), minlength=len(common))
+    union = size[left] + size[right] - common
+    return left, right, np.divide(common, union, out=np.zeros(len(common)), where=union > 0)
 
 
 def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -170,9 +176,8 @@ def _many(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable |
     n = len(frame)
     root = frame["root"].to_numpy()
     begins = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
-    left, right = _pairs(begins, np.diff(np.append(begins, n)))
     hashes, counts = shingles(frame["text"].tolist())
-    share = _shares(hashes, counts, left, right, threshold)
+    left, right, share = _shares(hashes, counts, begins, np.diff(np.append(begins, n)))
     linked = share >= threshold
     left, right, share = left[linked], right[linked], share[linked]
     weight = frame["copies"].to_numpy(np.int64)

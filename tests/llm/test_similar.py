@@ -102,7 +102,7 @@ def test_bands_miss_few_lines_at_the_threshold():
     assert lost < 0.002, lost  # all pairs are at or little above the threshold
 
 
-def test_few_texts_are_compared_as_in_tiles():
+def test_few_texts_are_compared_as_in_tiles(monkeypatch):
     rng = np.random.default_rng(4)
     rows = []
     for root in range(60):
@@ -115,10 +115,9 @@ def test_few_texts_are_compared_as_in_tiles():
     chars = lambda t: shingles.char_shingles(t, 8)
     chance = lambda s: 1 - (1 - s**5) ** 20
     each = pd.concat([tiles._tile(f, chars, 0.8, chance) for _, f in frame.groupby("root")])
-    for looked_up in (50, 1 << 21):
-        tiles.LOOKED_UP, before = looked_up, tiles.LOOKED_UP
+    for counted in (50, 1 << 20):
+        monkeypatch.setattr(tiles, "COUNTED", counted)
         many = tiles._many(frame, chars, 0.8, chance)
-        tiles.LOOKED_UP = before
         assert many[["node", "links", "reached"]].equals(each[["node", "links", "reached"]].reset_index(drop=True))
         assert many["found"].sum() == each["found"].sum() > 500
         assert np.isclose(many["expected"].sum(), each["expected"].sum())
