@@ -17,7 +17,8 @@ from fleetgold.plans.store import Coordinates, Store
 from fleetgold.sources import contracts
 from fleetgold.sources import launch as launches
 from fleetgold.sources.shared import new_folder
-from fleetgold.sources.tables import counted, first_locations, load_table
+from fleetgold.sources.listed import listed_table
+from fleetgold.sources.tables import counted, load_table
 
 LINE_CONTRACT = """{"definitions": {
   "svc.LineItem": {"kind": "entity", "@owner": "sales", "elements": {
@@ -83,8 +84,8 @@ def scan_by_location(spark, d) -> DataFrame:
     runs = listed.select(
         F.lit("L").alias("launch_id"), "tenant_id", F.lit("p").alias("product_id"), F.array("share_id").alias("share_ids")
     )
-    paths = first_locations(shares.share_merge(runs, listed), "silver:sales:Orders:1.0.0")
-    return load_table(spark, paths, schema=fx.table(spark, d, "orders").schema)
+    tables = shares.visible_tables(runs, listed).where("table_key = 'silver:sales:Orders:1.0.0'")
+    return listed_table(spark, tables, fx.table(spark, d, "orders").schema).drop("tenant_id")
 
 
 def product_projection(spark, d) -> DataFrame:

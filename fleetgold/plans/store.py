@@ -66,11 +66,23 @@ class Snapshot:
     rows: int
 
 
-def _cast_to(df: DataFrame, schema: StructType) -> DataFrame:
-    """``df`` with the columns of ``schema`` in its types; what it lacks is null, other columns stay."""
+def _cast_to(df: DataFrame, schema: StructType, strict: bool) -> DataFrame:
+    """``df`` with the columns of ``schema`` in its types; what it lacks is null, other columns stay.
+
+    A value that does not fit its new type is null, or with ``strict`` an error.
+    """
     have = set(df.columns)
+
+    def fitted(field: StructField):
+        if field.name not in have:
+            return F.lit(None).cast(field.dataType)
+        value = F.col(f"`{field.name}`")
+        fit = value.try_cast(field.dataType)
+        wrong = F.raise_error(F.lit(f"{field.name}: value does not fit {field.dataType.simpleString()}")).cast(field.dataType)
+        return F.when(value.isNotNull() & fit.isNull(), wrong).otherwise(fit) if strict else fit
+
     cast = {
-        f.name: (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
+        f.name: fitted(f)
         for f in schema.fields
         if f.name != "tenant_id"
     }
@@ -272,7 +284,7 @@ class Store:
         return found.where(F.col(REJECTED) == rejected)
 
     def _pointed(
-        self, coords: Coordinates, pointers: DataFrame, schema: StructType | None, rejected: bool = False
+        self, coords: Coordinates, pointers: DataFrame, schema: StructType | None, rejected: bool = False, strict: bool = False
     ) -> DataFrame:
         """Rows that ``pointers`` (snapshot, tenant_id, contract_hash, more columns) name, with the more columns.
 
@@ -297,7 +309,7 @@ class Store:
             joined = rows.join(
                 broadcast_checked(mine.drop("contract_hash").withColumnRenamed("snapshot", SNAPSHOT)), [SNAPSHOT, "tenant_id"]
             ).drop(SNAPSHOT, REJECTED)
-            parts.append(joined if own == newest else _cast_to(joined, newest))
+            parts.append(joined if own == newest else _cast_to(joined, newest, strict))
         if not parts:
             more = [f for f in pointers.schema.fields if f.name not in ("snapshot", "contract_hash", "tenant_id")]
             fields = [f for f in newest.fields if f.name != "tenant_id"]
@@ -324,17 +336,18 @@ class Store:
         return found[0] if found else ""
 
     def read(
-        self, coords: Coordinates, schema: StructType | None = None, rejected: bool = False
+        self, coords: Coordinates, schema: StructType | None = None, rejected: bool = False, strict: bool = False
     ) -> DataFrame:
         """Current rows of a table for all its tenants.
 
         Only folders of current snapshots are listed. Each tenant's pointer is
         joined on the partition columns, so a tenant that has moved on to a newer
         snapshot is pruned from the older one before any file is opened. The reject
-        side has ``fg_reason`` and ``fg_values`` as well.
+        side has ``fg_reason`` and ``fg_values`` as well. Rows of an older contract whose values do not fit the newest one
+        are null there, or fail the read if it is ``strict``.
         """
         pointers = self.current(coords).select("snapshot", "tenant_id", "contract_hash")
-        return self._pointed(coords, pointers, schema, rejected)
+        return self._pointed(coords, pointers, schema, rejected, strict)
 
     def changes(
         self, coords: Coordinates, keys: Sequence[str], schema: StructType | None = None

@@ -31,13 +31,3 @@ def counted(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:
     """
     observation = Observation(name)
     return df.observe(observation, F.count(F.lit(1)).alias("n")), observation
-
-
-def first_locations(merged: DataFrame, table_key: str) -> list[str]:
-    """First location of one table key for every tenant and product in ``merged``.
-
-    Spark lists input paths on the driver, so the path strings of this one key
-    come here: at most one per tenant and product, never rows of a table.
-    """
-    rows = merged.where(F.col("table_key") == table_key).select("first_location").distinct()
-    return sorted(r[0] for r in rows.collect())

@@ -108,3 +108,9 @@ def test_apply_to_keys_only_and_repeated_keys(spark):
     assert rows(apply_changes(state, feed, ["a"])) == [(2,), (3,)]
     with pytest.raises(Exception, match="not unique"):
         apply_changes(state, feed.union(feed), ["a"]).collect()
+
+
+def test_latest_of_rows_with_maps(spark):
+    df = spark.createDataFrame([("k", 1, {"a": 1}), ("k", 2, {"b": 1}), ("k", 2, {"b": 2}), ("n", 1, None)], "k string, o int, m map<string,int>")
+    found = latest(df, ["k"], ["o"])
+    assert found.columns == ["k", "o", "m"] and rows(found) == [("k", 2, {"b": 2}), ("n", 1, None)]

@@ -180,3 +180,12 @@ def test_a_breaking_contract_is_refused(spark, store, tmp_path):
     assert store.read(COORDS).schema["v"].dataType.simpleString() == "bigint"
     publish_standard(store, narrow, df, ready, allow_breaking=True)
     assert store.read(COORDS).schema["v"].dataType.simpleString() == "int"
+
+
+def test_old_values_that_do_not_fit_are_null_or_fail(spark, store):
+    texts = spark.createDataFrame([("a", 1, "7"), ("a", 2, "x"), ("a", 3, None)], "tenant_id string, id int, v string")
+    store.register(tenants(spark, "a"), COORDS, store.write_snapshot(texts, COORDS), document(id={"type": "cds.Integer"}, v={"type": "cds.String"}))
+    store.register(tenants(spark, "b"), COORDS, store.write_snapshot(things(spark, ("b", 1, 1)), COORDS), CONTRACT)
+    assert rows(store.read(COORDS), "id", "v") == [(1, 1), (1, 7), (2, None), (3, None)]
+    with pytest.raises(Exception, match="v: value does not fit int"):
+        store.read(COORDS, strict=True).collect()
