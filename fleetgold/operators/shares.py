@@ -194,14 +194,20 @@ def run_checks(
 
 
 def share_readiness(runs: DataFrame, listings: DataFrame) -> DataFrame:
-    """Are all shares of the run known to the tenant? True when it has none."""
+    """Are all shares of the run known to the tenant? True when it has none.
+
+    The first port, or the null one of a run without any, stands for the run; others go on only if they are unknown.
+    So a run's row comes out of the join, whose tasks hold a bounded number of them, and not out of a scan of its own.
+    """
     _need_types(runs, RUN_TYPES)
     _need_types(listings, {**LISTING_TYPES, "format": "string"})
     shares = listings.select("tenant_id", "share_id").distinct().withColumn("known", F.lit(True))
-    ports = lookup_join(_no_broadcast(_ports(runs)), shares, ["tenant_id", "share_id"])
-    unknown = ports.where(F.col("known").isNull()).select(*RUN_KEYS, F.lit(1).alias("_unknown"))
-    rows = runs.select(*RUN_KEYS, F.lit(0).alias("_unknown")).unionByName(unknown)
-    return rows.groupBy(*RUN_KEYS).agg((F.max("_unknown") == 0).alias("ready"))
+    ports = runs.select(*RUN_KEYS, F.posexplode_outer("share_ids").alias("port_ord", "share_id"))
+    found = lookup_join(_no_broadcast(ports), shares, ["tenant_id", "share_id"])
+    unknown = F.col("port_ord").isNotNull() & F.col("known").isNull()
+    own = F.coalesce("port_ord", F.lit(0)) == 0
+    rows = found.where(own | unknown).select(*RUN_KEYS, unknown.alias("_unknown"))
+    return rows.groupBy(*RUN_KEYS).agg((~F.max("_unknown")).alias("ready"))
 
 
 def dependency_gaps(

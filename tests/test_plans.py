@@ -68,6 +68,12 @@ def test_readiness_needs_no_tables(spark, conf):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in text
 
 
+def test_readiness_reads_the_runs_once(spark):
+    text = plan(queries.share_readiness(spark, SMALL))
+    assert text.count("from_json(") == 1
+    assert "Union" not in text  # the runs' own rows are not aggregated in the few tasks of a scan of their own
+
+
 def test_documents_are_parsed_once(spark):
     text = plan(queries.launch_runs(spark, SMALL))
     assert text.count("from_json(") == 1

@@ -121,6 +121,18 @@ def test_unreadable_first_location_is_a_gap(spark):
     assert shares.dependency_gaps(runs.withColumn("wants", F.array().cast("array<string>")), listings).isEmpty()
 
 
+def test_readiness_of_odd_runs(spark):
+    listings = spark.createDataFrame([("t", "s", "A", True, 0, "/a", "delta"), (None, "s", "A", True, 0, "/a", "delta")], LISTING)
+    ports = {"known": ["s"], "first unknown": ["x", "s"], "last unknown": ["s", "s", "x"], "null share": ["s", None],
+             "only null": [None], "none": [], "null": None}
+    runs = [("L", "t", p, shares, []) for p, shares in ports.items()]
+    runs += [("L", "t", "twice", ["s"], []), ("L", "t", "twice", ["s", "x"], []), ("L", "t", "twice, none", [], []), ("L", "t", "twice, none", ["x"], [])]
+    runs += [(None, None, None, ["s"], []), ("L", None, "no tenant", [], []), ("L", None, None, None, [])]
+    got = {tuple(r[:3]): r.ready for r in shares.share_readiness(spark.createDataFrame(runs, RUN), listings).collect()}
+    ready = {("L", "t", p): p in ("known", "none", "null") for p in [*ports, "twice", "twice, none"]}
+    assert got == ready | {(None, None, None): False, ("L", None, "no tenant"): True, ("L", None, None): True}
+
+
 def test_input_types(spark):
     listings = spark.createDataFrame([], LISTING)
     runs = spark.createDataFrame([], RUN)
