@@ -113,11 +113,12 @@ def crc(data: bytes) -> int:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (the public splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    room = x >> np.uint64(30)
+    x ^= room
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    x ^= np.right_shift(x, np.uint64(27), out=room)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x ^= np.right_shift(x, np.uint64(31), out=room)
     return x
 
 

@@ -33,7 +33,7 @@ from fleetgold.llm.batches import by_bytes
 from fleetgold.llm.common import discard, mix, python_tasks, release, saved, seeds, text_of, written
 from fleetgold.llm.graph import components
 from fleetgold.llm.shingles import banded, char_shingles, signatures
-from fleetgold.operators.skew import broadcast_checked, lookup_join
+from fleetgold.operators.skew import BROADCAST_ROW_LIMIT, lookup_join
 
 CHARS = 8
 THRESHOLD = 0.8
@@ -43,7 +43,7 @@ ROWS = 5
 BANDS_AT_ONCE = 4
 #: Bytes of texts whose lines a task holds, characters that are signed at once (their arrays stay in cache), and
 #: characters of one block of a tile (each is a shingle of some 60 bytes of arrays).
-TEXT_BYTES, SIGNED_CHARS, BLOCK_CHARS = 1 << 20, 1 << 17, 1_500_000
+TEXT_BYTES, SIGNED_CHARS, BLOCK_CHARS = 1 << 20, 1 << 16, 1_500_000
 #: Band values that a task sorts at once.
 CHUNK = 1 << 20
 #: ASCII white space, which is cut off a line's ends.
@@ -70,7 +70,8 @@ def _signed(lines: list[str], chars: int, bands: int, rows: int) -> Iterator[byt
         done = ends[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(ends, done + SIGNED_CHARS, "right")))
         values = signatures(*char_shingles(lines[at:end], chars), bands * rows)
-        yield from (v.astype(">u8").tobytes() for v in banded(values, bands))
+        raw, width = banded(values, bands).astype(">u8").tobytes(), 8 * bands
+        yield from (raw[a : a + width] for a in range(0, len(raw), width))
         at = end
 
 
@@ -104,9 +105,27 @@ def _lines(chars: int, bands: int, rows: int):
     return run
 
 
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of each text, if they are what their key says."""
+    for batch in by_bytes(batches, "text", TEXT_BYTES):
+        nodes, roots, found = [], [], []
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            lines = text.split("\n")
+            for w in wanted:
+                line = lines[w["line_no"]].strip(ENDS) if w["line_no"] < len(lines) else ""
+                if hashlib.md5(line.encode("utf-8", "surrogatepass")).digest() == w["key"]:
+                    nodes.append(w["node"])
+                    roots.append(w["root"])
+                    found.append(line)
+        columns = [pa.array(nodes, pa.int64()), pa.array(roots, pa.int64()), pa.array(found, pa.string())]
+        yield pa.RecordBatch.from_arrays(
+            [*columns, pa.array(np.ones(len(nodes), np.int32))], names=["node", "root", "text", "copies"]
+        )
+
+
 def _runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with the smallest node of each; and every other node with the smallest one of its key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, nodes = keys[order], nodes[order]
     begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     low = np.minimum.reduceat(nodes, begins) if len(keys) else nodes
@@ -127,10 +146,13 @@ def _deal(first_band: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)
-        keys, nodes, held = [], [], 0
+        raws, nodes, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            value, low, node, mine = _runs(np.concatenate(keys), np.concatenate(nodes))
+            classes = np.concatenate(nodes)
+            values = np.frombuffer(b"".join(raws), ">u8").reshape(len(classes), -1).T.astype(np.uint64)
+            keys = [mix(v ^ seeds(1, 100 + first_band + k)[0]) for k, v in enumerate(values)]
+            value, low, node, mine = _runs(np.concatenate(keys), np.tile(classes, len(keys)))
             cuts = np.concatenate([[0], np.searchsorted(value, edges.astype(np.uint64)), [len(value)]])
             raw = np.column_stack([value.view(np.int64), low]).tobytes()
             parcels = [(b, False, raw[16 * c : 16 * d]) for b, (c, d) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if d > c]
@@ -145,16 +167,12 @@ def _deal(first_band: int, buckets: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node = batch.column("node").to_numpy()
-            raw = b"".join(batch.column("bands").to_pylist())
-            values = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(node), -1)
-            for k in range(values.shape[1]):
-                keys.append(mix(values[:, k] ^ seeds(1, 100 + first_band + k)[0]))
-                nodes.append(node)
-                held += len(node)
+            nodes.append(batch.column("node").to_numpy())
+            raws.append(b"".join(batch.column("bands").to_pylist()))
+            held += len(raws[-1]) // 8
             if held >= CHUNK:
                 yield out()
-                keys, nodes, held = [], [], 0
+                raws, nodes, held = [], [], 0
         if held:
             yield out()
 
@@ -227,18 +245,15 @@ def marked_lines(
         )
     )
     release(spark)
-    split = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    placed = split.join(
-        broadcast_checked(wanted),
-        F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
-        & (F.col("line_no") == F.col("first_line_no"))
-        & (F.col("text_key") == F.col("first_text_key")),
+    of_text = wanted.groupBy("first_doc_id", "first_text_key").agg(  # one document's lines
+        F.collect_list(F.struct(F.col("first_line_no").alias("line_no"), "key", "node", "root")).alias("wanted")
     )
-    fetched = (
-        placed.withColumn("text", F.expr(f"trim(BOTH '{_sql(ENDS)}' FROM line)"))
-        .where(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("key"))
-        .select("node", "root", "text", F.lit(1).alias("copies"))
+    few = wanted.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
+    holders = texts.join(
+        F.broadcast(of_text) if few else of_text,
+        F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")),
     )
+    fetched = holders.select("text", "wanted").mapInArrow(_picked, "node long, root long, text string, copies int")
     chosen = saved(fetched.dropDuplicates(["node"]))
     shingles = lambda t: char_shingles(t, chars)
     compared = tiles.compare(chosen, shingles, threshold, block_chars=BLOCK_CHARS).where("links > 0").select("node", "reached")
@@ -257,10 +272,6 @@ def marked_lines(
     )
 
 
-def _sql(text: str) -> str:
-    return "".join(f"\\u{ord(c):04x}" for c in text)
-
-
 def per_document(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """One row per document (doc_id and text): n_lines with text, n_kept, the numbers of the lines that go, what stays for them.
 

@@ -43,20 +43,24 @@ def _windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndar
     made = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
     # Every place of the whole array first, in order; then those where a run begins.
     half, long = np.concatenate([hashes, np.zeros(size, np.uint64)]), 1
-    sums, done = np.zeros(len(hashes), np.uint64), 0
+    sums, done = None, 0
     while done < size:
         if size & long:
-            sums += half[done : done + len(hashes)] * _power(BASE, size + 1)[done]
+            part = half[done : done + len(hashes)]
+            sums = part if sums is None else sums + part * _power(BASE, size + 1)[done]
             done += long
         if done < size:
-            half = half[:-long] + half[long:] * _power(BASE, size + 1)[long]
+            raised = half[long:] * _power(BASE, size + 1)[long]
+            raised += half[:-long]
+            half = raised
             long *= 2
     begins = np.ones(len(hashes), bool)
     whole, less = counts >= size, (counts > 0) & (counts < size)
     begins[(ends[whole][:, None] - np.arange(1, size)).ravel()] = False
     for i in np.flatnonzero(less):
         begins[starts[i] + 1 : ends[i]] = False
-    out = sums[begins] + np.uint64(size)
+    out = sums[begins]
+    out += np.uint64(size)
     place = np.cumsum(made) - made
     for i in np.flatnonzero(less):  # one run, shorter
         at, n = starts[i], counts[i]
@@ -82,9 +86,10 @@ def word_shingles(texts: Sequence[str | None], size: int) -> tuple[np.ndarray, n
 def char_shingles(texts: Sequence[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """The same for shingles of characters."""
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    mixed = _COMMON[np.minimum(chars, len(_COMMON) - 1)]
-    rare = np.flatnonzero(chars >= len(_COMMON))
-    mixed[rare] = mix(chars[rare].astype(np.uint64) + np.uint64(1))
+    if chars.max(initial=0) < len(_COMMON):
+        mixed = _COMMON[chars]
+    else:
+        mixed = mix(chars.astype(np.uint64) + np.uint64(1))
     return _windows(mixed, np.array([len(t) for t in texts], np.int64), size)
 
 

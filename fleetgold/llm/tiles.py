@@ -37,7 +37,7 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     both = left + right
     owner = np.repeat(np.arange(len(both)), [len(s) for s in both])
     values = np.concatenate(both) if both else np.zeros(0, np.uint64)
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     values, owner = values[order], owner[order]
     fresh = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
     column = np.cumsum(fresh) - 1
@@ -135,14 +135,17 @@ def _shares(
     run = np.repeat(np.arange(len(begins)), sizes)
     local = np.arange(len(counts)) - begins[run]
     key = hashes + mix(run.astype(np.uint64) + np.uint64(1))[owner]
-    order = np.argsort(key, kind="stable")  # a shingle's texts stay in order
+    order = np.argsort(key)
     key, owner = key[order], owner[order]
-    fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])  # each text once
-    key, owner = key[fresh], owner[fresh]
+    bits = len(counts).bit_length()
+    place = np.zeros(len(key), np.int64)
+    np.cumsum(key[1:] != key[:-1], out=place[1:])
+    both = np.sort((place << bits) | owner)  # a shingle's texts in order
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both  # each text once
+    owner, shingle = both & ((1 << bits) - 1), both >> bits
     size = np.bincount(owner, minlength=len(counts))
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    holders = np.diff(np.append(first, len(key)))
+    first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(both) else np.zeros(0, np.int64)
+    holders = np.diff(np.append(first, len(both)))
     common = np.zeros(len(left))
     for n in np.unique(holders[holders > 1]):
         i, j = np.triu_indices(n, 1)

@@ -1,11 +1,13 @@
 """Operators 3, 7, 8, 9, the union-find and the pipeline."""
 
+import hashlib
 from collections import Counter, defaultdict
 
 import brute
 import corpus_pipeline
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from fleetgold.llm import embed_dedup, line_dedup, mih, ngram_join, shingles, tiles
 from fleetgold.llm.graph import components
@@ -141,6 +143,17 @@ def test_bands_meet_across_tasks_and_chunks(spark, monkeypatch):
         assert brute.union(got, range(300)) == brute.union(pairs, range(300))
 
 
+def test_wanted_lines_come_from_their_text():
+    def wanted(line_no, line, node):
+        return {"line_no": line_no, "key": hashlib.md5(line.encode()).digest(), "node": node, "root": 1}
+
+    kind = pa.list_(pa.struct([("line_no", pa.int32()), ("key", pa.binary()), ("node", pa.int64()), ("root", pa.int64())]))
+    asked = [[wanted(2, "c d", 5), wanted(0, "a", 1)], [], [wanted(0, "other", 7), wanted(9, "x", 8)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a\nb\n\tc d \r\n", "z", "x"]), pa.array(asked, kind)], names=["text", "wanted"])
+    got = [r for b in line_dedup._picked(iter([batch])) for r in b.to_pylist()]
+    assert got == [{"node": 5, "root": 1, "text": "c d", "copies": 1}, {"node": 1, "root": 1, "text": "a", "copies": 1}]
+
+
 def test_fuzzy_lines(spark):
     lines = near_copies(40, 4) + near_copies(5, 60, 130) + ["tiny", "tiny ", "tinz"]
     texts = {i: "\n".join(lines[i::6]) for i in range(6)}
