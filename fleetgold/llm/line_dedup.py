@@ -278,18 +278,23 @@ def per_document(docs: DataFrame, marked: DataFrame) -> DataFrame:
     ``class_docs`` and ``class_lines`` name the line that stays for each of ``dropped_lines``, in the same order, so
     all lines of a component can be told by where they point. Rows that repeat a doc_id and a text are one document.
     """
-    line = F.struct("line_no", "kept", "class_doc", "class_line")
-    lines = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
-        F.array_sort(F.collect_set(line)).alias("_lines")  # one document's lines
+    gone = F.when(~F.col("kept"), F.struct("line_no", "class_doc", "class_line"))
+    lines = (
+        marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), gone.alias("_line"))
+        .agg(F.count("*").alias("_n"))  # lines that stay are one row, those that go one each
+        .groupBy("_id", "_key")
+        .agg(F.sum("_n").alias("_n"), F.array_sort(F.collect_list("_line")).alias("_gone"))  # one document's lines
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key")).distinct()
+    rows = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key")).agg(F.count("*").alias("_rows"))
     own = rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_key == F.col("_key"))
-    found = F.coalesce("_lines", F.array().cast("array<struct<line_no:int,kept:boolean,class_doc:long,class_line:int>>"))
-    placed = rows.join(lines, own, "left").withColumn("_lines", found).withColumn("_gone", F.filter("_lines", lambda x: ~x["kept"]))
+    none = F.array().cast("array<struct<line_no:int,class_doc:long,class_line:int>>")
+    placed = rows.join(lines, own, "left").withColumns(
+        {"_gone": F.coalesce("_gone", none), "_n": F.coalesce(F.expr("_n div _rows"), F.lit(0).cast("long"))}
+    )
     return placed.select(
         "doc_id",
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_gone")).cast("long").alias("n_kept"),
+        F.col("_n").alias("n_lines"),
+        (F.col("_n") - F.size("_gone")).alias("n_kept"),
         F.transform("_gone", lambda x: x["line_no"]).alias("dropped_lines"),
         F.transform("_gone", lambda x: x["class_doc"]).alias("class_docs"),
         F.transform("_gone", lambda x: x["class_line"]).alias("class_lines"),
