@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgold.llm import tiles
+from fleetgold.llm.batches import by_bytes
 from fleetgold.llm.common import WORD, python_tasks, release, saved, text_of
 from fleetgold.llm.graph import class_results, components
 from fleetgold.llm.shingles import signatures, word_shingles
@@ -42,6 +43,8 @@ DEPTH = 8
 SHORTEST = 4
 RECALL = 0.999
 VALUE_BYTES = 2
+#: Bytes of texts that are signed at once: each is some 60 bytes of arrays.
+TEXT_BYTES = 1 << 18
 
 
 def chance(similarity, depth: int, trees: int = TREES):
@@ -53,7 +56,7 @@ def _labels(words: int, trees: int, depth: int):
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("labels", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
             texts = batch.column("text").to_pylist()
             hashes, counts = word_shingles(texts, words)
             values = signatures(hashes, counts, trees * depth) * np.uint32(0x9E3779B1)

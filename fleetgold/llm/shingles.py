@@ -93,7 +93,7 @@ def char_shingles(texts: Sequence[str], size: int) -> tuple[np.ndarray, np.ndarr
     return _windows(mixed, np.array([len(t) for t in texts], np.int64), size)
 
 
-def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, piece: int = 1 << 15) -> np.ndarray:
+def signatures(hashes: np.ndarray, counts: np.ndarray, n: int, piece: int = 1 << 16) -> np.ndarray:
     """``n`` MinHash values (unsigned 32-bit) for every text that has shingles.
 
     The hashes are scrambled already, so a product with an odd number is one more order of them.

@@ -26,15 +26,20 @@ from fleetgold.operators.skew import lookup_join
 #: Characters and texts of one block.
 BLOCK_CHARS = 6_000_000
 BLOCK_TEXTS = 2_048
-COLUMNS = 4_096
+#: Columns and rows of a matrix at once, as few as keep a task's memory small.
+COLUMNS = 1_024
+ROWS = 256
 #: Texts of a component that is compared together with others, and pairs with a common shingle counted at once.
 FEW_TEXTS = 64
-COUNTED = 1 << 20
+COUNTED = 1 << 18
+#: Characters of small components that are compared at once (their arrays stay in cache).
+FEW_CHARS = 1 << 18
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The number of common hashes of each pair, from distinct hashes per text."""
-    both = left + right
+    """The number of common hashes of each pair, from distinct hashes per text; ``left`` and ``right`` may be one list."""
+    same = left is right
+    both = left if same else left + right
     owner = np.repeat(np.arange(len(both)), [len(s) for s in both])
     values = np.concatenate(both) if both else np.zeros(0, np.uint64)
     order = np.argsort(values)
@@ -52,7 +57,9 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
         begin, end = np.searchsorted(column, [a, a + COLUMNS])
         matrix = np.zeros((len(both), min(COLUMNS, total - a)), np.float32)
         matrix[owner[begin:end], column[begin:end] - a] = 1
-        out += matrix[: len(left)] @ matrix[len(left) :].T
+        out += matrix @ matrix.T if same else matrix[: len(left)] @ matrix[len(left) :].T
+    if same:
+        np.fill_diagonal(out, [len(s) for s in left])
     return out
 
 
@@ -82,29 +89,38 @@ def _tile(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable |
     own = sets(*shingles(frame["text"].tolist()))
     is_left = np.ones(len(frame), bool) if same else (frame["block"] == frame["a"]).to_numpy()
     places = np.flatnonzero(is_left), np.flatnonzero(np.ones(len(frame), bool) if same else ~is_left)
-    left, right = ([own[i] for i in p] for p in places)
+    left = [own[i] for i in places[0]]
+    right = left if same else [own[i] for i in places[1]]
     size = np.array([len(s) for s in own], np.float64)
-    common = common_counts(left, right).astype(np.float64)
-    union = size[places[0]][:, None] + size[places[1]][None, :] - common
-    share = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
-    linked = share >= threshold
-    if same:
-        np.fill_diagonal(linked, False)
+    counts = common_counts(left, right)
+    linked = np.zeros(counts.shape, bool)
     weight = frame["copies"].to_numpy(np.float64)
     links = np.zeros(len(frame))
-    links[places[0]] += linked @ weight[places[1]]
-    if not same:
-        links[places[1]] += weight[places[0]] @ linked
+    found = expected = 0.0
+    for at in range(0, len(left), ROWS):
+        rows = places[0][at : at + ROWS]
+        common = counts[at : at + ROWS].astype(np.float64)
+        union = size[rows][:, None] + size[places[1]][None, :] - common
+        share = np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+        part = linked[at : at + ROWS]
+        np.greater_equal(share, threshold, out=part)
+        if same:
+            part[np.arange(len(rows)), rows] = False
+        links[rows] += part @ weight[places[1]]
+        if not same:
+            links[places[1]] += weight[rows] @ part
+        pairs = np.triu(part, at + 1) if same else part
+        chances = found_by(share[pairs]) if found_by else np.ones(int(pairs.sum()))
+        found += len(chances)
+        expected += (1 / chances).sum()
     node = frame["node"].to_numpy()
-    pairs = np.triu(linked) if same else linked
-    expected = found_by(share[pairs]) if found_by else np.ones(int(pairs.sum()))
     return pd.DataFrame(
         {
             "node": node,
             "links": links.astype(np.int64),
             "reached": node[smallest_reached(linked, *places)],
-            "found": np.where(np.arange(len(node)) == 0, float(len(expected)), 0.0),
-            "expected": np.where(np.arange(len(node)) == 0, float((1 / expected).sum()), 0.0),
+            "found": np.where(np.arange(len(node)) == 0, found, 0.0),
+            "expected": np.where(np.arange(len(node)) == 0, expected, 0.0),
         }
     )
 
@@ -200,6 +216,26 @@ def _many(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable |
     )
 
 
+def _slices(frame: pd.DataFrame) -> list[pd.DataFrame]:
+    """Whole components, so many that they have about ``FEW_CHARS`` characters; sorted by root."""
+    root = frame["root"].to_numpy()
+    begins = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+    before = np.cumsum([0, *(len(t) for t in frame["text"])])[begins]
+    cuts = [*begins[np.flatnonzero(np.diff(before // FEW_CHARS, prepend=-1))], len(frame)]
+    return [frame.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _task(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable | None) -> pd.DataFrame:
+    """The tiles of a task, one after the other."""
+    frame = frame.sort_values(["root", "a", "b", "node"], ignore_index=True)
+    texts = frame.groupby(["root", "a", "b"], sort=False)["node"].transform("size")
+    few = (frame["a"] == frame["b"]) & (texts <= FEW_TEXTS)
+    tiles = [_tile(t, shingles, threshold, found_by) for _, t in frame[~few].groupby(["root", "a", "b"], sort=False)]
+    if few.any():
+        tiles += [_many(f, shingles, threshold, found_by) for f in _slices(frame[few])]
+    return pd.concat(tiles, ignore_index=True)
+
+
 def compare(
     members: DataFrame,
     shingles: Callable,
@@ -235,12 +271,6 @@ def compare(
     )
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["root", "a", "b", "node"], ignore_index=True)
-        texts = frame.groupby(["root", "a", "b"], sort=False)["node"].transform("size")
-        few = (frame["a"] == frame["b"]) & (texts <= FEW_TEXTS)
-        tiles = [_tile(t, shingles, threshold, found_by) for _, t in frame[~few].groupby(["root", "a", "b"], sort=False)]
-        if few.any():
-            tiles.append(_many(frame[few], shingles, threshold, found_by))
-        return pd.concat(tiles, ignore_index=True)
+        return _task(frame, shingles, threshold, found_by)
 
     return rows.groupBy("task").applyInPandas(run, "node long, links long, reached long, found double, expected double")
