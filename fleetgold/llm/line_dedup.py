@@ -40,12 +40,14 @@ THRESHOLD = 0.8
 BANDS = 20
 ROWS = 5
 #: Bands whose rows are shuffled at the same time; all take their turn, so this bounds disk only.
-BANDS_AT_ONCE = 4
+BANDS_AT_ONCE = 10
 #: Bytes of texts whose lines a task holds, characters that are signed at once (their arrays stay in cache), and
 #: characters of one block of a tile (each is a shingle of some 60 bytes of arrays).
 TEXT_BYTES, SIGNED_CHARS, BLOCK_CHARS = 1 << 20, 1 << 16, 1_500_000
 #: Band values that a task sorts at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Lines whose band values are one row.
+PACK = 256
 #: ASCII white space, which is cut off a line's ends.
 ENDS = " \t\n\x0b\x0c\r"
 #: Where a line is, in the order by which the first one stays; the text's hash tells texts of one id apart.
@@ -62,45 +64,71 @@ def missed(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return (1 - similarity**rows) ** bands
 
 
-def _signed(lines: list[str], chars: int, bands: int, rows: int) -> Iterator[bytes]:
+def _signed(lines: list[str], chars: int, bands: int, rows: int) -> np.ndarray:
     """Band values of each line; so many characters at once that the arrays of their shingles stay small."""
     ends = np.cumsum([len(line) for line in lines])
-    at = 0
+    at, signed = 0, [np.zeros((0, bands), np.uint64)]
     while at < len(lines):
         done = ends[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(ends, done + SIGNED_CHARS, "right")))
         values = signatures(*char_shingles(lines[at:end], chars), bands * rows)
-        raw, width = banded(values, bands).astype(">u8").tobytes(), 8 * bands
-        yield from (raw[a : a + width] for a in range(0, len(raw), width))
+        signed.append(banded(values, bands))
         at = end
+    return np.concatenate(signed)
+
+
+def _turns(bands: int) -> list[str]:
+    """The columns of band values, one for each turn."""
+    return [f"bands_{t}" for t in range(len(range(0, bands, BANDS_AT_ONCE)))]
 
 
 def _lines(chars: int, bands: int, rows: int):
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("line_no", pa.int32()), ("text_key", pa.int64()), ("key", pa.binary())]
-        + [("bands", pa.binary())]
-    )
+    """One row per line with text; the first of a text (a text without has one, without key) has their number, ``lines``.
+
+    ``node`` and ``rest`` are the halves of the line's MD5. The different lines of a batch have their band values
+    in packs, one on the row of its first line: ``nodes`` and a column a turn hold the numbers of all its lines.
+    """
+    places = [("doc_id", pa.int64()), ("line_no", pa.int32()), ("text_key", pa.int64()), ("lines", pa.int32())]
+    halves = [("node", pa.int64()), ("rest", pa.int64())]
+    schema = pa.schema([*places, *halves, *((c, pa.binary()) for c in ("nodes", *_turns(bands)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", TEXT_BYTES):
-            docs, places, owners, keys, found = [], [], [], [], {}
-            for doc, owner, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text")), strict=True):
-                for place, line in enumerate(text.split("\n")):
+            at, counts, firsts, numbers, keys, found = [], [], [], [], [], {}
+            for text in batch.column("text").to_pylist():
+                begin = len(keys)
+                for number, line in enumerate(text.split("\n")):
                     line = line.strip(ENDS)
                     if line:
-                        docs.append(doc)
-                        places.append(place)
-                        owners.append(owner)
-                        keys.append(hashlib.md5(line.encode("utf-8", "surrogatepass")).digest())
-                        found.setdefault(keys[-1], line)  # equal lines of a batch get their values once
-            signed = dict(zip(found, _signed(list(found.values()), chars, bands, rows), strict=True))
-            seen: set[bytes] = set()
-            once = [signed[k] if k not in seen and not seen.add(k) else None for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(owners, pa.int64())]
-                + [pa.array(keys, pa.binary()), pa.array(once, pa.binary())],
-                schema=schema,
-            )
+                        key = hashlib.md5(line.encode("utf-8", "surrogatepass")).digest()
+                        if key not in found:
+                            found[key] = line
+                            at.append(len(keys))
+                        numbers.append(number)
+                        keys.append(key)
+                firsts.append(begin)
+                counts.append(len(keys) - begin)
+                if not counts[-1]:
+                    numbers.append(None)
+                    keys.append(bytes(16))
+            numbers = pa.array(numbers, pa.int32())
+            empty = numbers.is_null().to_numpy(zero_copy_only=False)
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.maximum(counts, 1)))
+            lines = np.zeros(len(keys), np.int32)
+            lines[firsts] = counts
+            others = np.ones(len(keys), bool)
+            others[firsts] = False
+            node, rest = np.frombuffer(b"".join(keys), ">i8").reshape(-1, 2).T.astype(np.int64)
+            columns = [batch.column("doc_id").take(owner), numbers, batch.column("text_key").take(owner)]
+            columns += [pa.array(lines, mask=others), pa.array(node, mask=empty), pa.array(rest, mask=empty)]
+            signed = _signed(list(found.values()), chars, bands, rows).astype(">u8")
+            parts = [node[at], *(signed[:, b : b + BANDS_AT_ONCE] for b in range(0, bands, BANDS_AT_ONCE))]
+            for part in parts:
+                packs: list[bytes | None] = [None] * len(keys)
+                for begin in range(0, len(at), PACK):
+                    packs[at[begin]] = part[begin : begin + PACK].tobytes()
+                columns.append(pa.array(packs, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
@@ -141,6 +169,7 @@ def _batch(node: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
 def _deal(first_band: int, buckets: int):
     """Band values of classes with their nodes, in parcels by ranges of values; equal ones of a chunk are linked at once.
 
+    A row has one class, or a pack of classes: their nodes and band values one after the other.
     A parcel is (bucket, linked, pairs of 64-bit numbers): value and smallest node, or, if ``linked``, node and smallest node.
     """
 
@@ -167,7 +196,9 @@ def _deal(first_band: int, buckets: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            nodes.append(batch.column("node").to_numpy())
+            node = batch.column("node")
+            packed = pa.types.is_binary(node.type)
+            nodes.append(np.frombuffer(b"".join(node.to_pylist()), np.int64) if packed else node.to_numpy())
             raws.append(b"".join(batch.column("bands").to_pylist()))
             held += len(raws[-1]) // 8
             if held >= CHUNK:
@@ -195,56 +226,57 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(node, low)
 
 
-def _links(classes: DataFrame, turn: int, first_band: int) -> DataFrame:
+def _links(classes: DataFrame, turn: int, first_band: int, node: str = "node") -> DataFrame:
     """(node, low) of classes that agree in one of a turn's bands with another; low is the smallest of those that met.
 
     One shuffle of two numbers a band and class, in parcels. A value that very many classes have is one pair for each
     chunk of classes by then, not one for each class.
     """
     buckets = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parcels = classes.select("node", F.col(f"bands_{turn}").alias("bands")).mapInArrow(
+    parcels = classes.select(F.col(node).alias("node"), F.col(f"bands_{turn}").alias("bands")).mapInArrow(
         _deal(first_band, buckets), "bucket int, linked boolean, pairs binary"
     )
     return parcels.repartition("bucket").mapInArrow(_meet, "node long, low long")
 
 
-def marked_lines(
+def _judged(
     docs: DataFrame, chars: int = CHARS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """One row per line with text: doc_id, line_no (from 0), text_key, class_doc, class_line (the line that stays for it), kept."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lines of ``docs`` (``written``: to be discarded); the nodes of those that have a copy or a candidate; these, with what stays for them.
+
+    Until the lines with a copy or a candidate are known, a class goes by half of its key, ``node``: two that share it
+    are candidates of each other at worst, and are compared.
+    """
     spark = docs.sparkSession
     python_tasks(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_of().alias("text"))
-    made = "doc_id long, line_no int, text_key long, key binary, bands binary"
-    signed = written(texts.mapInArrow(_lines(chars, bands, rows), made), "lines")
-    first = F.min(F.struct(*PLACE)).alias("first")
-    turns = range(0, bands, BANDS_AT_ONCE)
-    parts = [F.substring("bands", 1 + 8 * b, 8 * BANDS_AT_ONCE).alias(f"bands_{t}") for t, b in enumerate(turns)]
-    banded_classes = written(
-        signed.groupBy("key")
-        .agg(first, F.count("*").alias("copies"), F.max("bands").alias("bands"))  # any: all copies have the same
-        .select("key", "first", "copies", *parts)
-        .withColumn("node", F.monotonically_increasing_id()),
-        "classes",
+    made = "doc_id long, line_no int, text_key long, lines int, node long, rest long"
+    lines = written(
+        texts.mapInArrow(_lines(chars, bands, rows), ", ".join([made, *(f"{c} binary" for c in ("nodes", *_turns(bands)))])), "lines"
     )
-    lines = written(signed.drop("bands"), "places")
-    discard(signed)
-    release(spark)
     links = []
-    for turn, begin in enumerate(turns):
-        links.append(saved(_links(banded_classes, turn, begin)))
+    for turn, column in enumerate(_turns(bands)):
+        links.append(saved(_links(lines.where(F.col(column).isNotNull()), turn, turn * BANDS_AT_ONCE, "nodes")))
         release(spark)
     found = components(reduce(DataFrame.union, links), "node", "low")
-    classes = written(banded_classes.select("key", "first", "copies", "node"), "firsts")
-    discard(banded_classes)
     del links
+    with_text = lines.where("node is not null").select(*PLACE, "node", "rest")
+    copied = with_text.groupBy("node", "rest").agg(F.count("*").alias("copies")).where("copies > 1")
+    none = F.lit(None).cast("long").alias("root")
+    nodes = saved(copied.select("node", none).union(found.select("node", "root")).groupBy("node").agg(F.max("root").alias("root")))
     release(spark)
-    wanted = saved(
-        found.join(classes, "node").select(
-            "node", "root", "key", *[F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE]
-        )
+    some = saved(lookup_join(with_text, nodes, ["node"], "inner"))
+    release(spark)
+    classes = saved(
+        some.groupBy("node", "rest")
+        .agg(F.min(F.struct(*PLACE)).alias("first"), F.max("root").alias("root"))
+        .withColumn("class", F.monotonically_increasing_id())
     )
     release(spark)
+    key = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("node", "rest")])).alias("key")
+    wanted = classes.where("root is not null").select(
+        F.col("class").alias("node"), "root", key, *[F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE]
+    )
     of_text = wanted.groupBy("first_doc_id", "first_text_key").agg(  # one document's lines
         F.collect_list(F.struct(F.col("first_line_no").alias("line_no"), "key", "node", "root")).alias("wanted")
     )
@@ -257,44 +289,36 @@ def marked_lines(
     chosen = saved(fetched.dropDuplicates(["node"]))
     shingles = lambda t: char_shingles(t, chars)
     compared = tiles.compare(chosen, shingles, threshold, block_chars=BLOCK_CHARS).where("links > 0").select("node", "reached")
-    roots = components(compared, "node", "reached")
-    placed = classes.select("key", "node", "first").join(roots, "node")
-    stays = placed.groupBy("root").agg(F.min("first").alias("stays"))
-    merged = lookup_join(placed.select("key", "root"), stays, ["root"], "inner").select("key", "stays")
-    # A line whose class has no copy and no link stays; only the others have to learn what stays for them.
-    several = classes.where("copies > 1").select("key", "first").join(merged.select("key"), "key", "left_anti")
-    index = merged.unionByName(several.withColumnRenamed("first", "stays"))
-    placed = lookup_join(lines.select(*PLACE, "key"), index, ["key"], "left")
-    place = F.struct(*PLACE)
-    stays = F.coalesce("stays", place)
-    return placed.select(
-        *PLACE, stays["doc_id"].alias("class_doc"), stays["line_no"].alias("class_line"), place.eqNullSafe(stays).alias("kept")
-    )
+    roots = components(compared, "node", "reached").withColumnRenamed("node", "class")
+    placed = classes.drop("root").join(roots, "class", "left")
+    stays = placed.where("root is not null").groupBy("root").agg(F.min("first").alias("stays"))
+    index = lookup_join(placed, stays, ["root"], "left").select("node", "rest", F.coalesce("stays", "first").alias("stays"))
+    return lines, nodes, lookup_join(some.select(*PLACE, "node", "rest"), index, ["node", "rest"], "inner")
 
 
-def per_document(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """One row per document (doc_id and text): n_lines with text, n_kept, the numbers of the lines that go, what stays for them.
+def _marks(stays: Column) -> list[Column]:
+    return [stays["doc_id"].alias("class_doc"), stays["line_no"].alias("class_line"), F.struct(*PLACE).eqNullSafe(stays).alias("kept")]
 
-    ``class_docs`` and ``class_lines`` name the line that stays for each of ``dropped_lines``, in the same order, so
-    all lines of a component can be told by where they point. Rows that repeat a doc_id and a text are one document.
-    """
-    gone = F.when(~F.col("kept"), F.struct("line_no", "class_doc", "class_line"))
-    lines = (
-        marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), gone.alias("_line"))
-        .agg(F.count("*").alias("_n"))  # lines that stay are one row, those that go one each
-        .groupBy("_id", "_key")
-        .agg(F.sum("_n").alias("_n"), F.array_sort(F.collect_list("_line")).alias("_gone"))  # one document's lines
+
+def marked_lines(docs: DataFrame, **settings) -> DataFrame:
+    """One row per line with text: doc_id, line_no (from 0), text_key, class_doc, class_line (the line that stays for it), kept."""
+    lines, nodes, judged = _judged(docs, **settings)
+    alone = lookup_join(lines.where("node is not null").select(*PLACE, "node"), nodes, ["node"], "left_anti")
+    return judged.select(*PLACE, *_marks(F.col("stays"))).union(alone.select(*PLACE, *_marks(F.struct(*PLACE))))
+
+
+def _listed(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_key, n_lines; one per document) with the lines that go (doc_id, text_key, line_no, class_doc, class_line)."""
+    lines = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
+        F.array_sort(F.collect_set(F.struct("line_no", "class_doc", "class_line"))).alias("_gone")  # one document's lines
     )
-    rows = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key")).agg(F.count("*").alias("_rows"))
     own = rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_key == F.col("_key"))
     none = F.array().cast("array<struct<line_no:int,class_doc:long,class_line:int>>")
-    placed = rows.join(lines, own, "left").withColumns(
-        {"_gone": F.coalesce("_gone", none), "_n": F.coalesce(F.expr("_n div _rows"), F.lit(0).cast("long"))}
-    )
+    placed = rows.join(lines, own, "left").withColumn("_gone", F.coalesce("_gone", none))
     return placed.select(
         "doc_id",
-        F.col("_n").alias("n_lines"),
-        (F.col("_n") - F.size("_gone")).alias("n_kept"),
+        "n_lines",
+        (F.col("n_lines") - F.size("_gone")).alias("n_kept"),
         F.transform("_gone", lambda x: x["line_no"]).alias("dropped_lines"),
         F.transform("_gone", lambda x: x["class_doc"]).alias("class_docs"),
         F.transform("_gone", lambda x: x["class_line"]).alias("class_lines"),
@@ -302,14 +326,43 @@ def per_document(docs: DataFrame, marked: DataFrame) -> DataFrame:
     )
 
 
+def per_document(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """One row per document (doc_id and text): n_lines with text, n_kept, the numbers of the lines that go, what stays for them.
+
+    ``class_docs`` and ``class_lines`` name the line that stays for each of ``dropped_lines``, in the same order, so
+    all lines of a component can be told by where they point. Rows that repeat a doc_id and a text are one document.
+    """
+    places = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.count("*").alias("_n"))
+    rows = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key")).agg(F.count("*").alias("_rows"))
+    own = rows.doc_id.eqNullSafe(F.col("_id")) & (rows.text_key == F.col("_key"))
+    n_lines = F.coalesce(F.expr("_n div _rows"), F.lit(0).cast("long")).alias("n_lines")
+    return _listed(rows.join(places, own, "left").select("doc_id", "text_key", n_lines), marked.where("not kept"))
+
+
+def _gone(judged: DataFrame) -> DataFrame:
+    return judged.select(*PLACE, *_marks(F.col("stays"))).where("not kept").drop("kept")
+
+
+def dedup_documents(docs: DataFrame, **settings) -> DataFrame:
+    """``per_document`` of ``marked_lines``; lines that stay are only counted."""
+    lines, _, judged = _judged(docs, **settings)
+    gone = saved(_gone(judged))
+    n_lines = F.max("lines").cast("long").alias("n_lines")
+    rows = saved(lines.where("lines is not null").groupBy("doc_id", "text_key").agg(n_lines))
+    discard(lines)
+    release(docs.sparkSession)
+    return _listed(rows, gone)
+
+
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with only the kept lines in ``text``, and without the documents that lost all their lines."""
-    marked = saved(marked_lines(docs, **settings))
+    lines, _, judged = _judged(docs, **settings)
+    gone = saved(_gone(judged))
+    discard(lines)
     release(docs.sparkSession)
-    gone = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
-        F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_gone"), F.max("kept").alias("_some")
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
+        F.collect_set("line_no").alias("_gone")
     )
-    gone = gone.where("size(_gone) > 0")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     own = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key("_row.text") == F.col("_key"))
     joined = rows.join(gone, own, "left")
@@ -317,6 +370,7 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
         F.filter(F.split("_row.text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n"
     )
     text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(kept_text)
-    return joined.where("_some is null or _some").select(
+    some = F.col("_gone").isNull() | (F.trim(kept_text, F.lit(ENDS)) != "")  # a line with text
+    return joined.where(some).select(
         *[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
     )

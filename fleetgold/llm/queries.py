@@ -26,8 +26,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return line_dedup.per_document(docs, line_dedup.marked_lines(docs))
+    return line_dedup.dedup_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators 3, 7, 8, 9, the union-find and the pipeline."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 
 import brute
@@ -125,6 +126,75 @@ def test_few_texts_are_compared_as_in_tiles(monkeypatch):
         assert np.isclose(many["expected"].sum(), each["expected"].sum())
 
 
+def test_a_task_of_tiles_needs_little_memory():
+    """Small components a slice at a time, large ones a few rows of the matrix at a time, with the same results."""
+    rng = np.random.default_rng(6)
+    chars = lambda t: shingles.char_shingles(t, 8)
+
+    def frame(components, copies, length):
+        texts = []
+        for _ in range(components):
+            base = rng.integers(97, 123, length).astype(np.uint8)
+            for _ in range(copies):
+                base[rng.integers(0, length, 2)] = 48
+                texts.append(base.tobytes().decode())
+        roots = np.repeat(np.arange(components), copies)
+        return pd.DataFrame({"root": roots, "a": 0, "b": 0, "block": 0, "node": np.arange(len(texts)), "copies": 1, "text": texts})
+
+    for rows, limit in ((frame(1200, 3, 400), 100e6), (frame(1, 1800, 300), 120e6)):
+        tracemalloc.start()
+        got = tiles._task(rows, chars, 0.8, None)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < limit, peak
+        each = pd.concat([tiles._tile(f, chars, 0.8, None) for _, f in rows.groupby("root")], ignore_index=True)
+        columns = ["node", "links", "reached"]
+        assert got[columns].equals(each[columns])
+        assert got["links"].sum() > 0
+
+
+def test_many_texts_are_signed_in_little_memory():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 9999, 700))) for _ in range(512)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(512)), pa.array(texts)], names=["doc_id", "text"])
+    run = ngram_join._labels(5, 32, 8)
+    tracemalloc.start()
+    got = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6, peak
+    assert got == [r for i in range(512) for b in run(iter([batch.slice(i, 1)])) for r in b.to_pylist()]
+
+
+def test_band_values_come_in_packs(monkeypatch):
+    """A few lines' band values are one row, each line of a batch once; a text without lines is a row without a key."""
+    monkeypatch.setattr(line_dedup, "PACK", 3)
+    texts = ["one line\n\n two lines\none line", "", "two lines\nthree\nfour", "five"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([5, 6, 7, 8]), pa.array(texts)], names=["doc_id", "text_key", "text"])
+    rows = [r for b in line_dedup._lines(8, 20, 5)(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["text_key"], r["line_no"], r["lines"]) for r in rows] == [
+        (0, 5, 0, 3), (0, 5, 2, None), (0, 5, 3, None), (1, 6, None, 0), (2, 7, 0, 3), (2, 7, 1, None), (2, 7, 2, None), (3, 8, 0, 1)
+    ]
+    lines = ["one line", "two lines", "three", "four", "five"]
+    keys = [np.frombuffer(hashlib.md5(t.encode()).digest(), ">i8").tolist() for t in lines]
+    assert [[r["node"], r["rest"]] for r in rows if r["line_no"] is not None] == [keys[i] for i in (0, 1, 0, 1, 2, 3, 4)]
+    packs = [r for r in rows if r["nodes"] is not None]
+    assert [len(r["nodes"]) for r in packs] == [24, 16]
+    assert np.frombuffer(b"".join(r["nodes"] for r in packs), np.int64).tolist() == [k[0] for k in keys]
+    values = shingles.banded(shingles.signatures(*shingles.char_shingles(lines, 8), 100), 20)
+    turns = [np.frombuffer(b"".join(r[c] for r in packs), ">u8").reshape(5, -1) for c in line_dedup._turns(20)]
+    assert (np.concatenate(turns, axis=1) == values).all()
+
+
+def test_documents_agree_with_marked_lines(spark):
+    lines = near_copies(20, 4) + ["tiny", "tiny ", "tinz"]
+    rows = [(i % 5, "\n".join(lines[i::7])) for i in range(7)] + [(None, "tiny\nown"), (9, None), (9, " \n"), (3, "tinz"), (3, "tinz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup_documents(docs).collect()
+    assert Counter(got) == Counter(line_dedup.per_document(docs, line_dedup.marked_lines(docs)).collect())
+    assert sum(len(r.dropped_lines) for r in got) > 20
+
+
 def test_bands_meet_across_tasks_and_chunks(spark, monkeypatch):
     """Links by band values are those of all pairs that share one, whatever is linked before the shuffle."""
     rng = np.random.default_rng(2)
