@@ -46,6 +46,8 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 SPACE = np.zeros(256, bool)
 SPACE[9:14] = SPACE[32] = True
 STOPS = frozenset(b".,;:")
+#: How many labels of each class a document has.
+TIMES = ("bad", "good")
 
 
 def statistics(text: str | None) -> list[float]:
@@ -122,19 +124,25 @@ class Discriminant:
 def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Count, mean and covariance of ``stats`` by ``label`` (0 or 1), added up by Spark.
 
-    Each task hands on one row of sums per class; the driver gets one entry per
+    ``labelled`` may have ``text`` instead of ``stats``, which are then made in the same task, and instead of ``label`` the
+    number of labels of each class, ``TIMES``. Each task hands on one row of sums per class; the driver gets one entry per
     class and matrix cell.
     """
     d = len(NAMES)
+    given = "stats" if "stats" in labelled.columns else "text"
+    if "label" in labelled.columns:
+        labelled = labelled.withColumns({c: (F.col("label") == k).cast("long") for k, c in enumerate(TIMES)})
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, d + 1, d + 1))
         for batch in batches:
-            x = np.array(batch.column("stats").to_pylist(), float).reshape(-1, d)
+            stats = batch.column(given).to_pylist()
+            x = np.array(stats if given == "stats" else [statistics(t) for t in stats], float).reshape(-1, d)
             x = np.hstack([np.ones((len(x), 1)), x])
-            label = np.array(batch.column("label").to_pylist(), np.int64)
-            for k in (0, 1):
-                sums[k] += x[label == k].T @ x[label == k]
+            for k, name in enumerate(TIMES):
+                times = np.array(batch.column(name).to_pylist(), np.int64)
+                own, times = x[times > 0], times[times > 0]
+                sums[k] += (own * times[:, None]).T @ own
         yield pa.RecordBatch.from_pydict(
             {
                 "cell": pa.array(np.arange(sums.size), pa.int32()),
@@ -142,7 +150,7 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
             }
         )
 
-    cells = labelled.select("label", "stats").mapInArrow(partial, "cell int, value double")
+    cells = labelled.select(given, *TIMES).mapInArrow(partial, "cell int, value double")
     sums = np.zeros(2 * (d + 1) * (d + 1))
     for cell, value in cells.groupBy("cell").agg(F.sum("value")).collect():
         sums[cell] = value
@@ -155,7 +163,7 @@ def moments(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarra
 
 
 def fit(labelled: DataFrame, pooled: float = 0.3, round_: float = 0.05, floor: float = 1e-3) -> Discriminant:
-    """Learn from ``labelled`` (label 0 or 1, stats).
+    """Learn from ``labelled`` (label 0 or 1, stats; see ``moments``).
 
     ``pooled`` is the part of each covariance taken from both classes together,
     ``round_`` the part taken from a diagonal of the pooled variances; ``floor`` is the
@@ -204,14 +212,19 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Discriminant:
-    """Learn from all documents that ``labels`` (doc_id, quality) has, where ``learn`` holds of doc_id."""
+    """Learn from all documents that ``labels`` (doc_id, quality) has, where ``learn`` holds of doc_id.
+
+    The texts meet their labels before Python, which takes one step: each further one in a stage is one more worker a
+    core, and workers stay.
+    """
+    python_tasks(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("label"))
     usable = usable.where("label in (0, 1)")
     if learn is not None:
         usable = usable.withColumnRenamed("id", "doc_id").where(learn).withColumnRenamed("doc_id", "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    known = texts.join(broadcast_checked(usable.select("id").distinct()), F.col("doc_id") == F.col("id"), "left_semi")
-    return fit(with_statistics(known).join(usable, F.col("doc_id") == F.col("id")))
+    times = usable.groupBy("id").agg(*[F.count(F.when(F.col("label") == k, 1)).alias(c) for k, c in enumerate(TIMES)])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return fit(texts.join(broadcast_checked(times), F.col("doc_id") == F.col("id")))
 
 
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.5) -> DataFrame:

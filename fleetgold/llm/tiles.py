@@ -12,7 +12,7 @@ rows per tile, however many pairs it has.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,8 @@ ROWS = 256
 #: Texts of a component that is compared together with others, and pairs with a common shingle counted at once.
 FEW_TEXTS = 64
 COUNTED = 1 << 18
-#: Characters of small components that are compared at once (their arrays stay in cache).
+#: Characters of small components that are compared at once, and of texts whose shingles are made at once (each takes some
+#: 60 bytes of arrays, which stay in cache).
 FEW_CHARS = 1 << 18
 
 
@@ -82,11 +83,19 @@ def smallest_reached(linked: np.ndarray, left: np.ndarray, right: np.ndarray, pi
         label = new
 
 
+def _hashed(texts: list[str], shingles) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of some texts after the other, of about ``FEW_CHARS`` characters at once."""
+    turn = np.cumsum([len(t) for t in texts]) // FEW_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield shingles(texts[a:b])
+
+
 def _tile(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable | None) -> pd.DataFrame:
     """One tile: blocks a and b of a component (the same, or two)."""
     frame = frame.sort_values("node")
     same = bool((frame["a"] == frame["b"]).all())
-    own = sets(*shingles(frame["text"].tolist()))
+    own = [s for part in _hashed(frame["text"].tolist(), shingles) for s in sets(*part)]
     is_left = np.ones(len(frame), bool) if same else (frame["block"] == frame["a"]).to_numpy()
     places = np.flatnonzero(is_left), np.flatnonzero(np.ones(len(frame), bool) if same else ~is_left)
     left = [own[i] for i in places[0]]
@@ -195,7 +204,7 @@ def _many(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable |
     n = len(frame)
     root = frame["root"].to_numpy()
     begins = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
-    hashes, counts = shingles(frame["text"].tolist())
+    hashes, counts = map(np.concatenate, zip(*_hashed(frame["text"].tolist(), shingles), strict=True))
     left, right, share = _shares(hashes, counts, begins, np.diff(np.append(begins, n)))
     linked = share >= threshold
     left, right, share = left[linked], right[linked], share[linked]

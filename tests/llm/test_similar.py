@@ -153,6 +153,30 @@ def test_a_task_of_tiles_needs_little_memory():
         assert got["links"].sum() > 0
 
 
+@pytest.mark.parametrize("texts", [tiles.FEW_TEXTS, tiles.FEW_TEXTS + 40])
+def test_long_texts_of_a_tile_need_little_memory(monkeypatch, texts):
+    """Shingles of a large component, whichever way it is compared, are made for some of its texts at a time."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 99_999, (texts // 4, 6_000)).astype(str).tolist()
+    rows = [" ".join(base[i // 4 % len(base)][:-1] + [f"end{i % 4}"]) for i in range(texts)]
+    frame = pd.DataFrame({"root": 1, "a": 0, "b": 0, "block": 0, "node": np.arange(texts), "copies": 1, "text": rows})
+    asked = []
+
+    def words(some):
+        asked.append(sum(map(len, some)))
+        return shingles.word_shingles(some, 5)
+
+    tracemalloc.start()
+    got = tiles._task(frame, words, 0.8, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(asked) > 2_000_000 and max(asked) <= tiles.FEW_CHARS + 40_000, asked
+    assert peak < 80e6, peak
+    monkeypatch.setattr(tiles, "FEW_CHARS", 1 << 30)
+    assert got.equals(tiles._task(frame, words, 0.8, None))
+    assert (got["links"] >= 3).all() and max(asked) > 2_000_000
+
+
 def test_many_texts_are_signed_in_little_memory():
     rng = np.random.default_rng(3)
     texts = [" ".join(map(str, rng.integers(0, 9999, 700))) for _ in range(512)]

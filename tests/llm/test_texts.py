@@ -14,6 +14,7 @@ from fleetgold.llm.common import id_crc
 from fleetgold.llm.oracle import ORACLE
 from fleetgold.llm.tokens import PieceEncoder, default_vocabulary
 from fleetgold.sources.shared import new_folder
+from pyspark.sql import functions as F
 
 from cases import AWKWARD, SMALL
 
@@ -499,6 +500,21 @@ def test_classifier_awkward(spark, documents, labels, awkward, empty):
     assert {r.score for r in qda.classify(awkward, one).collect()} == {1.0}
 
 
+def test_training_is_one_python_step(monkeypatch, documents, labels):
+    """Two in a stage would take two workers a core; labels and rows that repeat count each all the same."""
+    made, step = [], type(documents).mapInArrow
+    monkeypatch.setattr(type(documents), "mapInArrow", lambda *a, **b: made.append(step(*a, **b)) or made[-1])
+    other = labels.where("doc_id % 5 = 0").withColumn("quality", 1 - F.col("quality"))
+    docs, known = documents.union(documents.where("doc_id % 3 = 0")), labels.union(labels.where("doc_id % 2 = 0")).union(other)
+    model = qda.train(docs, known)
+    assert made[-1]._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    usable = known.selectExpr("doc_id", "quality as label").where("label in (0, 1)")
+    expected = qda.fit(qda.with_statistics(docs).join(usable, "doc_id"))
+    assert model.share == pytest.approx(expected.share)
+    for name in ("means", "inverse", "log_det"):
+        assert getattr(model, name) == pytest.approx(getattr(expected, name))
+
+
 def test_discriminant_is_the_log_density_difference():
     rng = np.random.default_rng(0)
     d = len(qda.NAMES)
