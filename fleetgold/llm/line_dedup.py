@@ -42,8 +42,8 @@ ROWS = 5
 #: Bands whose rows are shuffled at the same time; all take their turn, so this bounds disk only.
 BANDS_AT_ONCE = 10
 #: Bytes of texts whose lines a task holds, characters that are signed at once (their arrays stay in cache), and
-#: characters of one block of a tile (each is a shingle of some 60 bytes of arrays).
-TEXT_BYTES, SIGNED_CHARS, BLOCK_CHARS = 1 << 20, 1 << 16, 1_500_000
+#: characters and lines of one block of a tile.
+TEXT_BYTES, SIGNED_CHARS, BLOCK_CHARS, BLOCK_TEXTS = 1 << 20, 1 << 16, 3_000_000, 8_192
 #: Band values that a task sorts at once.
 CHUNK = 1 << 19
 #: Lines whose band values are one row.
@@ -288,7 +288,8 @@ def _judged(
     fetched = holders.select("text", "wanted").mapInArrow(_picked, "node long, root long, text string, copies int")
     chosen = saved(fetched.dropDuplicates(["node"]))
     shingles = lambda t: char_shingles(t, chars)
-    compared = tiles.compare(chosen, shingles, threshold, block_chars=BLOCK_CHARS).where("links > 0").select("node", "reached")
+    compared = tiles.compare(chosen, shingles, threshold, block_chars=BLOCK_CHARS, block_texts=BLOCK_TEXTS, connect=True)
+    compared = compared.where("links > 0").select("node", "reached")
     roots = components(compared, "node", "reached").withColumnRenamed("node", "class")
     placed = classes.drop("root").join(roots, "class", "left")
     stays = placed.where("root is not null").groupBy("root").agg(F.min("first").alias("stays"))

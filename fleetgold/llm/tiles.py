@@ -8,6 +8,12 @@ pairs by counting common shingles, exactly (with a matrix product; components of
 row per text: how many texts it is linked with there, and the smallest text it is
 connected to there. No pair leaves a task, so a group of g similar texts gives g
 rows per tile, however many pairs it has.
+
+Where only the connected texts are asked for (``connect``), the pairs of a component of more than ``BLOCK_TEXTS`` texts
+(or of several blocks) are told apart by sketches of ``SKETCH`` bits first, made once a text: a bit agrees with a chance of
+(1 + similarity) / 2, so a pair whose bits agree ``SPREAD`` standard deviations less often than at the threshold is not
+linked (a linked one is taken for such with a chance of some 1e-10). The other pairs are compared exactly, unless their
+texts are connected already.
 """
 
 from __future__ import annotations
@@ -16,11 +22,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgold.llm.batches import by_bytes
 from fleetgold.llm.common import mix
-from fleetgold.llm.shingles import sets
+from fleetgold.llm.shingles import sets, signatures
 from fleetgold.operators.skew import lookup_join
 
 #: Characters and texts of one block.
@@ -35,6 +43,10 @@ COUNTED = 1 << 18
 #: Characters of small components that are compared at once, and of texts whose shingles are made at once (each takes some
 #: 60 bytes of arrays, which stay in cache).
 FEW_CHARS = 1 << 18
+#: Bits of a sketch, those of them that are counted for all pairs, and how far below the mean at the threshold a pair may be.
+SKETCH, FIRST_BITS, SPREAD = 512, 128, 7
+#: Times that a text is compared with the one likeliest to be linked before it is with all that may be, and pairs of these at once.
+LIKELIEST, PAIRS = 4, 1 << 12
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -134,6 +146,135 @@ def _tile(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable |
     )
 
 
+def _sketches(texts: list[str], shingles) -> list[bytes]:
+    """``SKETCH`` bits for each text: one for each MinHash value; zeros for a text without shingles."""
+    out: list[bytes] = []
+    column = np.arange(SKETCH, dtype=np.uint64) << np.uint64(32)
+    for hashes, counts in _hashed(texts, shingles):
+        bits = (mix(signatures(hashes, counts, SKETCH) + column) & np.uint64(1)).astype(np.uint8)
+        packed = iter(np.packbits(bits, axis=1))
+        out += [next(packed).tobytes() if n else bytes(SKETCH // 8) for n in counts.tolist()]
+    return out
+
+
+def _with_sketches(shingles):
+    """The rows with a sketch of each text that ``sketched`` asks one for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", FEW_CHARS):
+            asked = batch.column("sketched").to_pylist()
+            made = iter(_sketches(batch.column("text").filter(batch.column("sketched")).to_pylist(), shingles) if any(asked) else [])
+            sketches = pa.array([next(made) if a else None for a in asked], pa.binary())
+            columns = [batch.column(c) for c in ("root", "node", "copies", "blocks", "text")]
+            yield pa.RecordBatch.from_arrays([*columns, sketches], names=["root", "node", "copies", "blocks", "text", "sketch"])
+
+    return run
+
+
+def _least(bits: int, threshold: float) -> float:
+    """Fewer of ``bits`` agree in next to no pair at the threshold."""
+    chance = (1 + threshold) / 2
+    return bits * chance - SPREAD * (bits * chance * (1 - chance)) ** 0.5
+
+
+def _near(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of bits in which the sketches of pairs agree."""
+    out = np.zeros(len(i), np.int32)
+    for at in range(0, len(i), COUNTED):
+        part = slice(at, at + COUNTED)
+        out[part] = 64 * words.shape[1] - np.bitwise_count(words[i[part]] ^ words[j[part]]).sum(1, dtype=np.int32)
+    return out
+
+
+class _Sets:
+    """The distinct shingles of some of a tile's texts, as small numbers; those of one text only are just counted."""
+
+    def __init__(self, texts: list[str], some: np.ndarray, shingles):
+        own = [s for part in _hashed([texts[x] for x in some], shingles) for s in sets(*part)]
+        self.size = np.zeros(len(texts), np.int64)
+        self.size[some] = [len(s) for s in own]
+        shingle, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)[1:]
+        kept = times[shingle] > 1
+        cuts = np.cumsum(np.bincount(np.repeat(np.arange(len(own)), self.size[some])[kept], minlength=len(own)))[:-1]
+        self.own = dict(zip(some.tolist(), np.split(shingle[kept].astype(np.int32), cuts), strict=True))
+        self.mark = np.zeros(len(times), bool)
+
+    def linked(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs, sorted by ``i``, are linked."""
+        common = np.zeros(len(i), np.int64)
+        begins = np.flatnonzero(np.diff(i, prepend=-1)).tolist()
+        for a, end in zip(begins, [*begins[1:], len(i)], strict=True):
+            mine = self.own[int(i[a])]
+            self.mark[mine] = True
+            for at in range(a, end, ROWS):
+                others = [self.own[x] for x in j[at : min(at + ROWS, end)].tolist()]
+                found = np.cumsum(self.mark[np.concatenate(others)], dtype=np.int64)
+                so_far = np.concatenate([[0], found])[np.cumsum([0, *(len(o) for o in others)])]
+                common[at : at + len(others)] = np.diff(so_far)
+            self.mark[mine] = False
+        return common / (self.size[i] + self.size[j] - common) >= threshold
+
+
+def _connected(frame: pd.DataFrame, shingles, threshold: float) -> pd.DataFrame:
+    """One tile, if only what is connected counts: links is 1 for a text that has any."""
+    frame = frame.sort_values("node")
+    n = len(frame)
+    same = bool((frame["a"] == frame["b"]).all())
+    is_left = np.ones(n, bool) if same else (frame["block"] == frame["a"]).to_numpy()
+    is_right = is_left if same else ~is_left
+    sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(n, -1)
+    words = sketch.view(np.uint64)
+    signs = np.unpackbits(sketch[:, : FIRST_BITS // 8], axis=1).astype(np.float32) * 2 - 1
+    least = 2 * _least(FIRST_BITS, threshold) - FIRST_BITS, _least(SKETCH, threshold)
+    label = np.arange(n)
+
+    def strips(some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows and columns with their first bits' agreement."""
+        left, right = np.flatnonzero(is_left & some), np.flatnonzero(is_right & some)
+        for at in range(0, len(left), ROWS):
+            yield left[at : at + ROWS], right, signs[left[at : at + ROWS]] @ signs[right].T
+
+    def likely(rows: np.ndarray, right: np.ndarray, agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that may be linked and whose texts are not connected yet."""
+        i, j = np.nonzero(agree >= least[0])
+        i, j = rows[i], right[j]
+        some = (label[i] != label[j]) & ((j > i) | (not same))
+        i, j = i[some], j[some]
+        some = _near(words, i, j) >= least[1]
+        return i[some], j[some]
+
+    some = np.zeros(n, bool)
+    for strip in strips(words.any(1)):  # a text without shingles has no bits
+        for ends in likely(*strip):
+            some[ends] = True
+    own = _Sets(frame["text"].tolist(), np.flatnonzero(some), shingles) if some.any() else None
+
+    def link(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal label
+        if not len(i):
+            return
+        linked = own.linked(i, j, threshold)
+        label = _labels(n, label[i[linked]], label[j[linked]])[label]
+
+    for rows, right, agree in strips(some):
+        for _ in range(LIKELIEST):
+            agree[label[rows][:, None] == label[right]] = -np.inf  # itself, too
+            best = agree.argmax(1)
+            i, j = rows, right[best]
+            near = (agree[np.arange(len(rows)), best] >= least[0]) & (_near(words, i, j) >= least[1])
+            agree[np.arange(len(rows)), best] = -np.inf
+            link(i[near], j[near])
+        i, j = likely(rows, right, agree)
+        while len(i):
+            link(i[:PAIRS], j[:PAIRS])
+            i, j = i[PAIRS:], j[PAIRS:]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+    node = frame["node"].to_numpy()
+    links = np.bincount(label, minlength=n)[label] > 1
+    return pd.DataFrame({"node": node, "links": links.astype(np.int64), "reached": node[label], "found": 0.0, "expected": 0.0})
+
+
 def _pairs(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs of places within each run of places, run by run, and where each run's pairs begin."""
     made = sizes * (sizes - 1) // 2
@@ -239,7 +380,9 @@ def _task(frame: pd.DataFrame, shingles, threshold: float, found_by: Callable |
     frame = frame.sort_values(["root", "a", "b", "node"], ignore_index=True)
     texts = frame.groupby(["root", "a", "b"], sort=False)["node"].transform("size")
     few = (frame["a"] == frame["b"]) & (texts <= FEW_TEXTS)
-    tiles = [_tile(t, shingles, threshold, found_by) for _, t in frame[~few].groupby(["root", "a", "b"], sort=False)]
+    sketched = frame["sketch"].notna() if "sketch" in frame else few & ~few
+    tiles = [_tile(t, shingles, threshold, found_by) for _, t in frame[~few & ~sketched].groupby(["root", "a", "b"], sort=False)]
+    tiles += [_connected(t, shingles, threshold) for _, t in frame[~few & sketched].groupby(["root", "a", "b"], sort=False)]
     if few.any():
         tiles += [_many(f, shingles, threshold, found_by) for f in _slices(frame[few])]
     return pd.concat(tiles, ignore_index=True)
@@ -252,12 +395,15 @@ def compare(
     found_by: Callable | None = None,
     block_chars: int = BLOCK_CHARS,
     block_texts: int = BLOCK_TEXTS,
+    *,
+    connect: bool = False,
 ) -> DataFrame:
     """Compare the texts of each component; ``members`` has node, root, text and copies.
 
     One row per text and tile: node, links (copies counted), reached (a node), and in
     one row of each tile found and expected pairs. ``found_by`` gives the chance that a
-    pair of a similarity became a candidate.
+    pair of a similarity became a candidate. With ``connect`` links only tells whether there are any,
+    and pairs are not counted.
     """
     sizes = members.groupBy("root").agg(
         F.sum(F.length("text")).alias("chars"), F.count("*").alias("texts")
@@ -265,10 +411,13 @@ def compare(
     blocks = F.ceil(F.greatest(F.col("chars") / block_chars, F.col("texts") / block_texts)).cast("int")
     sizes = sizes.withColumn("blocks", F.greatest(blocks, F.lit(1)))
     small = sizes.where("blocks = 1").agg(F.sum("chars"), F.sum("texts")).first()
-    bins = 1 + int(max((small[0] or 0) / block_chars, (small[1] or 0) / block_texts))
+    bins = 1 + int((1 + connect) * max((small[0] or 0) / block_chars, (small[1] or 0) / block_texts))
+    placed = lookup_join(members, sizes.select("root", "blocks", "texts"), ["root"], "inner")
+    if connect:
+        made = ", ".join(f"{c} {dict(placed.dtypes)[c]}" for c in ("root", "node", "copies", "blocks", "text"))
+        placed = placed.withColumn("sketched", (F.col("blocks") > 1) | (F.col("texts") > BLOCK_TEXTS)).mapInArrow(_with_sketches(shingles), f"{made}, sketch binary")
     rows = (
-        lookup_join(members, sizes.select("root", "blocks"), ["root"], "inner")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("a", F.least("block", "other"))
         .withColumn("b", F.greatest("block", "other"))
@@ -276,7 +425,7 @@ def compare(
             "task",
             F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.xxhash64("root", "a", "b")),
         )
-        .select("task", "root", "a", "b", "block", "node", "copies", "text")
+        .select("task", "root", "a", "b", "block", "node", "copies", "text", *["sketch"] * connect)
     )
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:

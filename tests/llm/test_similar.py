@@ -248,6 +248,37 @@ def test_wanted_lines_come_from_their_text():
     assert got == [{"node": 5, "root": 1, "text": "c d", "copies": 1}, {"node": 1, "root": 1, "text": "a", "copies": 1}]
 
 
+def test_a_large_component_is_compared_by_sketches(monkeypatch):
+    """The connected texts are those of a full comparison; next to no pair of two families is compared exactly."""
+    texts = [f"{f}{t}" for f in range(6) for t in near_copies(150 + f, 40, 100 + f)] + [f"{i} alone in it all" * 9 for i in range(30)]
+    texts = [t.replace("b", "xyzuvw"[int(t[0]) % 6] * 3) for t in texts] + [""]
+    order = np.random.default_rng(1).permutation(len(texts))
+    frame = pd.DataFrame({"root": 1, "a": 0, "b": 0, "block": 0, "node": order, "copies": 1, "text": [texts[i] for i in order]})
+    chars = lambda t: shingles.char_shingles(t, 8)
+    frame["sketch"] = tiles._sketches(frame["text"].tolist(), chars)
+    asked, linked = [], tiles._Sets.linked
+    monkeypatch.setattr(tiles._Sets, "linked", lambda own, i, j, t: asked.append(len(i)) or linked(own, i, j, t))
+    for b in (0, 1):
+        frame["b"], frame["block"] = b, np.arange(len(frame)) % 2 * b
+        got, full = tiles._connected(frame, chars, 0.8), tiles._tile(frame, chars, 0.8, None)
+        assert got["node"].equals(full["node"]) and got["reached"].equals(full["reached"])
+        assert ((got["links"] > 0) == (full["links"] > 0)).all() and 100 < (got["links"] > 0).sum() < len(frame)
+    assert sum(asked) < len(frame) ** 2 // 10, sum(asked)  # some 11 % of the pairs are of one family, many of them connected early
+
+
+def test_a_large_component_of_lines_in_several_blocks(spark, monkeypatch):
+    sketched = []
+    monkeypatch.setattr(tiles, "_with_sketches", lambda s, made=tiles._with_sketches: sketched.append(1) or made(s))
+    lines = near_copies(40, 4) + near_copies(30, 9, 60) + near_copies(5, 60, 130) + ["tiny", "tiny ", "tinz"]
+    texts = {i: "\n".join(lines[i::6]) for i in range(6)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block_texts in (line_dedup.BLOCK_TEXTS, 9):
+        monkeypatch.setattr(line_dedup, "BLOCK_TEXTS", block_texts)
+        rows = line_dedup.dedup_documents(docs).collect()
+        assert {r.doc_id: r.dropped_lines for r in rows} == brute.lines(texts)
+    assert len(sketched) == 2
+
+
 def test_fuzzy_lines(spark):
     lines = near_copies(40, 4) + near_copies(5, 60, 130) + ["tiny", "tiny ", "tinz"]
     texts = {i: "\n".join(lines[i::6]) for i in range(6)}
