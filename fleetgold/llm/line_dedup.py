@@ -25,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +152,82 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _place_hash(doc_id: np.ndarray, text_key: np.ndarray, line_no: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of places (null ids as 0)."""
+    return mix(mix(mix(doc_id.view(np.uint64)) ^ text_key.view(np.uint64)) + line_no.astype(np.uint64))
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(0).to_numpy()
+
+
+def _bits(power: int):
+    """(word, bits) of a map of 2**power bits, with the bit of each place set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _place_hash(*map(_ids, batch.columns)) >> np.uint64(64 - power)
+            word, bits = (at >> np.uint64(6)).view(np.int64), (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], names=["word", "bits"])
+
+    return run
+
+
+def _place_map(places: DataFrame) -> tuple[Broadcast, int]:
+    """A map of bits with those of the ``places`` (doc_id, text_key, line_no) set, and the power of its size: 16 to 32 bits a place."""
+    power = max(10, (16 * places.count()).bit_length())
+    found = places.mapInArrow(_bits(power), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (power - 6), np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return places.sparkSession.sparkContext.broadcast(words), power
+
+
+def _placed(places: Broadcast, power: int):
+    """The lines of each text whose place has its bit set, with their keys: those that are wanted, and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", TEXT_BYTES):
+            texts = batch.column("text").to_pylist()
+            counts = np.array([text.count("\n") + 1 for text in texts])
+            owner = np.repeat(np.arange(len(texts)), counts)
+            number = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner]
+            at = _place_hash(_ids(batch.column("doc_id"))[owner], _ids(batch.column("text_key"))[owner], number) >> np.uint64(64 - power)
+            hits = np.flatnonzero((places.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            found, split = [], (-1, [])
+            for text, line in zip(owner[hits].tolist(), number[hits].tolist(), strict=True):
+                if text != split[0]:
+                    split = text, texts[text].split("\n")
+                found.append(split[1][line].strip(ENDS))
+            keys = b"".join(hashlib.md5(line.encode("utf-8", "surrogatepass")).digest() for line in found)
+            node, rest = np.frombuffer(keys, ">i8").reshape(-1, 2).T.astype(np.int64)
+            columns = [pa.array(node), pa.array(rest), pa.array(found, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "rest", "text"])
+
+    return run
+
+
+def _texts_of(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """The text of each class of ``wanted``, once: (node, root, text, copies).
+
+    A few classes go to the texts. Many don't, nor do the texts go to them, which would be a shuffle of the whole
+    input: a map of bits does, and what it lets through is joined by the line's key.
+    """
+    if wanted.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+        key = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("half", "rest")])).alias("key")
+        of_text = wanted.groupBy("first_doc_id", "first_text_key").agg(  # one document's lines
+            F.collect_list(F.struct(F.col("first_line_no").alias("line_no"), key, "node", "root")).alias("wanted")
+        )
+        own = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key"))
+        holders = texts.join(F.broadcast(of_text), own).select("text", "wanted")
+        fetched = holders.mapInArrow(_picked, "node long, root long, text string, copies int")
+    else:
+        places = wanted.select("first_doc_id", "first_text_key", "first_line_no")
+        found = texts.mapInArrow(_placed(*_place_map(places)), "half long, rest long, text string")
+        fetched = lookup_join(found, wanted.select("half", "rest", "node", "root"), ["half", "rest"], "inner")
+        fetched = fetched.select("node", "root", "text", F.lit(1).alias("copies"))
+    return fetched.dropDuplicates(["node"])
+
+
 def _runs(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys with the smallest node of each; and every other node with the smallest one of its key."""
     order = np.argsort(keys)
@@ -273,20 +350,10 @@ def _judged(
         .withColumn("class", F.monotonically_increasing_id())
     )
     release(spark)
-    key = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("node", "rest")])).alias("key")
-    wanted = classes.where("root is not null").select(
-        F.col("class").alias("node"), "root", key, *[F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE]
-    )
-    of_text = wanted.groupBy("first_doc_id", "first_text_key").agg(  # one document's lines
-        F.collect_list(F.struct(F.col("first_line_no").alias("line_no"), "key", "node", "root")).alias("wanted")
-    )
-    few = wanted.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
-    holders = texts.join(
-        F.broadcast(of_text) if few else of_text,
-        F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")),
-    )
-    fetched = holders.select("text", "wanted").mapInArrow(_picked, "node long, root long, text string, copies int")
-    chosen = saved(fetched.dropDuplicates(["node"]))
+    first = [F.col(f"first.{c}").alias(f"first_{c}") for c in PLACE]
+    wanted = classes.where("root is not null").select(F.col("class").alias("node"), "root", F.col("node").alias("half"), "rest", *first)
+    chosen = saved(_texts_of(wanted, texts))
+    release(spark)
     shingles = lambda t: char_shingles(t, chars)
     compared = tiles.compare(chosen, shingles, threshold, block_chars=BLOCK_CHARS, block_texts=BLOCK_TEXTS, connect=True)
     compared = compared.where("links > 0").select("node", "reached")

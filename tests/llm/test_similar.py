@@ -279,6 +279,26 @@ def test_a_large_component_of_lines_in_several_blocks(spark, monkeypatch):
     assert len(sketched) == 2
 
 
+def test_only_wanted_lines_leave_their_texts(spark, monkeypatch):
+    """Very many wanted lines are fetched by a map of their places, with no shuffle of the texts."""
+    rows = [(i, i * 7, "\n".join(f"line {i} {n}" for n in range(200))) for i in range(20)] + [(None, 3, "a\n\n none "), (None, 4, "")]
+    wanted = [(i, i * 7, n) for i in range(20) for n in (3, 199)] + [(None, 3, 2)]
+    places = spark.createDataFrame(wanted, "first_doc_id long, first_text_key long, first_line_no int")
+    texts = spark.createDataFrame(rows, "doc_id long, text_key long, text string")
+    found = texts.mapInArrow(line_dedup._placed(*line_dedup._place_map(places)), "half long, rest long, text string").collect()
+    expected = {f"line {i} {n}" for i, _, n in wanted[:-1]} | {"none"}
+    assert expected <= {r.text for r in found} and len(found) < len(expected) + 600  # of 4,003 lines
+    assert all(np.frombuffer(hashlib.md5(r.text.encode()).digest(), ">i8").tolist() == [r.half, r.rest] for r in found)
+
+    lines = near_copies(40, 4) + near_copies(5, 60, 130) + ["tiny", "tiny ", "tinz"]
+    texts = [(i if i else None, "\n".join(lines[i::6])) for i in range(6)] * 2 + [(3, "tiny\n" + lines[0])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    few = Counter(map(repr, line_dedup.dedup_documents(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROW_LIMIT", 1)
+    monkeypatch.setattr(line_dedup, "_picked", None)
+    assert Counter(map(repr, line_dedup.dedup_documents(docs).collect())) == few
+
+
 def test_fuzzy_lines(spark):
     lines = near_copies(40, 4) + near_copies(5, 60, 130) + ["tiny", "tiny ", "tinz"]
     texts = {i: "\n".join(lines[i::6]) for i in range(6)}
