@@ -153,8 +153,29 @@ def _increasing(places: Sequence[int]) -> list[int]:
     return chain[::-1]
 
 
+def _longest(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]:
+    """Matched pairs of a longest common subsequence, by bits: one is 0 where a word of the template makes it longer."""
+    masks = Template._masks(template)
+    all_ = (1 << len(template)) - 1
+    rows = [all_]
+    for w in text:
+        open_ = rows[-1]
+        both = open_ & masks.get(w, 0)
+        rows.append(((open_ + both) | (open_ - both)) & all_)
+    found, i, j = [], len(text), len(template)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            found.append((i, j))
+    return found[::-1]
+
+
 def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]:
-    """Matched pairs (place in text, place in template), both increasing."""
+    """Matched pairs (place in text, place in template), both increasing; as many as there can be if the rarest words lead to few."""
     found: list[tuple[int, int]] = []
     open_ = [(0, len(text), 0, len(template))]
     while open_:
@@ -190,7 +211,7 @@ def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]
             a, c = i + 1, j + 1
         if anchors:
             open_.append((a, b, c, d))
-    return sorted(found)
+    return sorted(found) if len(found) >= COVERAGE * len(template) else _longest(text, template)
 
 
 class Template:
